@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from .mixing import OP8_SQL, op8_poisson_mixing
+from .tokens import op1_token_counts
 
 QUERIES = {
+    "op1_token_counts": op1_token_counts,
     "op8_poisson_mixing": op8_poisson_mixing,
 }
 
