@@ -6,11 +6,13 @@ from .mixing import OP8_SQL, op8_poisson_mixing
 from .packing import op3_pattern_packing
 from .simhash import op2_simhash_components
 from .tokens import op1_token_counts
+from .toxicity import op5_toxicity_machine
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_components": op2_simhash_components,
     "op3_pattern_packing": op3_pattern_packing,
+    "op5_toxicity_machine": op5_toxicity_machine,
     "op8_poisson_mixing": op8_poisson_mixing,
 }
 
