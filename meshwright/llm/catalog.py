@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .flac import op10_flac_media
 from .mixing import OP8_SQL, op8_poisson_mixing
 from .packing import op3_pattern_packing
 from .simhash import op2_simhash_components
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_pattern_packing": op3_pattern_packing,
     "op5_toxicity_machine": op5_toxicity_machine,
     "op8_poisson_mixing": op8_poisson_mixing,
+    "op10_flac_media": op10_flac_media,
 }
 
 ORACLE_SQL = {
