@@ -8,6 +8,7 @@ from .packing import op3_pattern_packing
 from .simhash import op2_simhash_components
 from .tokens import op1_token_counts
 from .toxicity import op5_toxicity_machine
+from .warc import op9_arc_to_warc
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
@@ -15,6 +16,7 @@ QUERIES = {
     "op3_pattern_packing": op3_pattern_packing,
     "op5_toxicity_machine": op5_toxicity_machine,
     "op8_poisson_mixing": op8_poisson_mixing,
+    "op9_arc_to_warc": op9_arc_to_warc,
     "op10_flac_media": op10_flac_media,
 }
 
