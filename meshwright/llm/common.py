@@ -42,11 +42,11 @@ def clear_name(df: DataFrame, base: str) -> str:
     return base
 
 
-def slices(batch: pa.RecordBatch, column: int, limit: int) -> Iterator[pa.RecordBatch]:
-    """Cut a batch where the bytes of a string or binary column pass the limit, so that work arrays stay bounded; one long row stays whole."""
+def slices(batch: pa.RecordBatch, column: int, limit: int, rows: int = 60_000) -> Iterator[pa.RecordBatch]:
+    """Cut a batch where the bytes of a string or binary column, or the rows, pass a limit, so that work arrays stay bounded; one long row stays whole."""
     start, held = 0, 0
     for i, n in enumerate(lengths(batch.column(column))):
-        if held and held + n > limit:
+        if i > start and (held + n > limit or i - start >= rows):
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += n

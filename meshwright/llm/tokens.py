@@ -4,7 +4,9 @@ A byte-level BPE tokenizer first splits a text into pre-tokens and never merges
 sum over its distinct pre-tokens of frequency times pieces. count_tokens() lets each task turn a block of documents into
 one row per distinct pre-token of the block, with the postings (document, frequency) packed beside it; the pieces of each
 distinct pre-token of the corpus are counted once; an equality join brings them to the postings and a sum by document ends it.
-No ids are materialised. A pre-token that is in every document still gives one row per block only, so no key is hot.
+The counts of a fixed number of pre-tokens that most blocks hold are broadcast, as a join's small side of bounded size, so that
+their postings need no shuffle. No ids are materialised. A pre-token that is in every document gives one row per block at
+most, so no key is hot. Rows are numbered while a table is scanned twice: docs should be read from files, not drawn anew.
 
 Defined cases: a null or empty text has 0 tokens, repeated rows are each counted, a null id is kept as such, an empty table
 gives no rows. The text of a special token counts as that token, as the tokenizers library does by default.
@@ -21,8 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import lengths, read_table, slices, text_or_empty
+from .common import lengths, read_table, slices, text_or_empty, write_table
 
 VOCABULARY = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -38,6 +41,8 @@ LOOSE = r"[\s\pZ\x{85}\x0b\x1c-\x1f] | [\s\pZ\x{85}\x0b\x1c-\x1f]|^ | $|<\|endof
 CUT = re.compile(r"(?<=\S) (?=\S)")
 #: Text bytes that a task holds as units and postings at a time.
 BLOCK_BYTES = 16 << 20
+#: Pre-tokens, of so many bytes at most, whose piece counts every task gets: some 6 MB. They cover most of a corpus's postings; a join brings the rest.
+MOST_FREQUENT, SHORT_BYTES = 200_000, 32
 
 
 @lru_cache(1)
@@ -143,68 +148,97 @@ def block_frequencies(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarra
     return list(names), keys[first] // n, keys[first] % n, np.diff(total, prepend=0)
 
 
-def packed(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
-    """values[start:end] of each pair as one binary value."""
-    size = values.dtype.itemsize
-    offsets = np.concatenate([starts[:1] if len(starts) else [0], ends]).astype(np.int64) * size
-    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]).cast(pa.binary())
-
-
-def count_tokens(docs: DataFrame, identity: str = "doc_id", text: str = "text", vocabulary: str | None = None) -> DataFrame:
+def frequent(counted: DataFrame, most: int) -> dict[str, int]:
+    """Pieces of the pre-tokens that most blocks hold: short ones, at most so many, whatever the corpus."""
+    short = counted.where(F.octet_length("pretoken") <= SHORT_BYTES)
+    held = sorted(((r.blocks, r["count"]) for r in short.groupBy("blocks").count().collect()), reverse=True)
+    least, total = None, 0
+    for blocks, n in held:
+        total += n
+        if total > most:
+            break
+        least = blocks
+    if least is None:
+        return {}
+    return {r.pretoken: r.pieces for r in short.where(F.col("blocks") >= least).select("pretoken", "pieces").collect()}
+
+
+def pack_postings(doc: np.ndarray, times: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """One binary value for each run of postings: the texts' numbers (two bytes each), then the frequencies (one byte each; more than 255 as several postings)."""
+    extra = (times - 1) // 255
+    if extra.any():
+        doc, wide = np.repeat(doc, extra + 1), extra + 1
+        last = np.cumsum(wide)
+        shares = np.full(int(last[-1]), 255)
+        shares[last - 1] = times - 255 * extra
+        times, starts, ends = shares, (last - wide)[starts] if len(starts) else starts, last[ends - 1]
+    where, shares = doc.astype("<u2").tobytes(), times.astype("<u1").tobytes()
+    return pa.array([where[2 * i : 2 * j] + shares[i:j] for i, j in zip(starts.tolist(), ends.tolist())], pa.binary())
+
+
+def count_tokens(docs: DataFrame, identity: str = "doc_id", text: str = "text", vocabulary: str | None = None, most_frequent: int = MOST_FREQUENT) -> DataFrame:
     """identity, n_bytes, n_tokens for each row of docs."""
     path = vocabulary or vocabulary_path(VOCABULARY)
     rows = docs.select(F.col(identity).alias("id"), text_or_empty(text).alias("text"))
-    id_field = rows.schema["id"]
+    id_type = rows.schema["id"].dataType.simpleString()
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 0, BLOCK_BYTES):
                 yield pa.RecordBatch.from_pydict({"pretoken": pa.array(list(block_pretokens(part.column(0))[0]), pa.string())})
 
+    @F.pandas_udf("int")
+    def pieces(strings):
+        import pandas as pd
+
+        return pd.Series(count_pieces(strings.tolist(), path), dtype="int32")
+
+    counted = rows.select("text").mapInArrow(distinct, "pretoken string").groupBy("pretoken").agg(F.count("*").alias("blocks")).withColumn("pieces", pieces("pretoken"))
+    counted = write_table(counted, "pretokens", "zstd")
+    common = docs.sparkSession.sparkContext.broadcast(frequent(counted, most_frequent))
+
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, BLOCK_BYTES):
                 names, pre, doc, times = block_frequencies(part.column(1))
+                known = np.fromiter((common.value.get(p, -1) for p in names), np.int64, len(names))
+                sure = np.bincount(doc, times * np.maximum(known[pre], 0), part.num_rows).astype(np.int64)
+                rest = known[pre] < 0
+                pre, doc, times = pre[rest], doc[rest], times[rest]
                 ends = np.flatnonzero(np.r_[pre[1:] != pre[:-1], True]) + 1 if len(pre) else np.zeros(0, np.int64)
                 starts = np.r_[0, ends[:-1]] if len(ends) else ends
-                n, m = part.num_rows, len(ends)
-                none = pa.nulls
+                base = part.column(2)[0].as_py()
+                about = pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths(part.column(1)), pa.int64()), pa.array(sure)], names=["id", "n_bytes", "n"])
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, about.schema) as stream:
+                    stream.write_batch(about)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.concat_arrays([pa.array([names[k] for k in pre[starts]], pa.string()), none(n, pa.string())]),
-                        pa.concat_arrays([pa.array(np.full(m, part.column(2)[0].as_py()), pa.int64()), part.column(2)]),
-                        pa.concat_arrays([packed(doc.astype("<u4"), starts, ends), none(n, pa.binary())]),
-                        pa.concat_arrays([packed(times.astype("<u4"), starts, ends), none(n, pa.binary())]),
-                        pa.concat_arrays([none(m, part.column(0).type), part.column(0)]),
-                        pa.concat_arrays([none(m, pa.int64()), pa.array(lengths(part.column(1)), pa.int64())]),
+                        pa.array([f"{SPECIAL}{base}", *[names[k] for k in pre[starts]]], pa.string()),
+                        pa.array(np.full(len(ends) + 1, base), pa.int64()),
+                        pa.concat_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary()), pack_postings(doc, times, starts, ends)]),
                     ],
-                    names=["pretoken", "row", "at", "times", "id", "n_bytes"],
+                    names=["pretoken", "row", "data"],
                 )
 
-    @F.pandas_udf("int")
-    def pieces(strings):
-        import pandas as pd
-
-        return pd.Series(count_pieces(strings.tolist(), path), dtype="int32")
-
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            info = pc.is_valid(batch.column("n_bytes"))
-            known = batch.filter(info)
-            yield pa.RecordBatch.from_arrays([*[known.column(c) for c in ("row", "id", "n_bytes")], pa.array(np.zeros(known.num_rows, np.int64))], names=["row", "id", "n_bytes", "n"])
-            rest = batch.filter(pc.invert(info))
-            where = np.frombuffer(b"".join(rest.column("at").to_pylist()), "<u4").astype(np.int64)
-            times = np.frombuffer(b"".join(rest.column("times").to_pylist()), "<u4").astype(np.int64)
-            wide = np.asarray(lengths(rest.column("at")), np.int64) // 4
-            row, back = np.unique(np.repeat(rest.column("row").to_numpy(), wide) + where, return_inverse=True)
-            n = np.bincount(back, times * np.repeat(rest.column("pieces").to_numpy(zero_copy_only=False), wide), len(row)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.nulls(len(row), batch.column("id").type), pa.nulls(len(row), pa.int64()), pa.array(n)], names=["row", "id", "n_bytes", "n"])
-
-    id_type = id_field.dataType.simpleString()
-    counted = rows.select("text").mapInArrow(distinct, "pretoken string").distinct().withColumn("pieces", pieces("pretoken"))
-    postings = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(post, f"pretoken string, row long, at binary, times binary, id {id_type}, n_bytes long")
-    keyed = postings.withColumn("pretoken", F.coalesce("pretoken", F.concat(F.lit(SPECIAL), F.col("row").cast("string"))))
-    joined = keyed.join(counted, "pretoken", "left").drop("pretoken")
+            postings = batch.filter(pc.is_valid(batch.column("pieces")))
+            data = postings.column("data").to_pylist()
+            wide = np.fromiter((len(x) // 3 for x in data), np.int64, len(data))
+            where = np.frombuffer(b"".join(x[: 2 * n] for x, n in zip(data, wide.tolist())), "<u2").astype(np.int64)
+            times = np.frombuffer(b"".join(x[2 * n :] for x, n in zip(data, wide.tolist())), "<u1").astype(np.int64)
+            row, back = np.unique(np.repeat(postings.column("row").to_numpy(), wide) + where, return_inverse=True)
+            n = np.bincount(back, times * np.repeat(postings.column("pieces").to_numpy(zero_copy_only=False), wide), len(row)).astype(np.int64)
+            blocks = batch.filter(pc.is_null(batch.column("pieces")))
+            for base, stored in zip(blocks.column("row").to_pylist(), blocks.column("data").to_pylist()):
+                about = pa.ipc.open_stream(stored).read_next_batch()
+                yield pa.RecordBatch.from_arrays([pa.array(base + np.arange(about.num_rows)), *about.columns], names=["row", "id", "n_bytes", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(row, pa.int64()), pa.nulls(len(row), id_arrow), pa.nulls(len(row), pa.int64()), pa.array(n)], names=["row", "id", "n_bytes", "n"])
+
+    id_arrow = to_arrow_type(rows.schema["id"].dataType)
+    postings = rows.withColumn("row", F.monotonically_increasing_id()).mapInArrow(post, "pretoken string, row long, data binary")
+    joined = postings.join(counted.select("pretoken", "pieces"), "pretoken", "left").select("row", "data", "pieces")
     weighed = joined.mapInArrow(weigh, f"row long, id {id_type}, n_bytes long, n long")
     return weighed.groupBy("row").agg(F.max("id").alias(identity), F.max("n_bytes").alias("n_bytes"), F.sum("n").alias("n_tokens")).drop("row")
 

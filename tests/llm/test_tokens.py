@@ -27,9 +27,10 @@ def test_count_tokens_on_nulls_repeats_and_extra_columns(spark):
     texts = [None, *ODD, *mixed(50, 2)]
     rows = [(None if i == 5 else i, t, "x", i) for i, t in enumerate(texts)] + [(7, texts[7], "x", 0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string, row long")
-    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in T.count_tokens(docs).collect())
     want = sorted((str(r[0]), len((r[1] or "").encode()), T.count_pieces([r[1] or ""], PATH)[0]) for r in rows)
-    assert got == want
+    for frequent in (0, 3, 10_000):
+        got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens) for r in T.count_tokens(docs, most_frequent=frequent).collect())
+        assert got == want
 
 
 def test_count_tokens_on_an_empty_table(spark):
