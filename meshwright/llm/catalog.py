@@ -9,12 +9,14 @@ from .simhash import op2_simhash_components
 from .tokens import op1_token_counts
 from .toxicity import op5_toxicity_machine
 from .warc import op9_arc_to_warc
+from .weighted import op6_weighted_fingerprints
 
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_components": op2_simhash_components,
     "op3_pattern_packing": op3_pattern_packing,
     "op5_toxicity_machine": op5_toxicity_machine,
+    "op6_weighted_fingerprints": op6_weighted_fingerprints,
     "op8_poisson_mixing": op8_poisson_mixing,
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_flac_media": op10_flac_media,
