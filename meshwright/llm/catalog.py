@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .flac import op10_flac_media
+from .licenses import op7_licence_scan
 from .mixing import OP8_SQL, op8_poisson_mixing
 from .packing import op3_pattern_packing
 from .simhash import op2_simhash_components
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_pattern_packing": op3_pattern_packing,
     "op5_toxicity_machine": op5_toxicity_machine,
     "op6_weighted_fingerprints": op6_weighted_fingerprints,
+    "op7_licence_scan": op7_licence_scan,
     "op8_poisson_mixing": op8_poisson_mixing,
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_flac_media": op10_flac_media,
