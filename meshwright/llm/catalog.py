@@ -7,6 +7,7 @@ from .licenses import op7_licence_scan
 from .mixing import OP8_SQL, op8_poisson_mixing
 from .packing import op3_pattern_packing
 from .simhash import op2_simhash_components
+from .suffix import op4_run_length_dedup
 from .tokens import op1_token_counts
 from .toxicity import op5_toxicity_machine
 from .warc import op9_arc_to_warc
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_simhash_components": op2_simhash_components,
     "op3_pattern_packing": op3_pattern_packing,
+    "op4_run_length_dedup": op4_run_length_dedup,
     "op5_toxicity_machine": op5_toxicity_machine,
     "op6_weighted_fingerprints": op6_weighted_fingerprints,
     "op7_licence_scan": op7_licence_scan,
