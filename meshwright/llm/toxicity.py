@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import clear_name, read_table, text_or_empty
+from .common import clear_name, read_table, text_or_empty, write_table
 
 #: The bounded sample: labelled rows learnt from at most, chosen by hash.
 MOST_ROWS = 20_000
@@ -59,46 +59,56 @@ def held_out(identity: Column) -> Column:
     return F.coalesce(F.crc32(identity.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, identity: str, text: str, label: str, most: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Terms and labels of at most so many labelled rows that are not held out."""
-    known = labels.where(F.col(label).isNotNull() & F.col(identity).isNotNull() & ~held_out(F.col(identity))).select(F.col(identity).alias("id"), F.col(label).cast("int").alias("y"))
-    n = known.count()
-    share = min(1.0, most / max(n, 1))
+def training_rows(docs: DataFrame, labels: DataFrame, identity: str, text: str, label: str, most: int) -> DataFrame:
+    """terms, y of at most some `most` labelled rows that are not held out, chosen by hash."""
+    known = labels.where(F.col(label).isNotNull() & F.col(identity).isNotNull() & ~held_out(F.col(identity))).select(F.col(identity).alias("id"), (F.col(label) > 0).cast("int").alias("y"))
+    share = min(1.0, most / max(known.count(), 1))
     drawn = known.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < int(share * (1 << 20)))
     rows = docs.select(F.col(identity).alias("id"), text_or_empty(text).alias("text")).join(F.broadcast(drawn), "id").select("text", "y")
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([text_terms(t).tobytes() for t in batch.column(0).to_pylist()], pa.binary()), batch.column(1)], names=["terms", "y"])
+            terms = [text_terms(t).view(np.int64) for t in batch.column(0).to_pylist()]
+            offsets = np.concatenate([[0], np.cumsum([len(t) for t in terms])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *terms]))), batch.column(1)], names=["terms", "y"])
 
-    got = rows.mapInArrow(featurise, "terms binary, y int").limit(most).collect()
-    got.sort(key=lambda r: (bytes(r.terms), r.y))
-    return [np.frombuffer(r.terms, np.uint64) for r in got], np.array([float(r.y > 0) for r in got])
+    return write_table(rows.mapInArrow(featurise, "terms array<long>, y int"), "toxicity-training")
 
 
-def learn(rows: list[np.ndarray], y: np.ndarray, most_terms: int = MOST_TERMS, seed: int = 1) -> Model:
-    """Choose terms, then fit the machine by adaptive gradient steps on the log loss."""
+def choose_terms(rows: DataFrame, most: int) -> np.ndarray:
+    """The terms whose document frequency differs most by label, as sorted hashes: counted in Spark, and at most so many come to the driver."""
+    n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    if not 0 < n1 < n:
+        return np.zeros(0, np.int64)
+    counted = rows.select(F.explode("terms").alias("term"), "y").groupBy("term").agg(F.count("*").alias("held"), F.sum("y").alias("held1")).where(F.col("held") >= LEAST_ROWS)
+    p = F.col("held") / n
+    z = F.abs(F.col("held1") / n1 - (F.col("held") - F.col("held1")) / (n - n1)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / (n - n1)))
+    kept = counted.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(most).select("term").collect()
+    return np.sort(np.array([r.term for r in kept], np.int64))
+
+
+def gather(rows: DataFrame, terms: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """For each training row the numbers of the chosen terms it holds, and its label, in an order that does not depend on the run."""
+    shared = rows.sparkSession.sparkContext.broadcast(terms)
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [np.flatnonzero(np.isin(shared.value, np.asarray(t, np.int64), assume_unique=True)).astype("<i4").tobytes() for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), batch.column(1)], names=["own", "y"])
+
+    got = sorted(((bytes(r.own), r.y) for r in rows.mapInArrow(index, "own binary, y int").collect()))
+    return [np.frombuffer(b, "<i4").astype(np.int64) for b, _ in got], np.array([float(y) for _, y in got])
+
+
+def fit(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, seed: int = 1) -> Model:
+    """Fit the machine by adaptive gradient steps on the log loss. rows hold numbers of terms."""
     rng = np.random.default_rng(seed)
     share = float(y.mean()) if len(y) else 0.0
-    nothing = Model(np.zeros(0, np.uint64), float(np.log((share + 1e-4) / (1 - share + 1e-4))), np.zeros(0), np.zeros((0, FACTORS)))
-    if not 0 < share < 1:
-        return nothing
-    flat, at = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    terms, number = np.unique(flat, return_inverse=True)
-    n1, n0 = y.sum(), len(y) - y.sum()
-    all_rows = np.bincount(number, minlength=len(terms))
-    p1 = np.bincount(number, y[at], len(terms)) / n1
-    p0 = (all_rows - p1 * n1) / n0
-    p = all_rows / len(y)
-    z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-9) * (1 / n1 + 1 / n0))
-    z[(all_rows < LEAST_ROWS) | (z < LEAST_Z)] = 0
-    kept = np.sort(np.argsort(-z, kind="stable")[: min(most_terms, int((z > 0).sum()))])
-    if not len(kept):
+    nothing = Model(np.zeros(0, np.int64), float(np.log((share + 1e-4) / (1 - share + 1e-4))), np.zeros(0), np.zeros((0, FACTORS)))
+    if not len(terms):
         return nothing
-    position = np.full(len(terms), -1)
-    position[kept] = np.arange(len(kept))
-    ok = position[number] >= 0
-    index, row = position[number][ok], at[ok]
+    kept = terms
+    index, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     begin = np.searchsorted(row, np.arange(len(rows) + 1))
     bias, w, v = nothing.bias, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS))
     gb, gw, gv = 1e-8, np.full(len(kept), 1e-8), np.full((len(kept), FACTORS), 1e-8)
@@ -117,7 +127,7 @@ def learn(rows: list[np.ndarray], y: np.ndarray, most_terms: int = MOST_TERMS, s
             dv = np.stack([np.bincount(x, error[who] * (sums[who, k] - v[x, k]), len(kept)) for k in range(FACTORS)], 1) + DECAY * v
             gb, gw, gv = gb + db**2, gw + dw**2, gv + dv**2
             bias, w, v = bias - RATE * db / np.sqrt(gb), w - RATE * dw / np.sqrt(gw), v - RATE * dv / np.sqrt(gv)
-    return Model(terms[kept], float(bias), w, v)
+    return Model(terms, float(bias), w, v)
 
 
 def make_scorer(model: Model):
@@ -126,7 +136,7 @@ def make_scorer(model: Model):
 
     def look_up(words: list[str]) -> None:
         hashes = [term_hashes(w) for w in words]
-        flat = np.fromiter((h for x in hashes for h in x), np.uint64, sum(map(len, hashes)))
+        flat = np.fromiter((h for x in hashes for h in x), np.uint64, sum(map(len, hashes))).view(np.int64)
         at = np.minimum(np.searchsorted(model.terms, flat), max(len(model.terms) - 1, 0))
         known = np.where(model.terms[at] == flat, at, -1).tolist() if len(model.terms) else [-1] * len(flat)
         i = 0
@@ -167,7 +177,9 @@ def score(docs: DataFrame, model: Model, identity: str = "doc_id", text: str = "
 
 
 def train(docs: DataFrame, labels: DataFrame, identity: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS) -> Model:
-    return learn(*training_rows(docs, labels, identity, text, label, most_rows))
+    rows = training_rows(docs, labels, identity, text, label, most_rows)
+    terms = choose_terms(rows, MOST_TERMS)
+    return fit(terms, *gather(rows, terms))
 
 
 def op5_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,8 @@ def test_pairs_of_terms_count(spark):
         words = [*rng.choice(filler, 8), *(["insultish"] if a else []), *(["groupish"] if b else [])]
         rows.append(" ".join(words))
         y.append(float(a and b))
-    model = X.learn([X.text_terms(t) for t in rows], np.array(y))
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    model = X.train(docs, spark.createDataFrame([(i, int(v)) for i, v in enumerate(y)], "doc_id long, toxic int"))
     one, other, both, none = X.make_scorer(model)(["insultish word1", "groupish word1", "insultish groupish word1", ""])
     assert both > 0.8 and max(one, other, none) < 0.2
 
