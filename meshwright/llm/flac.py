@@ -30,7 +30,7 @@ PAD = 255
 GROUP_BYTES = 2 << 20
 #: Coefficients of the fixed predictors by order.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
-SEEK_EVERY = 1
+SEEK_EVERY = 2
 
 
 def crc_table(polynomial: int, bits: int) -> np.ndarray:
@@ -264,12 +264,14 @@ def decode_subframes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
     weights, shift = np.zeros((max(most, 1), frames), np.int64), np.zeros(frames, np.int64)
     for o in range(1, min(4, most) + 1):
         weights[:o, fixed & (order == o)] = np.array(FIXED[o])[:, None]
-    for w in every[lpc].tolist():
-        own = np.array([w])
-        precision = int(bits.take(4, own)[0]) + 1
-        shift[w] = signed(bits.take(5, own), 5)[0]
-        for j in range(int(order[w])):
-            weights[j, w] = signed(bits.take(precision, own), precision)[0]
+    quantised = every[lpc]
+    precision = bits.take(4, quantised) + 1
+    shift[quantised] = signed(bits.take(5, quantised), 5)
+    for size in np.unique(precision).tolist():
+        own = quantised[precision == size]
+        for j in range(int(order[own].max())):
+            more = own[order[own] > j]
+            weights[j, more] = signed(bits.take(size, more), size)
     method, depth = bits.take(2, coded), bits.take(4, coded)
     wide, parts = np.where(method == 0, 4, 5), BLOCK >> depth
     begins = [set(np.flatnonzero(np.arange(BLOCK) % p == 0).tolist()) for p in np.unique(parts)]
