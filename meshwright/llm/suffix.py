@@ -13,7 +13,7 @@ these strings cover. Contexts are dealt by anchor:
    kept as its runs with the text positions sampled at both ends of each run. Every context is streamed through the index from
    its end, all contexts in step, each step an LF mapping over runs; with the ranks at which strings stop to agree on `length`
    bytes this gives each position's matching statistic as far as it matters: the class of equal strings, whose first stays.
-   Anchors with more than CROWDED occurrences are dealt on by a hash of each string instead, so no anchor fills a task.
+   Anchors with more than CROWDED contexts are dealt on by a hash of each context, then of each string, so no anchor fills a task.
 4. Removed runs are merged per document, and the kept bytes are hashed.
 
 Defined cases: a null or empty text has no bytes; a text shorter than length bytes loses nothing; rows that repeat an identity
@@ -37,8 +37,8 @@ from .common import read_table, slices, text_or_empty, write_table
 
 LENGTH = 100
 KMER = 24
-#: Occurrences of an anchor up to which its contexts meet in one task.
-CROWDED = 4096
+#: Contexts of an anchor, counted once per block, up to which they meet in one task: some 7 MB.
+CROWDED = 50_000
 #: Text bytes that a task looks for anchors in at a time, and context bytes that one index holds.
 BLOCK_BYTES = 2 << 20
 INDEX_BYTES = 3 << 20
@@ -250,8 +250,8 @@ def anchors(placed: DataFrame, length: int, kmer: int) -> DataFrame:
 
 
 def contexts_of(texts: DataFrame, length: int, kmer: int) -> DataFrame:
-    """texts has doc, packed (the text, compressed), marks (start * 2 + crowded of the anchors that recur). Gives rows of three kinds:
-    0 spans to remove, 1 contexts (h, doc, start, data), 2 strings of crowded anchors (h, g: their hash; doc, start)."""
+    """texts has doc, packed (the text, compressed), marks (first starts of the anchors that recur). Gives rows of two kinds: 0 spans to
+    remove, 1 contexts (h, doc, start, data)."""
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, BLOCK_BYTES // 2):
@@ -259,15 +259,12 @@ def contexts_of(texts: DataFrame, length: int, kmer: int) -> DataFrame:
                 data, starts, ends = layout(pa.array([zlib.decompress(x) for x in part.column(1).to_pylist()], pa.binary()))
                 marks = part.column(2)
                 many = np.asarray(marks.value_lengths(), np.int64)
-                mark = np.asarray(marks.flatten(), np.int64)
-                marked = (mark >> 1) + np.repeat(starts, many)
-                order = np.argsort(marked)
-                marked, crowd = marked[order], (mark & 1)[order]
+                marked = np.sort(np.asarray(marks.flatten(), np.int64) + np.repeat(starts, many))
                 hashes, begin, count, _ = governed(data, starts, ends, length, kmer)
                 spot = np.minimum(np.searchsorted(marked, begin), max(len(marked) - 1, 0))
                 known = marked[spot] == begin if len(marked) else np.zeros(len(begin), bool)
                 keep = np.flatnonzero(known)
-                low, own, full = begin[keep], hashes[keep].view(np.int64), crowd[spot[keep]] if len(marked) else keep
+                low, own = begin[keep], hashes[keep].view(np.int64)
                 high = low + count[keep] - 1
                 owner = np.searchsorted(ends, low, side="right")
                 doc, start = ids[owner], low - starts[owner]
@@ -285,21 +282,22 @@ def contexts_of(texts: DataFrame, length: int, kmer: int) -> DataFrame:
                 apart = starts + np.arange(len(starts))  # one place between texts, so that no span reaches into the next
                 begins, sizes = merged((low + owner)[gone], (high + length - low)[gone])
                 owner = np.searchsorted(apart, begins, side="right") - 1
-                held = [(c, i) for c, i in first.items() if not full[i]]
-                strings = [(xxhash.xxh3_128_intdigest(c[k : k + length]), i, k) for c, i in first.items() if full[i] for k in range(len(c) - length + 1)]
-                at_held = np.array([i for _, i in held], np.int64)
-                at_string = np.array([i for _, i, _ in strings], np.int64)
-                pieces = [
-                    (0, ids[owner], begins - apart[owner], sizes, None, None, None),
-                    (1, doc[at_held], start[at_held], None, own[at_held], None, [c for c, _ in held]),
-                    (2, doc[at_string], start[at_string] + np.array([k for _, _, k in strings], np.int64), None, np.array([(x >> 64) - 2**63 for x, _, _ in strings], np.int64), np.array([(x & 2**64 - 1) - 2**63 for x, _, _ in strings], np.int64), None),
-                ]
-                for kind, docs, at_start, size, h, g, context in pieces:
-                    n = len(docs)
-                    longs = [pa.array(x) if x is not None else pa.nulls(n, pa.int64()) for x in (docs, at_start, size, h, g)]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *longs, pa.array(context, pa.binary()) if context is not None else pa.nulls(n, pa.binary())], names=["kind", "doc", "start", "size", "h", "g", "data"])
-
-    return texts.mapInArrow(find, "kind int, doc long, start long, size long, h long, g long, data binary")
+                held = np.fromiter(first.values(), np.int64, len(first))
+                n, m = len(owner), len(held)
+                none = pa.nulls
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.repeat(np.array([0, 1], np.int32), [n, m])),
+                        pa.array(np.concatenate([ids[owner], doc[held]])),
+                        pa.array(np.concatenate([begins - apart[owner], start[held]])),
+                        pa.concat_arrays([pa.array(sizes), none(m, pa.int64())]),
+                        pa.concat_arrays([none(n, pa.int64()), pa.array(own[held])]),
+                        pa.concat_arrays([none(n, pa.binary()), pa.array(list(first), pa.binary())]),
+                    ],
+                    names=["kind", "doc", "start", "size", "h", "data"],
+                )
+
+    return texts.mapInArrow(find, "kind int, doc long, start long, size long, h long, data binary")
 
 
 def index_spans(contexts: DataFrame, length: int) -> DataFrame:
@@ -341,11 +339,26 @@ def index_spans(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(read, "doc long, start long, size long")
 
 
-def string_spans(strings: DataFrame, length: int) -> DataFrame:
-    """The same from strings (h, g, doc, start): all but the first of each."""
-    first = strings.groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc", "start")).alias("first")).where("n > 1")
-    later = strings.join(first, ["h", "g"]).where((F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start")))
-    return later.select("doc", "start", F.lit(length).cast("long").alias("size"))
+def later_than_first(rows: DataFrame, keys: list[str], carried: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first row of each key with the carried columns, and doc, start of the others."""
+    first = rows.groupBy(*keys).agg(F.min(F.struct("doc", "start", *carried)).alias("first"))
+    others = rows.select(*keys, "doc", "start").join(first.select(*keys, F.col("first.doc").alias("a"), F.col("first.start").alias("b")), keys).where("doc != a OR start != b")
+    return first.select(*keys, "first.*"), others.select("doc", "start", *keys)
+
+
+def string_spans(contexts: DataFrame, length: int) -> DataFrame:
+    """doc, start, size of the spans to remove from contexts of crowded anchors: equal contexts, then equal strings, meet by their hash."""
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(doc, start + k, x - 2**127) for doc, start, data in zip(*[c.to_pylist() for c in batch.columns]) for k in range(len(data) - length + 1) for x in [xxhash.xxh3_128_intdigest(data[k : k + length])]]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] >> 64 for x in out], pa.int64()), pa.array([(x[2] & 2**64 - 1) - 2**63 for x in out], pa.int64())], names=["doc", "start", "g", "f"])
+
+    named = contexts.select("doc", "start", "data", "h", F.md5("data").alias("name"), F.octet_length("data").cast("long").alias("size"))
+    first, others = later_than_first(named, ["h", "name", "size"], ["data"])
+    pieces = first.select("doc", "start", "data").mapInArrow(strings, "doc long, start long, g long, f long")
+    _, repeated = later_than_first(pieces, ["g", "f"], [])
+    return others.select("doc", "start", "size").unionByName(repeated.select("doc", "start", F.lit(length).cast("long").alias("size")))
 
 
 def squeeze(texts: DataFrame) -> DataFrame:
@@ -363,15 +376,18 @@ def repeated_spans(placed: DataFrame, length: int = LENGTH, kmer: int = KMER, cr
     kmer = min(kmer, length)
     found = anchors(placed, length, kmer)
     often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    hits = found.join(often.hint("merge"), "h").select("doc", (F.col("start") * 2 + (F.col("n") > crowded).cast("long")).alias("mark"))
-    hits = write_table(hits, "recurring-anchors", "zstd")
-    marks = hits.groupBy("doc").agg(F.collect_list("mark").alias("marks"))
+    hits = write_table(found.join(often.hint("merge"), "h").select("doc", "start"), "recurring-anchors", "zstd")
+    marks = hits.groupBy("doc").agg(F.collect_list("start").alias("marks"))
     texts = squeeze(placed.where(F.octet_length("text") >= length)).join(marks.hint("merge"), "doc").select("doc", "packed", "marks")
     kinds = write_table(contexts_of(texts, length, kmer), "contexts", "zstd")
-    plain = kinds.where("kind = 0").select("doc", "start", "size")
-    indexed = index_spans(kinds.where("kind = 1"), length)
-    single = string_spans(kinds.where("kind = 2").select("h", "g", "doc", "start"), length)
-    return plain.unionByName(indexed).unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans, contexts = kinds.where("kind = 0").select("doc", "start", "size"), kinds.where("kind = 1").select("h", "doc", "start", "data")
+    full = contexts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("h")
+    many = full.count()
+    if many:
+        full = F.broadcast(full) if many <= 10_000 else full.hint("merge")
+        spans = spans.unionByName(string_spans(contexts.join(full, "h", "left_semi"), length))
+        contexts = contexts.join(full, "h", "left_anti")
+    return spans.unionByName(index_spans(contexts, length)).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
 
 def kept_bytes(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:
