@@ -88,7 +88,7 @@ def two_wildcard_links(prints: DataFrame) -> DataFrame:
     freed = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i")).select("fp", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(63))).alias("j"))
     keyed = freed.select("fp", (F.col("i") * 64 + F.col("j")).alias("bits"), F.expr("fp & ~(shiftleft(1L, i) | shiftleft(1L, j))").alias("rest"))
     least = keyed.groupBy("bits", "rest").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(least, ["bits", "rest"]).where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
+    return keyed.join(least.hint("merge"), ["bits", "rest"])  # sizes of exploded rows are estimated too low for Spark to choose.where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def members_of_shared(keyed: DataFrame, key: str, member: str) -> DataFrame:
@@ -179,7 +179,7 @@ def near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str = "text
     bits = linked.join(first.select(F.col("p").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("p").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     pairs = often.unionByName(stars).unionByName(rings).unionByName(same).unionByName(bits).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sets = made.select("id", "shingles")
-    faced = pairs.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    faced = pairs.join(sets.toDF("a", "left").hint("merge"), "a").join(sets.toDF("b", "right").hint("merge"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str = "text
     degree = verified.select("a").unionByName(verified.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("degree"))
     hubs = many.join(degree.withColumnRenamed("a", "id"), "id").groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("hub"))
     again = many.join(hubs, "key").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().join(verified, ["a", "b"], "left_anti")
-    faced = again.join(sets.toDF("a", "left"), "a").join(sets.toDF("b", "right"), "b")
+    faced = again.join(sets.toDF("a", "left").hint("merge"), "a").join(sets.toDF("b", "right").hint("merge"), "b")
     more = faced.select("a", "b", "left", "right").mapInArrow(verify, f"a {kind}, b {kind}")
     roots = components(verified.unionByName(more).select(F.col("a").cast("long"), F.col("b").cast("long")))
     firsts = alike.join(roots.toDF("first", "root"), "first", "left").select("digest", F.coalesce("root", "first").alias("component"))
