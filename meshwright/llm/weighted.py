@@ -1,7 +1,7 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
 A text's terms are its words with their frequencies as weights. For each of SAMPLES samples every term draws r and c from
-Gamma(2, 1) and b from (0, 1), hashed from the term and the sample, so every text draws alike. With t = floor(ln w / r + b) and
+Gamma(2, 1) and b from (0, 1) by one hash of the term and the sample, so every text draws alike. With t = floor(ln w / r + b) and
 ln a = ln c - r (t - b) - r the term of least a is the sample, with its t. Two texts share a sample with the probability
 of their generalised Jaccard similarity, the sum of least weights over the sum of greatest ones. The fingerprint holds 32
 hashed bits of (term, t) for each sample.
@@ -17,44 +17,65 @@ identity are ordered by a hash of their text; a null identity sorts first; extra
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import read_table, text_or_empty, write_table
 
-SAMPLES = 64
+SAMPLES = 48
 #: Hex digits of each sample in the fingerprint.
 DIGITS = 4
-UNIT = float(1 << 32)
-
-
-def uniforms(seed: Column, sample: int, draw: int) -> tuple[Column, Column]:
-    """Two numbers in (0, 1) from 64 hashed bits."""
-    bits = F.xxhash64(seed, F.lit(sample * 4 + draw))
-    return (bits.bitwiseAND(F.lit(0xFFFFFFFF)) + 0.5) / UNIT, (F.shiftrightunsigned(bits, 32) + 0.5) / UNIT
-
-
-def packed_sample(term: Column, weight: Column, sample: int) -> Column:
-    """ln a in order-preserving bits above, 32 bits of (term, t) below: the least of these is the sample."""
-    u1, u2 = uniforms(term, sample, 0)
-    u3, u4 = uniforms(term, sample, 1)
-    b, _ = uniforms(term, sample, 2)
-    r, log_c = -F.ln(u1 * u2), F.ln(-F.ln(u3 * u4))
-    t = F.floor(F.ln(weight) / r + b)
-    log_a = log_c - r * (t - b) - r
-    # ln a lies within (-2^11, 2^11) for any weight below 2^31 but for odds under 2^-60; 19 bits of fraction stay
-    order = F.floor((F.greatest(F.lit(-2047.0), F.least(F.lit(2047.0), log_a))) * F.lit(float(1 << 19))).cast("bigint")
-    return F.shiftleft(order, 32).bitwiseOR(F.xxhash64(term, t, F.lit(sample)).bitwiseAND(F.lit(0xFFFFFFFF)))
-
-
-def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> DataFrame:
-    """keys and signature of each row that has terms; texts has the column text and is best partitioned by some of the keys."""
-    words = texts.select(*keys, F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word != ''")
-    terms = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count("*").cast("double").alias("weight"))
-    least = terms.groupBy(*keys).agg(*[F.min(packed_sample(F.col("term"), F.col("weight"), s)).alias(f"s{s}") for s in range(samples)])
-    digits = [F.lpad(F.lower(F.hex(F.col(f"s{s}").bitwiseAND(F.lit(16**DIGITS - 1)))), DIGITS, "0") for s in range(samples)]
-    return least.select(*keys, F.concat(*digits).alias("signature"))
+#: Cells of the tables that invert the distributions of r and ln c, as a power of two.
+CELLS = 12
+
+
+def gamma_quantiles() -> np.ndarray:
+    """Gamma(2, 1) at the middle of each cell's share, by bisection of its distribution. Any two texts draw the same, so the cells do not bias what they share."""
+    p = (np.arange(1 << CELLS) + 0.5) / (1 << CELLS)
+    low, high = np.zeros(len(p)), np.full(len(p), 64.0)
+    for _ in range(80):
+        middle = (low + high) / 2
+        under = 1 - (1 + middle) * np.exp(-middle) < p
+        low, high = np.where(under, middle, low), np.where(under, high, middle)
+    return high
+
+
+def cell_of(table: np.ndarray, bits: Column, shift: int) -> Column:
+    return F.get(F.lit(table), F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << CELLS) - 1)).cast("int"))
+
+
+def packed_samples(term: Column, log_weights: list[Column], sample: Column) -> list[Column]:
+    """For each weight ln a in order-preserving bits above, 32 bits of (term, t) below: the least of these is the sample. Null for no weight."""
+    quantiles = gamma_quantiles()
+    bits = F.xxhash64(term, sample)
+    r, log_c = cell_of(quantiles, bits, 52), cell_of(np.log(quantiles), bits, 40)
+    b = (F.shiftrightunsigned(bits, 24).bitwiseAND(F.lit(0xFFFF)) + F.lit(0.5)) * F.lit(2.0**-16)
+    out = []
+    for log_weight in log_weights:
+        t = F.floor(log_weight / r + b)
+        # ln a is well within 2^6 of 0 for weights below 2^31; 24 bits of fraction stay
+        order = ((log_c - r * (t - b + F.lit(1.0))) * F.lit(float(1 << 24))).cast("bigint")
+        name = bits.bitwiseXOR(F.shiftleft(t, 7)).bitwiseAND(F.lit(0xFFFFFFFF))
+        out.append(F.shiftleft(order, 32).bitwiseOR(name))
+    return out
+
+
+def signatures(texts: DataFrame, keys: list[str], columns: list[str], samples: int = SAMPLES) -> DataFrame:
+    """keys and a signature for each of the text columns (null where a text has no terms). The draws for a term serve all of them. texts is best
+    partitioned by some of the keys."""
+    sides = F.array(*columns)
+    words = texts.select(*keys, F.posexplode(sides).alias("side", "one")).select(*keys, "side", F.explode(F.split(F.lower("one"), r"\s+")).alias("word")).where("word != ''")
+    terms = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(*[F.sum(F.when(F.col("side") == i, 1).otherwise(0)).alias(f"w{i}") for i in range(len(columns))])
+    logged = terms.select(*keys, "term", *[F.when(F.col(f"w{i}") > 0, F.ln(F.col(f"w{i}").cast("double"))).alias(f"l{i}") for i in range(len(columns))])
+    # one row per term and sample keeps the generated code small enough to be compiled to machine code
+    spread = logged.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
+    drawn = packed_samples(F.col("term"), [F.col(f"l{i}") for i in range(len(columns))], F.col("sample"))
+    least = spread.groupBy(*keys, "sample").agg(*[F.min(x).alias(f"s{i}") for i, x in enumerate(drawn)])
+    listed = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sample", *[f"s{i}" for i in range(len(columns))]))).alias("all"))
+    digits = lambda i: F.array_join(F.transform("all", lambda x: F.lpad(F.lower(F.hex(x[f"s{i}"].bitwiseAND(F.lit(16**DIGITS - 1)))), DIGITS, "0")), "")
+    return listed.select(*keys, *[F.nullif(digits(i), F.lit("")).alias(f"signature{i}") for i in range(len(columns))])
 
 
 def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
@@ -92,11 +113,9 @@ def edited_fingerprints(docs: DataFrame, identity: str = "doc_id", text: str = "
     heads = keyed.join(wanted, ["k", "z"]).select(F.col("to_k").alias("k"), F.col("to_z").alias("z"), F.expr("substring(text, 1, CAST(take AS INT))").alias("head"))
     own = keyed.join(order.select("k", "z", "n_chars"), ["k", "z"]).join(heads, ["k", "z"])
     both = own.select("k", "z", "text", F.concat(F.expr("substring(text, 1, CAST(n_chars - floor(n_chars / 4) AS INT))"), F.col("head")).alias("edited"))
-    texts = both.select("k", "z", F.posexplode(F.array("text", "edited")).alias("which", "text"))
-    signed = signatures(texts, ["k", "z", "which"])
+    sides = signatures(both, ["k", "z"], ["text", "edited"]).withColumnsRenamed({"signature0": "fingerprint", "signature1": "edited_fingerprint"})
     digests = both.select("k", "z", F.sha2("edited", 256).alias("edited_sha256"))
     nothing = F.lit("0" * DIGITS * SAMPLES)
-    sides = signed.groupBy("k", "z").agg(F.max(F.when(F.col("which") == 0, F.col("signature"))).alias("fingerprint"), F.max(F.when(F.col("which") == 1, F.col("signature"))).alias("edited_fingerprint"))
     facts = digests.join(sides, ["k", "z"], "left").select("k", "z", "edited_sha256", F.coalesce("fingerprint", nothing).alias("fingerprint"), F.coalesce("edited_fingerprint", nothing).alias("edited_fingerprint"))
     facts = write_table(facts, "weighted-fingerprints", "zstd")
     after = facts.select(F.col("k").alias("next_k"), F.col("z").alias("next_z"), F.col("fingerprint").alias("next_fingerprint"))
