@@ -88,7 +88,8 @@ def two_wildcard_links(prints: DataFrame) -> DataFrame:
     freed = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i")).select("fp", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(63))).alias("j"))
     keyed = freed.select("fp", (F.col("i") * 64 + F.col("j")).alias("bits"), F.expr("fp & ~(shiftleft(1L, i) | shiftleft(1L, j))").alias("rest"))
     least = keyed.groupBy("bits", "rest").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return keyed.join(least.hint("merge"), ["bits", "rest"])  # sizes of exploded rows are estimated too low for Spark to choose.where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
+    # sizes of exploded rows are estimated too low for Spark to choose the join
+    return keyed.join(least.hint("merge"), ["bits", "rest"]).where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
 
 
 def members_of_shared(keyed: DataFrame, key: str, member: str) -> DataFrame:
