@@ -37,11 +37,11 @@ from .common import read_table, slices, text_or_empty, write_table
 
 LENGTH = 100
 KMER = 24
-#: Contexts of an anchor, counted once per block, up to which they meet in one task: some 7 MB.
-CROWDED = 50_000
+#: Contexts of an anchor, counted once per block, up to which they meet in one task: some 2 MB.
+CROWDED = 16_000
 #: Text bytes that a task looks for anchors in at a time, and context bytes that one index holds.
 BLOCK_BYTES = 2 << 20
-INDEX_BYTES = 3 << 20
+INDEX_BYTES = 1 << 20
 ODD = np.uint64(0x9E3779B97F4A7C15)
 TABLE = np.random.default_rng(7).integers(0, 1 << 64, 256, dtype=np.uint64)
 
