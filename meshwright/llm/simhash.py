@@ -10,8 +10,8 @@ stays linear in a group's size.
 near_duplicates() serves five-word shingles at a Jaccard similarity of 0.8. There whole fingerprints differ in some 10 of
 64 bits, too many for selective segments, so it also takes part fingerprints: shingles are dealt to parts by their hash,
 and a part's fingerprint is the SimHash of its least few shingles. Equal part fingerprints or whole fingerprints within two
-bits propose pairs, and the Jaccard similarity of the shingle sets decides, exact for sets below SKETCH, else from
-their least SKETCH hashes.
+bits propose pairs, and the Jaccard similarity of the whole shingle sets decides. The least SKETCH hashes of two sets only
+discard pairs whose estimate is by SKETCH_SLACK below the wanted similarity.
 
 Defined cases: a null or empty text has fingerprint 0, as any text without words; a null id takes part but never names a
 component unless its whole component has none; repeated rows each get a row; extra columns are dropped by
@@ -36,8 +36,9 @@ SEED = 42
 #: Members of a variant up to which all its pairs are verified.
 SMALL = 32
 PARTS, LEAST = 24, 4
-#: Least hashes of a shingle set that verification compares: exact below, a standard error of 0.025 at 0.8 beyond.
-SKETCH = 256
+#: Least hashes of a shingle set that go with every document. Sets up to that size are whole in it; for larger ones its estimate, with a standard
+#: error of 0.025 at 0.8, discards pairs that lie SKETCH_SLACK (8 errors, a chance of some 1e-12) below.
+SKETCH, SKETCH_SLACK = 256, 0.2
 #: Members of a part up to which all its pairs are proposed.
 SMALL_PART = 40
 BLOCK_BYTES = 8 << 20
@@ -128,15 +129,51 @@ def op2_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resemblance(x: np.ndarray, y: np.ndarray) -> float:
-    """Jaccard similarity of two sorted sketches: exact for sets below SKETCH, else from the least SKETCH hashes of the union."""
-    both = np.sort(np.concatenate([x, y]))
-    fresh = np.r_[True, both[1:] != both[:-1]] if len(both) else np.zeros(0, bool)
-    union = both[fresh]
-    if max(len(x), len(y)) >= SKETCH:
-        union = union[:SKETCH]
-    if not len(union):
-        return 1.0
-    return float((both[1:][~fresh[1:]] <= union[-1]).sum()) / len(union)
+    """Jaccard similarity of two sorted sets of hashes."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
+
+
+def estimate(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity by the least SKETCH hashes of the union of two sets, from the least SKETCH of each."""
+    union = np.union1d(x, y)[:SKETCH]
+    return len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)) / max(len(union), 1)
+
+
+def verified_pairs(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """The pairs a, b whose whole shingle sets reach the similarity. sketches has id, size, shingles; rows has id, text."""
+    kind = dict(pairs.dtypes)["a"]
+    faced = pairs.join(sketches.toDF("a", "m", "left").hint("merge"), "a").join(sketches.toDF("b", "n", "right").hint("merge"), "b").where(F.least("m", "n") >= F.greatest("m", "n") * similarity - 1e-9)
+
+    def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, whole = [], []
+            for m, n, x, y in zip(*(batch.column(c) for c in ("m", "n", "left", "right"))):
+                x, y = np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")
+                whole.append(max(m.as_py(), n.as_py()) <= SKETCH)
+                keep.append(resemblance(x, y) >= similarity if whole[-1] else estimate(x, y) >= similarity - SKETCH_SLACK)
+            kept = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(whole, pa.bool_())], names=["a", "b", "whole"])
+            yield kept.filter(pa.array(keep, pa.bool_()))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, BLOCK_BYTES):
+                sets = [np.unique(shingle_hashes(t.as_py(), words)).astype("<u8").tobytes() for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.binary())], names=["id", "set"])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = [resemblance(np.frombuffer(x.as_py(), "<u8"), np.frombuffer(y.as_py(), "<u8")) >= similarity for x, y in zip(batch.column("left"), batch.column("right"))]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    screened = write_table(faced.select("a", "b", "m", "n", "left", "right").mapInArrow(screen, f"a {kind}, b {kind}, whole boolean"), "screened")
+    # larger sets are made again from the texts, for the documents of the remaining pairs only
+    large = screened.where("NOT whole").select("a", "b")
+    wanted = large.select(F.col("a").alias("id")).unionByName(large.select(F.col("b").alias("id"))).distinct()
+    sets = write_table(rows.join(wanted, "id", "left_semi").mapInArrow(hashed, f"id {kind}, set binary"), "whole-sets")
+    compared = large.join(sets.toDF("a", "left").hint("merge"), "a").join(sets.toDF("b", "right").hint("merge"), "b")
+    decided = compared.select("a", "b", "left", "right").mapInArrow(decide, f"a {kind}, b {kind}")
+    return write_table(screened.where("whole").select("a", "b").unionByName(decided).distinct(), "verified")
 
 
 def near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -147,17 +184,18 @@ def near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str = "text
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, BLOCK_BYTES):
-                whole, shingles, digest, parts = [], [], [], []
+                whole, size, shingles, digest, parts = [], [], [], [], []
                 for t in part.column(1):
                     distinct = np.unique(shingle_hashes(t.as_py(), words))
                     whole.append(simhash(distinct))
-                    shingles.append((distinct[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes())
+                    size.append(len(distinct))
+                    shingles.append(distinct[:SKETCH].astype("<u8").tobytes())
                     digest.append(xxhash.xxh128_digest(distinct.astype("<u8").tobytes()))
                     at = (distinct % np.uint64(PARTS)).astype(np.int64)
                     parts.append([xxhash.xxh64_intdigest(own[:LEAST].tobytes(), p) - 2**63 for p in range(PARTS) if len(own := distinct[at == p])])
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole, pa.int64()), pa.array(shingles, pa.binary()), pa.array(digest, pa.binary()), pa.array(parts, pa.list_(pa.int64()))], names=["id", "fp", "shingles", "digest", "parts"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(whole, pa.int64()), pa.array(size, pa.int32()), pa.array(shingles, pa.binary()), pa.array(digest, pa.binary()), pa.array(parts, pa.list_(pa.int64()))], names=["id", "fp", "size", "shingles", "digest", "parts"])
 
-    made = write_table(rows.mapInArrow(make, f"id {kind}, fp long, shingles binary, digest binary, parts array<long>"), "shingles", "zstd")
+    made = write_table(rows.mapInArrow(make, f"id {kind}, fp long, size int, shingles binary, digest binary, parts array<long>"), "shingles", "zstd")
     alike = write_table(made.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")), "alike")
     firsts = alike.where("first IS NOT NULL").select(F.col("first").alias("id"), "digest")
     one = write_table(made.select("id", "digest", "fp", "parts").join(firsts, ["id", "digest"], "left_semi").dropDuplicates(["id"]), "one-of-alike", "zstd")
@@ -179,24 +217,13 @@ def near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str = "text
     linked = close_links(prints.select("fp"))
     bits = linked.join(first.select(F.col("p").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("p").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     pairs = often.unionByName(stars).unionByName(rings).unionByName(same).unionByName(bits).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    sets = made.select("id", "shingles")
-    faced = pairs.join(sets.toDF("a", "left").hint("merge"), "a").join(sets.toDF("b", "right").hint("merge"), "b")
-
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left"), batch.column("right")):
-                keep.append(resemblance(np.frombuffer(x.as_py(), "<u4"), np.frombuffer(y.as_py(), "<u4")) >= similarity)
-            keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
-
-    verified = write_table(faced.select("a", "b", "left", "right").mapInArrow(verify, f"a {kind}, b {kind}"), "verified")
+    sketches = made.select("id", "size", "shingles")
+    verified = verified_pairs(pairs, sketches, rows, words, similarity)
     # a copy may only be close to the document that the others were copied from: try the best linked one of a crowded part
     degree = verified.select("a").unionByName(verified.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("degree"))
     hubs = many.join(degree.withColumnRenamed("a", "id"), "id").groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("hub"))
     again = many.join(hubs, "key").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().join(verified, ["a", "b"], "left_anti")
-    faced = again.join(sets.toDF("a", "left").hint("merge"), "a").join(sets.toDF("b", "right").hint("merge"), "b")
-    more = faced.select("a", "b", "left", "right").mapInArrow(verify, f"a {kind}, b {kind}")
+    more = verified_pairs(again, sketches, rows, words, similarity)
     roots = components(verified.unionByName(more).select(F.col("a").cast("long"), F.col("b").cast("long")))
     firsts = alike.join(roots.toDF("first", "root"), "first", "left").select("digest", F.coalesce("root", "first").alias("component"))
     return made.select("id", "digest").join(firsts, "digest").select("id", "component")

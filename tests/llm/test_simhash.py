@@ -108,3 +108,18 @@ def test_drop_keeps_one_of_repeated_rows(spark):
     got = [(r.doc_id, r.digest) for r in S.drop_near_duplicates(docs).collect()]
     assert sorted(d for d, _ in got if d is not None) == [1, 4] and (None, "w") in got
     assert S.drop_near_duplicates(docs.limit(0)).collect() == []
+
+
+def test_pairs_of_long_texts_are_decided_on_their_whole_sets(spark):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(6))
+    docs = []
+    for g in range(60):
+        # a run of fresh words at the end: similarities just above and just below 0.8
+        base, end = [word() for _ in range(1500)], round(1500 / 9) + rng.choice([-8, -5, 5, 8])
+        docs += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[:-end] + [word() for _ in range(end)]))]
+    sets = [set(S.shingle_hashes(t.encode(), 5).tolist()) for _, t in docs]
+    want = {d for d, _ in docs if d % 2 == 0 or len(sets[d] & sets[d - 1]) < 0.8 * len(sets[d] | sets[d - 1])}
+    assert 70 < len(want) < 110
+    kept = {r.doc_id for r in S.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert kept == want
