@@ -198,12 +198,13 @@ def near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str = "text
     made = write_table(rows.mapInArrow(make, f"id {kind}, fp long, size int, shingles binary, digest binary, parts array<long>"), "shingles", "zstd")
     alike = write_table(made.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")), "alike")
     firsts = alike.where("first IS NOT NULL").select(F.col("first").alias("id"), "digest")
-    one = write_table(made.select("id", "digest", "fp", "parts").join(firsts, ["id", "digest"], "left_semi").dropDuplicates(["id"]), "one-of-alike", "zstd")
+    one = write_table(made.select("id", "digest", "fp", "size", "parts").join(firsts, ["id", "digest"], "left_semi").dropDuplicates(["id"]), "one-of-alike", "zstd")
     # the same part fingerprint
-    members = members_of_shared(one.select("id", F.explode("parts").alias("key")), "key", "id")
-    often = pairs_within(members, "key", "id", SMALL_PART).groupBy("a", "b").agg(F.count("*").alias("n")).where("n > 1").select("a", "b")
+    members = members_of_shared(one.select(F.struct("id", "size").alias("id"), F.explode("parts").alias("key")), "key", "id")
+    sized = pairs_within(members, "key", "id", SMALL_PART).where(F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * similarity - 1e-9)
+    often = sized.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     # crowded parts: each member with the first and, in hashed order within a salt, with the next ones
-    crowded = members.where(F.col("n") > SMALL_PART)
+    crowded = members.where(F.col("n") > SMALL_PART).select("key", F.col("id.id").alias("id"))
     many = crowded.join(crowded.groupBy("key").agg(F.min("id").alias("least")), "key")
     ring = Window.partitionBy("key", "salt").orderBy(F.xxhash64("id", "key"))
     salted = many.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)))
