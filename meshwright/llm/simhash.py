@@ -11,7 +11,8 @@ near_duplicates() serves five-word shingles at a Jaccard similarity of 0.8. Ther
 64 bits, too many for selective segments, so it also takes part fingerprints: shingles are dealt to parts by their hash,
 and a part's fingerprint is the SimHash of its least few shingles. Equal part fingerprints or whole fingerprints within two
 bits propose pairs, and the Jaccard similarity of the whole shingle sets decides. The least SKETCH hashes of two sets only
-discard pairs whose estimate is by SKETCH_SLACK below the wanted similarity.
+discard pairs whose estimate is by SKETCH_SLACK below the wanted similarity. Parts that more than SMALL_PART documents share are
+first linked through a few members; the documents of those that are not in one component by then go to an exact prefix join.
 
 Defined cases: a null or empty text has fingerprint 0, as any text without words; a null id takes part but never names a
 component unless its whole component has none; repeated rows each get a row; extra columns are dropped by
@@ -41,6 +42,8 @@ PARTS, LEAST = 24, 4
 SKETCH, SKETCH_SLACK = 256, 0.2
 #: Members of a part up to which all its pairs are proposed.
 SMALL_PART = 40
+#: Members of a prefix shingle that are listed together.
+LISTED = 256
 BLOCK_BYTES = 8 << 20
 
 
@@ -176,6 +179,38 @@ def verified_pairs(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, words
     return write_table(screened.where("whole").select("a", "b").unionByName(decided).distinct(), "verified")
 
 
+def prefix_pairs(rooted: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
+    """a, b: all pairs of the documents in rooted (id, root) that have different roots and may reach the similarity, by prefix and position
+    filters: two such sets share one of the first shingles of each, rarest first, with enough shingles after it in both."""
+    kind = dict(rooted.dtypes)["id"]
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 1, BLOCK_BYTES):
+                sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "size", "tokens"])
+
+    made = write_table(rows.join(rooted, "id", "left_semi").mapInArrow(hashed, f"id {kind}, size int, tokens array<long>"), "crowded-sets", "zstd")
+    tokens = made.dropDuplicates(["id"]).select("id", "size", F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("id").orderBy("df", "token")
+    ranked = tokens.join(often.hint("merge"), "token").withColumn("pos", F.row_number().over(order) - 1)
+    prefix = ranked.where((F.col("df") > 1) & (F.col("pos") <= F.col("size") - F.ceil(F.col("size") * similarity - 1e-6)))
+    keyed = write_table(prefix.join(rooted, "id").select("token", "root", "id", "size", (F.col("size") - F.col("pos")).alias("rest")), "prefixes")
+    mixed = keyed.groupBy("token").agg(F.count("*").alias("n"), F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("token", "n")
+    dealt = keyed.join(mixed.hint("merge"), "token").withColumn("list", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / LISTED)))
+    lists = dealt.groupBy("token", "root", "list").agg(F.collect_list(F.struct("id", "size", "rest")).alias("all"), F.min("size").alias("least"), F.max("size").alias("most"), F.max("rest").alias("rest")).drop("list")
+    lists = write_table(lists, "prefix-lists")
+    share = similarity / (1 + similarity)
+    may = lambda rest, size, least, most: (rest >= share * size - 1e-6) & (least <= most / similarity + 1e-6)
+    x, y = lists.alias("x"), lists.alias("y")
+    bound = may(F.least("x.rest", "y.rest"), F.col("x.least") + F.col("y.least"), F.greatest("x.least", "y.least"), F.least("x.most", "y.most"))
+    faced = x.join(y.hint("merge"), (F.col("x.token") == F.col("y.token")) & (F.col("x.root") < F.col("y.root")) & bound)
+    each = faced.select(F.explode("x.all").alias("a"), F.col("y.all").alias("all")).select("a", F.explode("all").alias("b"))
+    close = may(F.least("a.rest", "b.rest"), F.col("a.size") + F.col("b.size"), F.greatest("a.size", "b.size"), F.least("a.size", "b.size"))
+    return each.where(close).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """id, component for each distinct identity: the least identity that verified links reach."""
     rows = docs.select(F.col(identity).alias("id"), text_or_empty(text).cast("binary").alias("text"))
@@ -226,6 +261,15 @@ def near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str = "text
     again = many.join(hubs, "key").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().join(verified, ["a", "b"], "left_anti")
     more = verified_pairs(again, sketches, rows, words, similarity)
     roots = components(verified.unionByName(more).select(F.col("a").cast("long"), F.col("b").cast("long")))
+    # crowded parts whose members are not in one component: all pairs across components
+    placed = many.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", F.col("id").cast("long")))
+    split = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
+    rooted = write_table(placed.join(split, "key", "left_semi").select("id", "root").distinct(), "crowded")
+    if not rooted.isEmpty():
+        rest = write_table(prefix_pairs(rooted, rows, words, similarity), "prefix-pairs")
+        last = verified_pairs(rest, sketches, rows, words, similarity)
+        if not last.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(last.select(F.col("a").cast("long"), F.col("b").cast("long"))))
     firsts = alike.join(roots.toDF("first", "root"), "first", "left").select("digest", F.coalesce("root", "first").alias("component"))
     return made.select("id", "digest").join(firsts, "digest").select("id", "component")
 
