@@ -2,7 +2,9 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from meshwright.llm import weighted as G
 
@@ -62,3 +64,24 @@ def test_query(spark, sf):
         assert (got[d].n_chars, got[d].edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
         assert prints.setdefault(t, got[d].fingerprint) == got[d].fingerprint
     assert sum(got[d].near_edited > got[d].near_next for d, _ in texts) > 0.9 * len(texts)
+
+
+def test_draws_follow_the_gamma_law_into_its_tails(spark):
+    n = 300_000
+    bits = F.xxhash64("id", F.lit(7))
+    rows = spark.range(n).select(G.gamma_draw(bits, 32).alias("r"), G.gamma_draw(bits, 0, log=True).alias("c")).toPandas()
+    for x in (rows.r.to_numpy(), np.exp(rows.c.to_numpy())):
+        x = np.sort(x)
+        assert np.abs(1 - (1 + x) * np.exp(-x) - (np.arange(n) + 0.5) / n).max() < 0.004
+        assert x[0] < 0.008 and x[-1] > 13 and len(np.unique(x)) > 0.9 * n
+    assert abs(np.corrcoef(rows.r, rows.c)[0, 1]) < 0.01
+
+
+def test_long_texts_keep_the_error_of_64_samples(spark):
+    rng = random.Random(8)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.6))}" if rng.random() < 0.4 else f"v{i // 2}x{rng.randrange(3000)}" for _ in range(6000)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in G.edited_fingerprints(docs).collect()}
+    assert G.SAMPLES >= 64 and all(len(r.fingerprint) == G.DIGITS * G.SAMPLES for r in got.values())
+    errors = [got[i].near_edited - jaccard(t, e) for i, (t, e) in enumerate(zip(texts, edits(texts)))]
+    assert (sum(e * e for e in errors) / len(errors)) ** 0.5 < 0.09
