@@ -9,6 +9,8 @@ from pyspark.sql.window import Window
 from ..functions.values import is_finite
 
 QUANTILES = {"p25": 0.25, "p75": 0.75}
+#: Distinct values of a group up to which they are held in one array.
+MOST_VALUES = 10_000
 STATISTICS = ("mean", "max", "min", "p25", "p75", "valid_area_fraction")
 
 
@@ -39,16 +41,22 @@ def statistics(df: DataFrame, keys: list[str], x: str, w: str) -> DataFrame:
     return ranked.groupBy(*keys).agg(mean(x, w).alias("mean"), F.max("_x").alias("max"), F.min("_x").alias("min"), *[c.alias(n) for n, c in quantile.items()], valid_share(x, w).alias("valid_area_fraction"))
 
 
-def quantiles_by_array(df: DataFrame, keys: list[str], x: str, w: str) -> DataFrame:
-    """The quantiles without a window: each group's values in one array, for groups known to be small."""
-    listed = df.where(valid(x, w)).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(w).alias("w")))).alias("v"), F.sum(w).alias("total"))
+def quantiles_by_array(df: DataFrame, keys: list[str], x: str, w: str, most: int = MOST_VALUES) -> DataFrame:
+    """The quantiles without a window: each group's distinct values with their summed weights in one array. Groups of more distinct values
+    than most go to the window form, which can spill."""
+    values = df.where(valid(x, w)).groupBy(*keys, x).agg(F.sum(w).alias(w))
+    sizes = values.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > most)
+    large = sizes.select(*[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)])
+    same = [F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)]
+    listed = values.join(large, same, "left_anti").groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col(x).alias("x"), F.col(w).alias("w")))).alias("v"), F.sum(w).alias("total"))
 
     def pick(p: float) -> Column:
         start = F.struct(F.lit(0.0).alias("run"), F.lit(None).cast("double").alias("found"))
         step = lambda a, v: F.struct((a["run"] + v["w"]).alias("run"), F.when(a["found"].isNull() & ((a["run"] + v["w"]) / F.col("total") >= p), v["x"]).otherwise(a["found"]).alias("found"))
         return F.aggregate("v", start, step)["found"]
 
-    return listed.select(*keys, *[pick(p).alias(n) for n, p in QUANTILES.items()])
+    by_window = statistics(values.join(large, same, "left_semi"), keys, x, w).select(*keys, *QUANTILES)
+    return listed.select(*keys, *[pick(p).alias(n) for n, p in QUANTILES.items()]).unionByName(by_window)
 
 
 def statistics_of_many(df: DataFrame, keys: list[str], variables: list[str], w: str) -> DataFrame:

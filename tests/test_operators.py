@@ -51,6 +51,23 @@ def test_quantile_strategies_agree_with_numpy(spark, rows):
     assert window == array == want
 
 
+def test_quantile_arrays_are_bounded(spark):
+    from pyspark.sql import functions as F
+
+    # a hot key of few values, one of many values, a null key
+    hot = spark.range(200_000).select(F.lit(1).alias("k"), (F.col("id") % 11 / 100).alias("x"), (F.col("id") % 50 + 1.0).alias("w"))
+    wide = spark.range(3_000).select(F.lit(2).alias("k"), (F.col("id") * 37 % 3000).cast("double").alias("x"), F.lit(1.0).alias("w"))
+    none = spark.range(40).select(F.lit(None).cast("int").alias("k"), F.col("id").cast("double").alias("x"), F.lit(1.0).alias("w"))
+    df = hot.unionByName(wide).unionByName(none)
+    want = {r.k: (r.p25, r.p75) for r in W.statistics(df, ["k"], "x", "w").collect()}
+    for most in (5, 100, 10_000):
+        found = W.quantiles_by_array(df, ["k"], "x", "w", most)
+        assert {r.k: (r.p25, r.p75) for r in found.collect()} == want
+    # the rows of a key are summed by value before they are listed
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" in plan and "sum(w" in plan.split("collect_list", 1)[1]
+
+
 def test_strict_days(spark):
     hours = [(1, dt.datetime(2024, 1, 1, h), 1.0 + h) for h in range(24)] + [(2, dt.datetime(2024, 1, 1, h), NAN if h == 5 else 1.0) for h in range(24)] + [(3, dt.datetime(2024, 1, 1, h), 1.0) for h in range(23)]
     field = spark.createDataFrame(hours, "cell_id int, ts timestamp_ntz, x double")
