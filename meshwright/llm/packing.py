@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import read_table, slices, text_or_empty, write_table
-from .tokens import BLOCK_BYTES, PLAIN, RANKS, SPECIAL, SPECIAL_ID, VOCABULARY, block_units, fast_encoder, tokenizer, vocabulary_path
+from .tokens import PLAIN, RANKS, SPECIAL, SPECIAL_ID, VOCABULARY, block_units, fast_encoder, tokenizer, vocabulary_path
 
 MAX_TOKENS = 2048
 END_ID = 0
+#: Text bytes that a task encodes at a time.
+BLOCK_BYTES = 8 << 20
 #: Buckets in which pieces of one length are ranked.
 RANK_BUCKETS = 64
 #: Patterns that enter the least-squares fit at most, and its rounds.

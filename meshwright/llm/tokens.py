@@ -9,7 +9,7 @@ their postings need no shuffle. No ids are materialised. A pre-token that is in
 most, so no key is hot. Rows are numbered while a table is scanned twice: docs should be read from files, not drawn anew.
 
 Defined cases: a null or empty text has 0 tokens, repeated rows are each counted, a null id is kept as such, an empty table
-gives no rows. The text of a special token counts as that token, as the tokenizers library does by default.
+gives no rows; a very long text is a block of its own; extra columns, whatever their names, are dropped. The text of a special token counts as that token, as the tokenizers library does by default.
 """
 
 from __future__ import annotations
@@ -39,8 +39,10 @@ PLAIN_PATTERN = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s
 #: White space of any kind beside a space, a space at either end, or the special token (RE2).
 LOOSE = r"[\s\pZ\x{85}\x0b\x1c-\x1f] | [\s\pZ\x{85}\x0b\x1c-\x1f]|^ | $|<\|endoftext\|>"
 CUT = re.compile(r"(?<=\S) (?=\S)")
-#: Text bytes that a task holds as units and postings at a time.
-BLOCK_BYTES = 16 << 20
+#: Text bytes that a task holds as units and postings at a time. Each takes some 30 bytes of work arrays.
+BLOCK_BYTES = 4 << 20
+#: Postings that a task weighs at a time.
+POSTING_BYTES = 8 << 20
 #: Pre-tokens, of so many bytes at most, whose piece counts every task gets: some 6 MB. They cover most of a corpus's postings; a join brings the rest.
 MOST_FREQUENT, SHORT_BYTES = 200_000, 32
 
@@ -92,7 +94,6 @@ def count_pieces(strings: list[str], path: str) -> list[int]:
     return [len(x.ids) for x in tokenizer(path).encode_batch(strings, add_special_tokens=False)]
 
 
-
 def block_units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     """The distinct units of a block of texts (no nulls), the units in their order as numbers of these, and how many each text has."""
     loose = pc.match_substring_regex(texts, LOOSE)
@@ -149,9 +150,11 @@ def block_frequencies(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarra
 
 
 def frequent(counted: DataFrame, most: int) -> dict[str, int]:
-    """Pieces of the pre-tokens that most blocks hold: short ones, at most so many, whatever the corpus."""
+    """Pieces of the pre-tokens that most blocks hold: short ones, at most so many, whatever the corpus. Numbers of blocks are told apart in
+    steps of a sixteenth, so some 700 rows at most are looked at to find where to stop."""
     short = counted.where(F.octet_length("pretoken") <= SHORT_BYTES)
-    held = sorted(((r.blocks, r["count"]) for r in short.groupBy("blocks").count().collect()), reverse=True)
+    level = F.floor(F.log2(F.col("blocks").cast("double")) * 16)
+    held = sorted(((r.level, r["count"]) for r in short.groupBy(level.alias("level")).count().collect()), reverse=True)
     least, total = None, 0
     for blocks, n in held:
         total += n
@@ -160,7 +163,7 @@ def frequent(counted: DataFrame, most: int) -> dict[str, int]:
         least = blocks
     if least is None:
         return {}
-    return {r.pretoken: r.pieces for r in short.where(F.col("blocks") >= least).select("pretoken", "pieces").collect()}
+    return {r.pretoken: r.pieces for r in short.where(level >= least).select("pretoken", "pieces").collect()}
 
 
 def pack_postings(doc: np.ndarray, times: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -222,7 +225,7 @@ def count_tokens(docs: DataFrame, identity: str = "doc_id", text: str = "text",
                 )
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 1, POSTING_BYTES)):
             postings = batch.filter(pc.is_valid(batch.column("pieces")))
             data = postings.column("data").to_pylist()
             wide = np.fromiter((len(x) // 3 for x in data), np.int64, len(data))
