@@ -9,16 +9,17 @@ these strings cover. Contexts are dealt by anchor:
 2. Of equal contexts in a block of documents the first goes on, the others are repeats as they are. However often a passage
    occurs, each block sends its context once.
 3. Contexts meet by anchor. Of equal ones the first stays; different ones may still share strings, where copies begin or end.
-   For these, tasks build the index of a block of contexts: the multi-string Burrows-Wheeler transform by prefix doubling,
-   kept as its runs with the text positions sampled at both ends of each run. Every context is streamed through the index from
-   its end, all contexts in step, each step an LF mapping over runs; with the ranks at which strings stop to agree on `length`
-   bytes this gives each position's matching statistic as far as it matters: the class of equal strings, whose first stays.
-   Anchors with more than CROWDED contexts are dealt on by a hash of each context, then of each string, so no anchor fills a task.
+   For these, tasks build the index of a block of contexts: the multi-string Burrows-Wheeler transform, kept as its runs with the
+   text positions sampled at both ends of each run. Every context is streamed through the index from its end, all contexts in
+   step, each step an LF mapping over runs. Inside a run a match with the suffix ranked before grows by one byte; at a run's head
+   it starts anew from the sampled ends of this run and of the symbol's run before. Matches of `length` bytes mark equal strings,
+   whose first stays. An anchor with more than CROWDED contexts is made longer: its strings are dealt by where it lies in them,
+   each deal by the longer run of bytes that its strings share, until no anchor fills a task.
 4. Removed runs are merged per document, and the kept bytes are hashed.
 
 Defined cases: a null or empty text has no bytes; a text shorter than length bytes loses nothing; rows that repeat an identity
 are ordered by a hash of their text, and of rows that repeat both the first keeps what is new and the others lose it; a null
-identity sorts first; extra columns are dropped by repeated_spans() and kept by drop_repeats(); an empty table gives no rows.
+identity sorts first; a very long text is cut into contexts as any other; extra columns are dropped by repeated_spans() and kept by drop_repeats(); an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -110,8 +112,12 @@ class RunIndex:
         body[ends - 1] = False
         text[body] = np.frombuffer(b"".join(strings), np.uint8).astype(np.int64) + 1
         self.ends, self.starts, self.length = ends - 1, ends - sizes - 1, length
-        left = np.repeat(ends, sizes + 1) - np.arange(n)  # bytes to the string's end, with it
-        rank, self.group = self.sort(text, left, ends - 1, length)
+        self.left = np.repeat(ends, sizes + 1) - np.arange(n)  # bytes to the string's end, with it
+        # 7 symbols of 9 bits from each place on
+        self.packed, padded = np.zeros(n, np.int64), np.concatenate([text, np.zeros(7, np.int64)])
+        for k in range(7):
+            self.packed = self.packed << 9 | np.where(self.left > k, padded[k : k + n], 0)
+        rank = self.sort(self.packed, self.left, ends - 1)
         order = np.empty(n, np.int64)
         order[rank] = np.arange(n)
         last = np.where(np.isin(order, self.starts), 0, text[order - 1])  # what precedes each suffix
@@ -120,89 +126,93 @@ class RunIndex:
         self.run_size = np.diff(np.r_[head, n])
         self.first_sample = order[head]
         self.last_sample = order[np.r_[head[1:], n] - 1] if n else head
-        # where the first of each run goes: symbols sort runs, in their order
+        # where the first of each run goes: symbols sort runs, in their order; and the run of the same symbol before it
         by_symbol = np.argsort(self.symbol, kind="stable")
-        goes = np.empty(len(head), np.int64)
-        goes[by_symbol] = np.cumsum(self.run_size[by_symbol]) - self.run_size[by_symbol]
-        self.goes = goes
-        # ranks where another class of strings of `length` bytes begins
-        groups = self.group[order]
-        self.border = np.flatnonzero(np.r_[True, groups[1:] != groups[:-1]]) if n else head
+        self.goes = np.empty(len(head), np.int64)
+        self.goes[by_symbol] = np.cumsum(self.run_size[by_symbol]) - self.run_size[by_symbol]
+        self.before = np.full(len(head), -1)
+        follows = np.flatnonzero(self.symbol[by_symbol][1:] == self.symbol[by_symbol][:-1]) + 1
+        self.before[by_symbol[follows]] = by_symbol[follows - 1]
         self.end_rank = rank[self.ends]
 
     @staticmethod
-    def sort(text: np.ndarray, left: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """Rank of each suffix (of equal ones the earlier string's first), and its class by the first `length` bytes (-1 where the string ends before)."""
-        n = len(text)
+    def sort(packed: np.ndarray, left: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Rank of each suffix (of equal ones the earlier string's first), by prefix doubling from 7 symbols on."""
+        n = len(packed)
         if not n:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        # start from 7 symbols of 9 bits; strings that end within them are told apart by their number
-        packed, padded = np.zeros(n, np.int64), np.concatenate([text, np.zeros(7, np.int64)])
-        for k in range(7):
-            packed = packed << 9 | np.where(left > k, padded[k : k + n], 0)
-        depth, group = min(7, length), None
-        if depth < 7:
-            packed >>= 9 * (7 - depth)
-        number = np.searchsorted(ends, np.arange(n), side="left")
-        tie = np.where(left <= depth, number + 1, 0)
+            return np.zeros(0, np.int64)
+        depth, where = 7, np.arange(n)
+        # strings that end within the first symbols are told apart by their number
+        tie = np.where(left <= depth, np.searchsorted(ends, where, side="left") + 1, 0)
         order = np.lexsort((tie, packed))
         a, b = packed[order], tie[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.r_[0, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        where = np.arange(n)
-
-        def doubled(rank: np.ndarray, other: np.ndarray, shift: int) -> np.ndarray:
+        while int(rank.max()) < n - 1:
             # suffixes that end within the first part are told apart by it already
-            ahead = np.where(left > shift, other[np.minimum(where + shift, n - 1)], 0)
-            key = rank * (int(other.max()) + 2) + ahead
+            key = rank * (int(rank.max()) + 2) + np.where(left > depth, rank[np.minimum(where + depth, n - 1)], 0)
             order = np.argsort(key)
             sorted_key = key[order]
-            out = np.empty(n, np.int64)
-            out[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
-            return out
-
-        while True:
-            if group is None and depth * 2 > length:
-                group = doubled(rank, rank, length - depth) if length > depth else rank
-            if int(rank.max()) == n - 1 and group is not None:
-                break
-            rank = doubled(rank, rank, depth)
+            rank = np.empty(n, np.int64)
+            rank[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
             depth *= 2
-        return rank, np.where(left > length, group, -1)
-
-    def stream(self) -> tuple[np.ndarray, np.ndarray]:
-        """For all strings in step, from their ends backwards: positions of strings of `length` bytes and the first rank of their class."""
-        rank = self.end_rank.copy()
-        at = self.ends.copy()
-        positions, classes = [], []
-        live = np.arange(len(at))
+        return rank
+
+    def agreement(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Bytes, up to `length`, on which the strings from places a and b on agree."""
+        found, live = np.full(len(a), self.length), np.arange(len(a))
+        most = len(self.packed) - 1
+        for k in range(0, self.length, 7):
+            differ = self.packed[np.minimum(a[live] + k, most)] ^ self.packed[np.minimum(b[live] + k, most)]
+            apart = np.flatnonzero(differ)
+            found[live[apart]] = k + sum((differ[apart] >> 9 * j == 0).astype(np.int64) for j in range(7))
+            live = live[differ == 0]
+            if not len(live):
+                break
+        return np.minimum(np.minimum(found, self.length), np.minimum(self.left[a], self.left[b]) - 1)
+
+    def stream(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Matching statistics of all strings, streamed in step from their ends backwards: places, ranks, and the bytes (up to `length`) that
+        the suffix at each place has in common with the one ranked before it.
+
+        Within a run both step back over the same symbol, so a match grows by one. At a run's head the suffix before it leaves; the next
+        one to step back over the symbol is the last of the symbol's run before, whose sample gives the place to match against.
+        """
+        known = np.flatnonzero(self.before >= 0)
+        at_head = np.zeros(len(self.head), np.int64)
+        at_head[known] = np.minimum(self.agreement(self.first_sample[known], self.last_sample[self.before[known]]) + 1, self.length)
+        rank, at, matched = self.end_rank.copy(), self.ends.copy(), np.zeros(len(self.ends), np.int64)
+        found: list[tuple] = [(np.zeros(0, np.int64),) * 3]
+        live = np.flatnonzero(at > self.starts)
         while len(live):
             run = np.searchsorted(self.head, rank[live], side="right") - 1
-            going = at[live] > self.starts[live]
-            live, run = live[going], run[going]
-            rank[live] = self.goes[run] + rank[live] - self.head[run]
+            step = rank[live] - self.head[run]
+            matched[live] = np.where(step == 0, at_head[run], np.minimum(matched[live] + 1, self.length))
+            rank[live] = self.goes[run] + step
             at[live] -= 1
-            whole = live[self.ends[live] - at[live] >= self.length]
-            if len(whole):
-                positions.append(at[whole])
-                classes.append(np.searchsorted(self.border, rank[whole], side="right") - 1)
-        if not positions:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate(positions), np.concatenate(classes)
+            found.append((at[live], rank[live], matched[live]))
+            live = live[at[live] > self.starts[live]]
+        return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def repeats_among(contexts: list[bytes], length: int) -> list[np.ndarray]:
-    """For contexts in their order in the corpus: which of the strings that start in each also start in an earlier one."""
+    """For contexts in their order in the corpus: which of the strings that start in each also start in an earlier one. Neighbours in rank that
+    match on length bytes have the same string there; the first place of such a stretch stays."""
     index = RunIndex(contexts, length)
-    positions, classes = index.stream()
+    places, ranks, matched = index.stream()
     count = np.fromiter((max(len(c) - length + 1, 0) for c in contexts), np.int64, len(contexts))
     base = np.cumsum(count) - count
-    owner = np.searchsorted(index.ends, positions, side="left")
     flat = np.zeros(int(count.sum()), bool)
-    order = np.lexsort((positions, classes))
-    repeated = np.r_[False, classes[order][1:] == classes[order][:-1]] if len(order) else np.zeros(0, bool)
-    hit = order[repeated]
-    flat[base[owner[hit]] + positions[hit] - index.starts[owner[hit]]] = True
+    order = np.argsort(ranks)
+    stretch = np.cumsum(matched[order] < length)
+    places = places[order]
+    whole = index.left[places] > length
+    places, stretch = places[whole], stretch[whole]
+    order = np.lexsort((places, stretch))
+    places, stretch = places[order], stretch[order]
+    hit = places[1:][stretch[1:] == stretch[:-1]]
+    owner = np.searchsorted(index.ends, hit, side="left")
+    flat[base[owner] + hit - index.starts[owner]] = True
     return np.split(flat, np.cumsum(count)[:-1]) if len(count) else []
 
 
@@ -235,8 +245,12 @@ def layout(part: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(b"".join(values), np.uint8), ends - np.fromiter(map(len, values), np.int64, len(values)), ends
 
 
+#: A place as it is packed: document, start of a string in it.
+PLACE = np.dtype([("doc", "<i8"), ("start", "<u4")])
+
+
 def anchors(placed: DataFrame, length: int, kmer: int) -> DataFrame:
-    """h, doc, start of each anchor's first string."""
+    """h, n, places (packed) of each anchor in a block of documents: one row, however often it occurs there, so no hash is a hot key."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,14 +258,33 @@ def anchors(placed: DataFrame, length: int, kmer: int) -> DataFrame:
                 data, starts, ends = layout(part.column(1))
                 hashes, begin, _, _ = governed(data, starts, ends, length, kmer)
                 owner = np.searchsorted(ends, begin, side="right")
-                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), part.column(0).take(pa.array(owner)), pa.array(begin - starts[owner])], names=["h", "doc", "start"])
+                order = np.argsort(hashes, kind="stable")
+                hashes, begin, owner = hashes[order], begin[order], owner[order]
+                places = np.empty(len(begin), PLACE)
+                places["doc"], places["start"] = np.asarray(part.column(0), np.int64)[owner], begin - starts[owner]
+                first = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, np.int64)
+                bounds = np.r_[first, len(hashes)].astype(np.int32)
+                packed = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds * np.int32(PLACE.itemsize)), pa.py_buffer(places.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(hashes[first].view(np.int64)), pa.array(np.diff(bounds).astype(np.int32)), packed], names=["h", "n", "places"])
 
-    return placed.select("doc", F.col("text").cast("binary").alias("text")).mapInArrow(find, "h long, doc long, start long")
+    return placed.select("doc", F.col("text").cast("binary").alias("text")).mapInArrow(find, "h long, n int, places binary")
+
+
+def unpacked(found: DataFrame) -> DataFrame:
+    """doc, start of packed places."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            places = np.frombuffer(b"".join(batch.column(0).to_pylist()), PLACE)
+            yield pa.RecordBatch.from_arrays([pa.array(places["doc"].copy()), pa.array(places["start"].astype(np.int64))], names=["doc", "start"])
+
+    return found.select("places").mapInArrow(unpack, "doc long, start long")
 
 
 def contexts_of(texts: DataFrame, length: int, kmer: int) -> DataFrame:
     """texts has doc, packed (the text, compressed), marks (first starts of the anchors that recur). Gives rows of two kinds: 0 spans to
-    remove, 1 contexts (h, doc, start, data)."""
+    remove, 1 contexts (h, doc, start, at: the anchor's place from the start on, data)."""
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, BLOCK_BYTES // 2):
@@ -260,14 +293,14 @@ def contexts_of(texts: DataFrame, length: int, kmer: int) -> DataFrame:
                 marks = part.column(2)
                 many = np.asarray(marks.value_lengths(), np.int64)
                 marked = np.sort(np.asarray(marks.flatten(), np.int64) + np.repeat(starts, many))
-                hashes, begin, count, _ = governed(data, starts, ends, length, kmer)
+                hashes, begin, count, place = governed(data, starts, ends, length, kmer)
                 spot = np.minimum(np.searchsorted(marked, begin), max(len(marked) - 1, 0))
                 known = marked[spot] == begin if len(marked) else np.zeros(len(begin), bool)
                 keep = np.flatnonzero(known)
                 low, own = begin[keep], hashes[keep].view(np.int64)
                 high = low + count[keep] - 1
                 owner = np.searchsorted(ends, low, side="right")
-                doc, start = ids[owner], low - starts[owner]
+                doc, start, at = ids[owner], low - starts[owner], place[keep] - low
                 first: dict[bytes, int] = {}
                 gone = []
                 raw = data.tobytes()
@@ -292,12 +325,13 @@ def contexts_of(texts: DataFrame, length: int, kmer: int) -> DataFrame:
                         pa.array(np.concatenate([begins - apart[owner], start[held]])),
                         pa.concat_arrays([pa.array(sizes), none(m, pa.int64())]),
                         pa.concat_arrays([none(n, pa.int64()), pa.array(own[held])]),
+                        pa.concat_arrays([none(n, pa.int32()), pa.array(at[held].astype(np.int32))]),
                         pa.concat_arrays([none(n, pa.binary()), pa.array(list(first), pa.binary())]),
                     ],
-                    names=["kind", "doc", "start", "size", "h", "data"],
+                    names=["kind", "doc", "start", "size", "h", "at", "data"],
                 )
 
-    return texts.mapInArrow(find, "kind int, doc long, start long, size long, h long, data binary")
+    return texts.mapInArrow(find, "kind int, doc long, start long, size long, h long, at int, data binary")
 
 
 def index_spans(contexts: DataFrame, length: int) -> DataFrame:
@@ -339,26 +373,54 @@ def index_spans(contexts: DataFrame, length: int) -> DataFrame:
     return dealt.mapInArrow(read, "doc long, start long, size long")
 
 
-def later_than_first(rows: DataFrame, keys: list[str], carried: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The first row of each key with the carried columns, and doc, start of the others."""
-    first = rows.groupBy(*keys).agg(F.min(F.struct("doc", "start", *carried)).alias("first"))
-    others = rows.select(*keys, "doc", "start").join(first.select(*keys, F.col("first.doc").alias("a"), F.col("first.start").alias("b")), keys).where("doc != a OR start != b")
-    return first.select(*keys, "first.*"), others.select("doc", "start", *keys)
-
+def split_contexts(contexts: DataFrame, length: int, width: int) -> DataFrame:
+    """Contexts of crowded anchors cut by where the anchor lies in their strings, `width` places together: all strings of a cut hold the same
+    longer run of bytes around the anchor, whose hash is the cut's anchor. Rows of two kinds as contexts_of() gives them; of equal cuts of a
+    batch the first goes on."""
 
-def string_spans(contexts: DataFrame, length: int) -> DataFrame:
-    """doc, start, size of the spans to remove from contexts of crowded anchors: equal contexts, then equal strings, meet by their hash."""
-
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [(doc, start + k, x - 2**127) for doc, start, data in zip(*[c.to_pylist() for c in batch.columns]) for k in range(len(data) - length + 1) for x in [xxhash.xxh3_128_intdigest(data[k : k + length])]]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] >> 64 for x in out], pa.int64()), pa.array([(x[2] & 2**64 - 1) - 2**63 for x in out], pa.int64())], names=["doc", "start", "g", "f"])
-
-    named = contexts.select("doc", "start", "data", "h", F.md5("data").alias("name"), F.octet_length("data").cast("long").alias("size"))
-    first, others = later_than_first(named, ["h", "name", "size"], ["data"])
-    pieces = first.select("doc", "start", "data").mapInArrow(strings, "doc long, start long, g long, f long")
-    _, repeated = later_than_first(pieces, ["g", "f"], [])
-    return others.select("doc", "start", "size").unionByName(repeated.select("doc", "start", F.lit(length).cast("long").alias("size")))
+            first: dict[tuple[int, bytes], tuple] = {}
+            gone = []
+            for h, doc, start, at, data in zip(*[c.to_pylist() for c in batch.columns]):
+                least = at - (len(data) - length)  # the anchor's place in the last string; in the first it is `at`
+                for k in range(least // width, at // width + 1):
+                    low, high = max(k * width, least), min(k * width + width - 1, at)
+                    longer = data[at - k * width : at - (k * width + width - 1) + length]
+                    key = xxhash.xxh64_intdigest(longer, (h + k) & 2**64 - 1) - 2**63, data[at - high : at - low + length]
+                    row = (doc, start + at - high, high)
+                    if key in first:
+                        row, late = min(row, first[key]), max(row, first[key])
+                        gone.append((*late[:2], len(key[1])))
+                    first[key] = row
+            rows = [(0, d, s, n, None, None, None) for d, s, n in gone] + [(1, d, s, None, h, at, own) for (h, own), (d, s, at) in first.items()]
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            columns = list(zip(*rows)) if rows else [()] * 7
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["kind", "doc", "start", "size", "h", "at", "data"])
+
+    return contexts.select("h", "doc", "start", "at", "data").mapInArrow(cut, "kind int, doc long, start long, size long, h long, at int, data binary")
+
+
+def deal(contexts: DataFrame, length: int, kmer: int, crowded: int) -> tuple[list[DataFrame], list[DataFrame]]:
+    """Spans to remove, and contexts whose anchors are not crowded. Those of crowded anchors are cut, equal cuts are settled by grouping, and
+    the others are looked at again: each time half as many strings of a context share a longer anchor, down to one, which is the string."""
+    spans, done, width = [], [], length - kmer + 1
+    while width > 1:
+        full = contexts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("h")
+        many = full.count()
+        if not many:
+            break
+        full = F.broadcast(full) if many <= 10_000 else full.hint("merge")
+        done.append(contexts.join(full, "h", "left_anti"))
+        width = -(-width // 2)
+        kinds = write_table(split_contexts(contexts.join(full, "h", "left_semi"), length, width), "cut-contexts", "zstd")
+        cuts = kinds.where("kind = 1").select("h", "doc", "start", "at", "data")
+        first = write_table(cuts.groupBy("h", "data").agg(F.min(F.struct("doc", "start", "at")).alias("first")).select("h", "first.*", "data"), "first-cuts", "zstd")
+        where = first.select("h", "data", F.col("doc").alias("a"), F.col("start").alias("b"))
+        others = cuts.join(where.hint("merge"), ["h", "data"]).where("doc != a OR start != b")
+        spans += [kinds.where("kind = 0").select("doc", "start", "size"), others.select("doc", "start", F.octet_length("data").cast("long").alias("size"))]
+        contexts = first
+    return spans, [*done, contexts]
 
 
 def squeeze(texts: DataFrame) -> DataFrame:
@@ -375,19 +437,14 @@ def repeated_spans(placed: DataFrame, length: int = LENGTH, kmer: int = KMER, cr
     """doc, spans (start, size; may overlap) of the documents that lose bytes. placed has doc and text."""
     kmer = min(kmer, length)
     found = anchors(placed, length, kmer)
-    often = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    hits = write_table(found.join(often.hint("merge"), "h").select("doc", "start"), "recurring-anchors", "zstd")
+    often = found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
+    hits = write_table(unpacked(found.join(often.hint("merge"), "h")), "recurring-anchors", "zstd")
     marks = hits.groupBy("doc").agg(F.collect_list("start").alias("marks"))
     texts = squeeze(placed.where(F.octet_length("text") >= length)).join(marks.hint("merge"), "doc").select("doc", "packed", "marks")
     kinds = write_table(contexts_of(texts, length, kmer), "contexts", "zstd")
-    spans, contexts = kinds.where("kind = 0").select("doc", "start", "size"), kinds.where("kind = 1").select("h", "doc", "start", "data")
-    full = contexts.groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > crowded).select("h")
-    many = full.count()
-    if many:
-        full = F.broadcast(full) if many <= 10_000 else full.hint("merge")
-        spans = spans.unionByName(string_spans(contexts.join(full, "h", "left_semi"), length))
-        contexts = contexts.join(full, "h", "left_anti")
-    return spans.unionByName(index_spans(contexts, length)).groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
+    spans, contexts = deal(kinds.where("kind = 1").select("h", "doc", "start", "at", "data"), length, kmer, crowded)
+    spans = reduce(DataFrame.unionByName, [kinds.where("kind = 0").select("doc", "start", "size"), *spans, index_spans(reduce(DataFrame.unionByName, contexts), length)])
+    return spans.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))
 
 
 def kept_bytes(text: bytes, spans: list[dict]) -> tuple[bytes, int, int]:

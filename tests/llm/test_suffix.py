@@ -64,6 +64,34 @@ def test_runs_compress_repetitive_contexts():
     assert (index.run_size > 0).all() and len(index.first_sample) == len(index.last_sample) == len(index.head)
 
 
+def test_samples_at_run_ends_decide():
+    rng = random.Random(5)
+    passage = bytes(rng.randrange(97, 123) for _ in range(60))
+    contexts = [bytes(rng.randrange(97, 123) for _ in range(20)) + passage + bytes([i]) for i in range(20)]
+    index = X.RunIndex(contexts, 30)
+    places, ranks, matched = index.stream()
+    assert sorted(places.tolist()) == [i for a, z in zip(index.starts, index.ends) for i in range(a, z)]
+    text = b"\0".join(contexts) + b"\0"
+    by_rank = places[np.argsort(ranks)]
+    for a, b, m in zip(by_rank, by_rank[1:], matched[np.argsort(ranks)][1:]):
+        x, y = text[a : index.ends[np.searchsorted(index.ends, a)]], text[b : index.ends[np.searchsorted(index.ends, b)]]
+        assert m == min(30, next((k for k, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y))))
+    want = matched.tolist()
+    for name in ("first_sample", "last_sample"):
+        wrong = X.RunIndex(contexts, 30)
+        setattr(wrong, name, np.roll(getattr(wrong, name), 1))
+        assert wrong.stream()[2].tolist() != want
+
+
+def test_cuts_of_crowded_anchors_hold_every_string_once(spark):
+    rng = random.Random(3)
+    core = "".join(rng.choice("abcdefgh") for _ in range(14))
+    texts = ["".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) + core + "".join(rng.choice("ab") for _ in range(rng.randint(0, 9))) for _ in range(120)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for crowded in (1, 2, 10):
+        assert rows(X.repeat_facts(docs, length=16, kmer=6, crowded=crowded)) == sorted(((i, *f) for i, f in enumerate(brute([t.encode() for t in texts], 16))), key=str)
+
+
 def test_anchors_govern_every_string_once():
     rng = random.Random(2)
     for _ in range(20):
