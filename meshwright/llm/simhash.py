@@ -3,9 +3,9 @@
 A 64-bit fingerprint is cut into two halves of 32 bits: of two bits that differ, one half holds at most one. Each half is
 indexed under its 32 one-wildcard variants (that bit cleared and named), an equality join on these brings every pair
 within two bits together, and the whole fingerprints verify it. Distinct fingerprints are indexed once, whatever the
-number of documents that have them. Variants that up to SMALL fingerprints share give their pairs; the fingerprints of larger
-ones are linked exactly by two-wildcard variants of the whole fingerprint instead, each to the least that shares it, so work
-stays linear in a group's size.
+number of documents that have them. A task verifies the members of a variant, MOST_MEMBERS of them at most. The members of a
+fuller one are dealt on by the same rule: the half that its key says nothing about is cut in two again, and its
+one-wildcard variants make the key longer. When no bits are left, a key has 128 members at most.
 
 near_duplicates() serves five-word shingles at a Jaccard similarity of 0.8. There whole fingerprints differ in some 10 of
 64 bits, too many for selective segments, so it also takes part fingerprints: shingles are dealt to parts by their hash,
@@ -34,14 +34,16 @@ from .common import clear_name, read_table, slices, text_or_empty, write_table
 from .components import components
 
 SEED = 42
-#: Members of a variant up to which all its pairs are verified.
-SMALL = 32
+#: Members of a variant that one task verifies; those of fuller ones get longer keys.
+MOST_MEMBERS = 2048
 PARTS, LEAST = 24, 4
 #: Least hashes of a shingle set that go with every document. Sets up to that size are whole in it; for larger ones its estimate, with a standard
 #: error of 0.025 at 0.8, discards pairs that lie SKETCH_SLACK (8 errors, a chance of some 1e-12) below.
 SKETCH, SKETCH_SLACK = 256, 0.2
 #: Members of a part up to which all its pairs are proposed.
 SMALL_PART = 40
+#: Members of a crowded part that are compared with their neighbours in one window.
+RING = 512
 #: Members of a prefix shingle that are listed together.
 LISTED = 256
 BLOCK_BYTES = 8 << 20
@@ -80,26 +82,20 @@ def fingerprints(docs: DataFrame, identity: str = "doc_id", text: str = "text",
     return rows.mapInArrow(make, f"id {dict(rows.dtypes)['id']}, fp long")
 
 
-def one_wildcard_variants(prints: DataFrame) -> DataFrame:
-    """fp, key for each of 64 variants: which bit of which half is free, and the half without it."""
-    freed = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("v"))
-    half = F.expr("IF(v < 32, fp & 4294967295L, shiftrightunsigned(fp, 32))")
-    return freed.select("fp", F.expr("shiftleft(CAST(v AS BIGINT), 32)").bitwiseOR(half.bitwiseAND(F.expr("~shiftleft(1L, v % 32)"))).alias("key"))
+def one_wildcard_variants(members: DataFrame) -> DataFrame:
+    """members has fp, key (so far) and which bits the key says nothing about: `width` from `shift` on. These are cut into halves; one row for each
+    bit that may differ in one of them, with the key made longer by the rest of that half and the other half still to say."""
+    freed = members.withColumn("v", F.explode(F.expr("sequence(0, width - 1)"))).withColumns({"half": F.expr("CAST(width / 2 AS INT)")})
+    placed = freed.withColumns({"low": F.expr("shift + IF(v < half, 0, half)"), "bit": F.expr("v % half")})
+    known = F.expr("shiftrightunsigned(fp, low) & (shiftleft(1L, half) - 1) & ~shiftleft(1L, bit)")
+    return placed.select("fp", F.xxhash64("key", "low", "half", "bit", known).alias("key"), F.expr("shift + IF(v < half, half, 0)").alias("shift"), F.col("half").alias("width"))
 
 
-def two_wildcard_links(prints: DataFrame) -> DataFrame:
-    """a, b: each fingerprint with the least that equals it but for two named bits."""
-    freed = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(62))).alias("i")).select("fp", "i", F.explode(F.sequence(F.col("i") + 1, F.lit(63))).alias("j"))
-    keyed = freed.select("fp", (F.col("i") * 64 + F.col("j")).alias("bits"), F.expr("fp & ~(shiftleft(1L, i) | shiftleft(1L, j))").alias("rest"))
-    least = keyed.groupBy("bits", "rest").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    # sizes of exploded rows are estimated too low for Spark to choose the join
-    return keyed.join(least.hint("merge"), ["bits", "rest"]).where("fp != b").select(F.col("fp").alias("a"), "b").distinct()
-
-
-def members_of_shared(keyed: DataFrame, key: str, member: str) -> DataFrame:
-    """key, n, member of the keys that more than one row has. Keys are counted before rows move, and the join may split a hot one."""
+def members_of_shared(keyed: DataFrame, key: str, *carried: str) -> DataFrame:
+    """key, n and the carried columns of the keys that more than one row has. Keys are counted before rows move, and the join may split a hot one."""
     sized = keyed.groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
-    return write_table(keyed.join(sized.hint("merge"), key).select(key, "n", member), "members")
+    # sizes of exploded rows are estimated too low for Spark to choose the join
+    return write_table(keyed.join(sized.hint("merge"), key).select(key, "n", *carried), "members")
 
 
 def pairs_within(members: DataFrame, key: str, member: str, most: int) -> DataFrame:
@@ -108,12 +104,38 @@ def pairs_within(members: DataFrame, key: str, member: str, most: int) -> DataFr
     return listed.select("all", F.explode("all").alias("a")).select("a", F.explode("all").alias("b")).where("a < b")
 
 
-def close_links(prints: DataFrame, small: int = SMALL) -> DataFrame:
+def links_within(members: DataFrame) -> DataFrame:
+    """a, b: the fingerprints of each key that differ in at most two bits."""
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            size, flat = np.asarray(lists.value_lengths(), np.int64), np.asarray(lists.flatten(), np.int64).view(np.uint64)
+            begin = np.cumsum(size) - size
+            for n in np.unique(size).tolist():
+                own = flat[begin[size == n][:, None] + np.arange(n)]
+                for rows in np.array_split(own, max(1, own.size // 65_536)):
+                    for i in range(n - 1):
+                        row, k = np.nonzero(np.bitwise_count(rows[:, i, None] ^ rows[:, i + 1 :]) <= 2)
+                        x, y = rows[row, i].view(np.int64), rows[row, i + 1 + k].view(np.int64)
+                        if len(x):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    return members.groupBy("key").agg(F.collect_list("fp").alias("all")).select("all").mapInArrow(verify, "a long, b long").where("a != b")
+
+
+def close_links(prints: DataFrame, most: int = MOST_MEMBERS) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp) that join all that differ in at most two bits."""
-    members = members_of_shared(one_wildcard_variants(prints), "key", "fp")
-    pairs = pairs_within(members, "key", "fp", small).where("bit_count(a ^ b) <= 2")
-    crowded = members.where(F.col("n") > small).select("fp").distinct()
-    return pairs.unionByName(two_wildcard_links(crowded)).distinct()
+    level, found = prints.select("fp", F.lit(0).cast("long").alias("key"), F.lit(0).alias("shift"), F.lit(64).alias("width")), None
+    while True:
+        members = members_of_shared(one_wildcard_variants(level), "key", "fp", "shift", "width")
+        # of width 1 no more is to be said; such keys are small
+        small = (F.col("n") <= most) | (F.col("width") == 1)
+        links = links_within(members.where(small))
+        found = links if found is None else found.unionByName(links)
+        level = members.where(~small).drop("n")
+        if level.isEmpty():
+            return found.distinct()
 
 
 def fingerprint_components(docs: DataFrame, identity: str = "doc_id", text: str = "text", words: int = 3) -> DataFrame:
@@ -239,10 +261,10 @@ def near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str = "text
     sized = pairs_within(members, "key", "id", SMALL_PART).where(F.least("a.size", "b.size") >= F.greatest("a.size", "b.size") * similarity - 1e-9)
     often = sized.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     # crowded parts: each member with the first and, in hashed order within a salt, with the next ones
-    crowded = members.where(F.col("n") > SMALL_PART).select("key", F.col("id.id").alias("id"))
-    many = crowded.join(crowded.groupBy("key").agg(F.min("id").alias("least")), "key")
+    crowded = members.where(F.col("n") > SMALL_PART).select("key", "n", F.col("id.id").alias("id"))
+    many = write_table(crowded.join(crowded.groupBy("key").agg(F.min("id").alias("least")).hint("merge"), "key"), "crowded-parts")
     ring = Window.partitionBy("key", "salt").orderBy(F.xxhash64("id", "key"))
-    salted = many.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(16)))
+    salted = many.withColumn("salt", F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / RING)))
     stars = many.select(F.col("least").alias("a"), F.col("id").alias("b"))
     nexts = salted.withColumns({"x": F.lead("id", 1).over(ring), "y": F.lead("id", 2).over(ring)})
     rings = nexts.select(F.col("id").alias("a"), F.explode(F.array("x", "y")).alias("b")).where("b IS NOT NULL")

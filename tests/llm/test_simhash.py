@@ -62,6 +62,14 @@ def test_close_links_join_what_brute_force_joins(spark, small):
     assert [roots.get(p, p) for p in prints] == want
 
 
+def test_members_of_full_keys_get_longer_keys(spark):
+    # all fingerprints that differ from a base in the low 11 bits: far more than a key may hold
+    base = 0x0123456789ABC800
+    prints = [base ^ x for x in range(96)]
+    links = {(r.a, r.b) for r in S.close_links(spark.createDataFrame([(p,) for p in prints], "fp long"), 8).collect()}
+    assert links == {(a, b) for a in prints for b in prints if a < b and (a ^ b).bit_count() <= 2}
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(3, None, "x"), (2, " \n", "y"), (None, "a b c d", "z"), (9, "A b C d", "q"), (9, "A b C d", "q"), (5, "word " * 4000, "")], "doc_id long, text string, fp string")
     got = sorted((str(r.doc_id), r.fingerprint, r.component_id) for r in S.fingerprint_components(docs).collect())
