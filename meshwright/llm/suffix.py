@@ -5,7 +5,7 @@ the same document. Equal strings of that length share an anchor, the least hashe
 same place. So the corpus is cut by anchors: each anchor governs a run of string starts, and its context is the bytes that
 these strings cover. Contexts are dealt by anchor:
 
-1. Anchors that occur once have no repeats and are dropped; the counts are summed before anything moves.
+1. Anchors that occur once have no repeats and are dropped. A block of documents sends each anchor once, with its count and places.
 2. Of equal contexts in a block of documents the first goes on, the others are repeats as they are. However often a passage
    occurs, each block sends its context once.
 3. Contexts meet by anchor. Of equal ones the first stays; different ones may still share strings, where copies begin or end.
@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import read_table, slices, text_or_empty, write_table
 
@@ -120,7 +121,9 @@ class RunIndex:
         rank = self.sort(self.packed, self.left, ends - 1)
         order = np.empty(n, np.int64)
         order[rank] = np.arange(n)
-        last = np.where(np.isin(order, self.starts), 0, text[order - 1])  # what precedes each suffix
+        preceding = np.roll(text, 1)
+        preceding[self.starts] = 0
+        last = preceding[order]
         head = np.flatnonzero(np.r_[True, last[1:] != last[:-1]]) if n else np.zeros(0, np.int64)
         self.head, self.symbol = head, last[head]
         self.run_size = np.diff(np.r_[head, n])
@@ -143,18 +146,22 @@ class RunIndex:
             return np.zeros(0, np.int64)
         depth, where = 7, np.arange(n)
         # strings that end within the first symbols are told apart by their number
-        tie = np.where(left <= depth, np.searchsorted(ends, where, side="left") + 1, 0)
-        order = np.lexsort((tie, packed))
-        a, b = packed[order], tie[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[0, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        while int(rank.max()) < n - 1:
-            # suffixes that end within the first part are told apart by it already
-            key = rank * (int(rank.max()) + 2) + np.where(left > depth, rank[np.minimum(where + depth, n - 1)], 0)
+        ends_soon = np.flatnonzero(left <= depth)
+        tie = np.zeros(n, np.int64)
+        tie[ends_soon] = np.searchsorted(ends, ends_soon, side="left") + 1
+
+        def dense(key: np.ndarray) -> np.ndarray:
             order = np.argsort(key)
             sorted_key = key[order]
             rank = np.empty(n, np.int64)
-            rank[order] = np.cumsum(np.r_[0, sorted_key[1:] != sorted_key[:-1]])
+            rank[order[0]] = 0
+            rank[order[1:]] = np.cumsum(sorted_key[1:] != sorted_key[:-1])
+            return rank
+
+        rank = dense(dense(packed) * (len(ends) + 1) + tie)
+        while (most := int(rank.max())) < n - 1:
+            # suffixes that end within the first part are told apart by it already
+            rank = dense(rank * (most + 2) + np.where(left > depth, rank[np.minimum(where + depth, n - 1)], 0))
             depth *= 2
         return rank
 
@@ -195,25 +202,26 @@ class RunIndex:
         return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def repeats_among(contexts: list[bytes], length: int) -> list[np.ndarray]:
-    """For contexts in their order in the corpus: which of the strings that start in each also start in an earlier one. Neighbours in rank that
-    match on length bytes have the same string there; the first place of such a stretch stays."""
+def repeats_among(contexts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For contexts in their order in the corpus: the strings that also start earlier in them, as numbers of contexts and starts, in order.
+    Neighbours in rank that match on length bytes have the same string there; the first place of such a stretch stays."""
     index = RunIndex(contexts, length)
     places, ranks, matched = index.stream()
-    count = np.fromiter((max(len(c) - length + 1, 0) for c in contexts), np.int64, len(contexts))
-    base = np.cumsum(count) - count
-    flat = np.zeros(int(count.sum()), bool)
-    order = np.argsort(ranks)
-    stretch = np.cumsum(matched[order] < length)
-    places = places[order]
-    whole = index.left[places] > length
-    places, stretch = places[whole], stretch[whole]
-    order = np.lexsort((places, stretch))
-    places, stretch = places[order], stretch[order]
-    hit = places[1:][stretch[1:] == stretch[:-1]]
+    by_rank = np.zeros(len(index.left), np.int64)
+    by_rank[ranks] = places + 1
+    apart = np.ones(len(index.left), bool)
+    apart[ranks] = matched < length
+    stretch, place = np.cumsum(apart), by_rank - 1
+    # stretches of one suffix have nothing to say
+    shared = np.flatnonzero(~apart | ~np.append(apart[1:], True))
+    place, stretch = place[shared], stretch[shared]
+    whole = (place >= 0) & (index.left[place] > length)
+    place, stretch = place[whole], stretch[whole]
+    first = np.full(int(stretch.max(initial=0)) + 1, len(index.left))
+    np.minimum.at(first, stretch, place)
+    hit = np.sort(place[place != first[stretch]])
     owner = np.searchsorted(index.ends, hit, side="left")
-    flat[base[owner] + hit - index.starts[owner]] = True
-    return np.split(flat, np.cumsum(count)[:-1]) if len(count) else []
+    return owner, hit - index.starts[owner]
 
 
 def merged(start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -348,9 +356,11 @@ def index_spans(contexts: DataFrame, length: int) -> DataFrame:
                     first[data] = (doc, start)
             if len(first) > 1:
                 different += [(data, *where) for data, where in first.items()]
-        for (data, doc, start), hit in zip(different, repeats_among([d for d, _, _ in different], length)):
-            for begin, size in zip(*merged(np.flatnonzero(hit), np.full(int(hit.sum()), length))):
-                out.append((doc, start + int(begin), int(size)))
+        owner, begin = repeats_among([d for d, _, _ in different], length)
+        # strings of a context that follow or overlap each other are one span
+        fresh = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (begin[1:] > begin[:-1] + length)]) if len(owner) else owner
+        size = begin[np.r_[fresh[1:] - 1, len(owner) - 1]] + length - begin[fresh] if len(owner) else begin
+        out += [(different[i][1], different[i][2] + b, n) for i, b, n in zip(owner[fresh].tolist(), begin[fresh].tolist(), size.tolist())]
         columns = list(zip(*out)) if out else [()] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["doc", "start", "size"])
 
@@ -436,9 +446,9 @@ def squeeze(texts: DataFrame) -> DataFrame:
 def repeated_spans(placed: DataFrame, length: int = LENGTH, kmer: int = KMER, crowded: int = CROWDED) -> DataFrame:
     """doc, spans (start, size; may overlap) of the documents that lose bytes. placed has doc and text."""
     kmer = min(kmer, length)
-    found = anchors(placed, length, kmer)
-    often = found.groupBy("h").agg(F.sum("n").alias("n")).where("n > 1").select("h")
-    hits = write_table(unpacked(found.join(often.hint("merge"), "h")), "recurring-anchors", "zstd")
+    everywhere = F.sum("n").over(Window.partitionBy("h"))
+    often = anchors(placed, length, kmer).withColumn("all", everywhere).where(F.col("all") > 1)
+    hits = write_table(unpacked(often), "recurring-anchors", "zstd")
     marks = hits.groupBy("doc").agg(F.collect_list("start").alias("marks"))
     texts = squeeze(placed.where(F.octet_length("text") >= length)).join(marks.hint("merge"), "doc").select("doc", "packed", "marks")
     kinds = write_table(contexts_of(texts, length, kmer), "contexts", "zstd")

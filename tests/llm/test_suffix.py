@@ -54,7 +54,7 @@ def test_repeats_among_contexts_equal_brute_force():
                 flags.append(c[i : i + length] in seen)
                 seen.add(c[i : i + length])
             want.append(flags)
-        assert [x.tolist() for x in X.repeats_among(contexts, length)] == want
+        assert list(zip(*map(np.ndarray.tolist, X.repeats_among(contexts, length)))) == [(i, k) for i, flags in enumerate(want) for k, hit in enumerate(flags) if hit]
 
 
 def test_runs_compress_repetitive_contexts():
