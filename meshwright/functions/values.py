@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ZERO_CELSIUS = 273.15
+#: How units are spelled.
 KELVIN = ("k", "kelvin", "degrees_kelvin", "degree_kelvin")
 CELSIUS = ("degc", "c", "celsius", "degree_celsius", "degrees_celsius")
 
@@ -15,10 +16,20 @@ def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
 
 
-def nan_to_null(x: Column) -> Column:
+def missing_to_null(x: Column) -> Column:
+    """Null for NaN and null alike."""
     return F.when(~F.isnan(x), x)
 
 
+def date_of(stamp: Column) -> Column:
+    """The date that a time stamp's text begins with; null if it is none."""
+    return F.try_to_date(F.substring(stamp, 1, 10), "yyyy-MM-dd")
+
+
+def shortened(message: Column, most: int = 2000) -> Column:
+    return F.substring(message, 1, most)
+
+
 def to_celsius(x: Column, unit: Column) -> Column:
     """Kelvin or Celsius to Celsius; any other unit is an error."""
     name = F.lower(F.trim(unit))

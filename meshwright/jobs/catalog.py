@@ -13,41 +13,14 @@ from ..operators import ledger as L
 from ..operators import quality as Q
 from ..operators import resample as R
 from ..operators import weighted as W
+from ..sources import files as X
 from ..sources import sinks as S
 from ..sources import tables as T
 from ..streaming import logs
+from .registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
 
 NOW = dt.date(2001, 11, 20)
 LAG_DAYS = 5
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-#: Date columns by query. They are given as text (yyyy-MM-dd), as the daily output has them, which every engine prints alike.
-DATES = {"first_sequence_mismatch": ("expected", "found"), "expected_hours_by_year": ("last", "available")} | dict.fromkeys(
-    ("daily_min_max_mean", "daily_strict_missing", "city_daily_weighted_stats", "city_daily_sparse", "hourly_completeness", "log_alerts", "log_alert_context", "stream_daily_stats", "stream_log_alerts", "csv_roundtrip"), ("day",)
-)
-
-
-def query(sql: str | None = None):
-    """Register a function under its name, with its SQL."""
-
-    def register(f):
-        name, dates = f.__name__, DATES.get(f.__name__, ())
-
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in dates})
-
-        QUERIES[name] = run if dates else f
-        if sql:
-            ORACLE_SQL[name] = f"SELECT * REPLACE ({', '.join(f'CAST(CAST({c} AS DATE) AS VARCHAR) AS {c}' for c in dates)}) FROM ({sql})" if dates else sql
-        return f
-
-    return register
-
-
-def rounded(df: DataFrame, *columns: str) -> DataFrame:
-    return df.withColumns({c: F.round(c, 6) for c in columns})
 
 
 # --- resampling and weighted statistics
@@ -55,51 +28,74 @@ def rounded(df: DataFrame, *columns: str) -> DataFrame:
 DAILY_SQL = "SELECT user_id AS cell_id, CAST(ts AS DATE) AS day, min(value) AS x_min, max(value) AS x_max, round(avg(value), 6) AS x_mean FROM events GROUP BY 1, 2"
 
 
-@query(DAILY_SQL)
+@query(DAILY_SQL, dates=("day",))
 def daily_min_max_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(R.daily(T.field(spark, sf_dir)), "x_mean")
+    return rounded(R.daily(T.field(spark, sf_dir), strict=False), "x_mean")
 
 
 @query("""
 SELECT user_id AS cell_id, CAST(ts AS DATE) AS day, CASE WHEN bool_or(event_id % 97 = 0) THEN NULL ELSE min(value) END AS x_min,
   CASE WHEN bool_or(event_id % 97 = 0) THEN NULL ELSE max(value) END AS x_max, CASE WHEN bool_or(event_id % 97 = 0) THEN NULL ELSE round(avg(value), 6) END AS x_mean
-FROM events GROUP BY 1, 2""")
+FROM events GROUP BY 1, 2""", dates=("day",))
 def daily_strict_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(R.daily(gappy_field(spark, sf_dir)), "x_mean")
+
+
+GAP = "event_id % 97 = 0"
+
+
+def gappy_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field with missing values planted: a day with one of them is missing as a whole."""
     events = T.read_table(spark, sf_dir, "events")
-    gappy = events.select(F.col("user_id").alias("cell_id"), "ts", F.when(F.col("event_id") % 97 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("x"))
-    return rounded(R.daily(gappy, strict=True), "x_mean")
+    return events.select(F.col("user_id").alias("cell_id"), "ts", F.when(F.expr(GAP), F.lit(float("nan"))).otherwise(F.col("value")).alias("x"))
+
+
+def city_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """city_id, city_name, city_area (more than that of the cells)."""
+    sized = T.weights(spark, sf_dir).groupBy("city_id").agg((F.sum(F.abs("area")) + 1000).alias("city_area"))
+    return T.cities(spark, sf_dir).join(sized, "city_id", "left")
+
+
+VARIABLES = ("x_min", "x_max", "x_mean")
+STRICT_SQL = ", ".join(f"CASE WHEN bool_or({GAP}) THEN NULL ELSE {e} END AS {v}" for v, e in zip(VARIABLES, ("min(value)", "max(value)", "round(avg(value), 6)")))
 
 
 def city_daily_sql(least: int) -> str:
-    stats = lambda v: f"sum({v} * area) FILTER (WHERE {v} IS NOT NULL) / sum(area) FILTER (WHERE {v} IS NOT NULL)"
     parts, columns = [], []
-    for v in ("x_min", "x_max", "x_mean"):
-        parts.append(f"""{v}_s AS (SELECT day, city_id, round({stats(v)}, 6) AS {v}_mean, max({v}) AS {v}_max, min({v}) AS {v}_min, min({v}) FILTER (WHERE share >= 0.25) AS {v}_p25, min({v}) FILTER (WHERE share >= 0.75) AS {v}_p75, sum(area) AS {v}_held
-  FROM (SELECT *, sum(area) OVER (PARTITION BY day, city_id ORDER BY {v} RANGE UNBOUNDED PRECEDING) / sum(area) OVER (PARTITION BY day, city_id) AS share FROM held) GROUP BY 1, 2)""")
+    for v in VARIABLES:
+        parts.append(f"""{v}_s AS (SELECT day, city_id, round(sum({v} * area) / sum(area), 6) AS {v}_mean, max({v}) AS {v}_max, min({v}) AS {v}_min,
+  min({v}) FILTER (WHERE share >= 0.25) AS {v}_p25, min({v}) FILTER (WHERE share >= 0.75) AS {v}_p75, sum(area) AS {v}_held
+  FROM (SELECT *, sum(area) OVER (PARTITION BY day, city_id ORDER BY {v} RANGE UNBOUNDED PRECEDING) / sum(area) OVER (PARTITION BY day, city_id) AS share
+    FROM held WHERE {v} IS NOT NULL) GROUP BY 1, 2)""")
         columns.append(f"{v}_mean, {v}_max, {v}_min, {v}_p25, {v}_p75, round(coalesce({v}_held / total, 0), 6) AS {v}_valid_area_fraction")
     return f"""
-WITH daily AS (SELECT user_id AS cell_id, CAST(ts AS DATE) AS day, min(value) AS x_min, max(value) AS x_max, round(avg(value), 6) AS x_mean FROM events GROUP BY 1, 2),
+WITH daily AS (SELECT user_id AS cell_id, CAST(ts AS DATE) AS day, {STRICT_SQL} FROM events GROUP BY 1, 2),
 w AS (SELECT c_nationkey AS city_id, c_custkey AS cell_id, c_acctbal AS area FROM customer WHERE c_acctbal > {least}),
 held AS (SELECT day, city_id, area, x_min, x_max, x_mean FROM daily JOIN w USING (cell_id)),
 totals AS (SELECT city_id, count(*) AS n, sum(area) AS total FROM w GROUP BY 1),
+areas AS (SELECT c_nationkey AS city_id, sum(abs(c_acctbal)) + 1000 AS city_area FROM customer GROUP BY 1),
+days AS (SELECT CAST(unnest(generate_series(min(ts)::DATE, max(ts)::DATE, INTERVAL 1 DAY)) AS DATE) AS day FROM events),
 {', '.join(parts)}
-SELECT day, n_nationkey AS city_id, n_name AS city_name, coalesce(n, 0) AS grid_overlap_count, {', '.join(columns)}
-FROM (SELECT DISTINCT day FROM daily) CROSS JOIN nation LEFT JOIN totals ON n_nationkey = totals.city_id
+SELECT day AS date_utc, n_nationkey AS city_id, n_name AS city_name, coalesce(n, 0) AS grid_overlap_count,
+  round(coalesce(total / city_area, 0), 6) AS grid_coverage_fraction, {', '.join(columns)}
+FROM days CROSS JOIN nation LEFT JOIN (SELECT * FROM totals JOIN areas USING (city_id)) t ON n_nationkey = t.city_id
 LEFT JOIN x_min_s USING (day, city_id) LEFT JOIN x_max_s USING (day, city_id) LEFT JOIN x_mean_s USING (day, city_id)"""
 
 
 def city_daily(spark: SparkSession, sf_dir: str, least: int) -> DataFrame:
-    daily = rounded(R.daily(T.field(spark, sf_dir)), "x_mean")
-    found = W.city_daily(daily, T.weights(spark, sf_dir).where(F.col("area") > least), T.cities(spark, sf_dir), ["x_min", "x_max", "x_mean"])
-    return rounded(found, *[f"{v}_{s}" for v in ("x_min", "x_max", "x_mean") for s in ("mean", "valid_area_fraction")])
+    field = gappy_field(spark, sf_dir)
+    daily = rounded(R.daily(field), "x_mean")
+    weights = T.weights(spark, sf_dir).where(F.col("area") > least)
+    found = W.city_daily(daily, R.calendar(field), weights, city_table(spark, sf_dir), list(VARIABLES))
+    return rounded(found, "grid_coverage_fraction", *[f"{v}_{s}" for v in VARIABLES for s in ("mean", "valid_area_fraction")])
 
 
-@query(city_daily_sql(0))
+@query(city_daily_sql(0), dates=("date_utc",))
 def city_daily_weighted_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return city_daily(spark, sf_dir, 0)
 
 
-@query(city_daily_sql(8000))
+@query(city_daily_sql(8000), dates=("date_utc",))
 def city_daily_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return city_daily(spark, sf_dir, 8000)
 
@@ -132,8 +128,7 @@ def weighted_quantiles_unpivot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT l_returnflag, l_linestatus, max(l_extendedprice) AS max, min(l_extendedprice) AS min FROM lineitem WHERE l_quantity > 0 GROUP BY 1, 2""")
 def spatial_extrema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = F.when(W.valid("l_extendedprice", "l_quantity"), F.col("l_extendedprice"))
-    return T.read_table(spark, sf_dir, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.max(ok).alias("max"), F.min(ok).alias("min"))
+    return W.extremes(T.read_table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", "l_quantity")
 
 
 @query("""WITH seen AS (SELECT DISTINCT user_id FROM events WHERE value > 100)
@@ -147,9 +142,7 @@ def valid_area_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT n_nationkey AS city_id, coalesce(count(c_custkey) FILTER (WHERE c_acctbal > 0), 0) AS grid_overlap_count, round(coalesce(sum(c_acctbal) FILTER (WHERE c_acctbal > 0) / (sum(abs(c_acctbal)) + 1000), 0), 6) AS grid_coverage_fraction
 FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1""")
 def overlap_count_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells, cities = T.weights(spark, sf_dir), T.cities(spark, sf_dir)
-    totals = cities.join(cells.groupBy("city_id").agg((F.sum(F.abs("area")) + 1000).alias("city_area")), "city_id", "left").select("city_id", "city_area")
-    return rounded(W.coverage(cells, totals), "grid_coverage_fraction")
+    return rounded(W.coverage(T.weights(spark, sf_dir), city_table(spark, sf_dir).drop("city_name")), "grid_coverage_fraction")
 
 
 # --- units and coordinates
@@ -244,7 +237,7 @@ def csr_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- completeness and order
 
-@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n_rows, count(DISTINCT hour(ts)) AS n_hours, count(DISTINCT hour(ts)) = 24 AS complete FROM events GROUP BY 1")
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n_rows, count(DISTINCT hour(ts)) AS n_hours, count(DISTINCT hour(ts)) = 24 AS complete FROM events GROUP BY 1", dates=("day",))
 def hourly_completeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.hourly_completeness(T.read_table(spark, sf_dir, "events"))
 
@@ -257,7 +250,7 @@ def missing_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH d AS (SELECT DISTINCT CAST(year(l_shipdate) AS INT) AS year, CAST(l_shipdate AS DATE) AS found FROM lineitem), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY year ORDER BY found) AS INT) AS position FROM d),
 e AS (SELECT *, CAST(make_date(year, 1, 1) + (position - 1) AS DATE) AS expected FROM r)
-SELECT year, position, expected, found FROM e WHERE expected <> found QUALIFY row_number() OVER (PARTITION BY year ORDER BY position) = 1""")
+SELECT year, position, expected, found FROM e WHERE expected <> found QUALIFY row_number() OVER (PARTITION BY year ORDER BY position) = 1""", dates=("expected", "found"))
 def first_sequence_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.first_mismatch(T.read_table(spark, sf_dir, "lineitem"), "l_shipdate")
 
@@ -285,30 +278,47 @@ def grid_spacing_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.spacing(points(spark, sf_dir), "c_nationkey", "lon", 0.25)
 
 
-@query("""WITH a AS (SELECT CAST(year(l_shipdate) AS INT) AS year, list_sort(list(DISTINCT l_quantity)) AS grid FROM lineitem GROUP BY 1)
-SELECT year, CAST(len(grid) AS BIGINT) AS n, grid = (SELECT grid FROM a ORDER BY year LIMIT 1) AS same_as_reference FROM a""")
+#: Latitudes of seven files: those of odd numbers are the other way round, that of number 4 lacks the last.
+GRID_SQL = """SELECT f AS file, p AS place, CASE WHEN f % 2 = 1 THEN lats[n - p] ELSE lats[p + 1] END AS lat
+FROM (SELECT list_sort(list(DISTINCT c_custkey % 50 * 0.25::DOUBLE)) AS lats, len(list(DISTINCT c_custkey % 50)) AS n FROM customer) CROSS JOIN range(7) a(f) CROSS JOIN range(50) b(p)
+WHERE p < n AND NOT (f = 4 AND p = n - 1)"""
+
+
+def file_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lats = T.read_table(spark, sf_dir, "customer").select((F.col("c_custkey") % 50 * F.lit(0.25)).alias("lat")).distinct()
+    listed = lats.agg(F.array_sort(F.collect_set("lat")).alias("lats")).select("lats", F.explode(F.expr("sequence(0L, 6L)")).alias("file"))
+    turned = F.when(F.col("file") % 2 == 1, F.reverse("lats")).when(F.col("file") == 4, F.slice("lats", 1, F.greatest(F.size("lats") - 1, F.lit(0)))).otherwise(F.col("lats"))
+    return listed.select("file", F.posexplode(turned).alias("place", "lat")).withColumn("place", F.col("place").cast("long"))
+
+
+@query(f"""WITH g AS ({GRID_SQL}), r AS (SELECT place, lat AS wanted FROM g WHERE file = 0)
+SELECT file, count(*) AS n, bool_and(coalesce(lat = wanted, false)) AND count(*) = (SELECT count(*) FROM r) AS same_as_reference FROM g LEFT JOIN r USING (place) GROUP BY 1""")
 def grid_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.grids_that_differ(T.read_table(spark, sf_dir, "lineitem").withColumn("year", F.year("l_shipdate")), "year", "l_quantity")
+    return Q.grids_that_differ(file_grids(spark, sf_dir), "file", "place", "lat")
+
+
+@query(f"""WITH g AS (SELECT DISTINCT file, lat FROM ({GRID_SQL}) WHERE file > 0 OR lat <> 0.5), s AS (SELECT file, lat - lag(lat) OVER (PARTITION BY file ORDER BY lat) AS step FROM g)
+SELECT file, lat FROM g WHERE file = (SELECT min(file) FROM (SELECT file FROM s GROUP BY 1 HAVING count(*) > 1 AND coalesce(max(abs(step - 0.25)), 0) <= 1e-6))""")
+def reference_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grids = file_grids(spark, sf_dir).where("file > 0 OR lat <> 0.5")  # the first file has a hole
+    return Q.reference_grid(grids, "file", "lat", 0.25)
 
 
 @query("SELECT DISTINCT l_suppkey AS file, CAST(year(l_shipdate) AS INT) AS year FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 1999")
 def file_year_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = T.read_table(spark, sf_dir, "lineitem").where((F.col("l_shipdate") >= F.lit("1996-01-01").cast("timestamp_ntz")) & (F.col("l_shipdate") < F.lit("2000-01-01").cast("timestamp_ntz")))
-    return lines.select(F.col("l_suppkey").alias("file"), F.year("l_shipdate").alias("year")).distinct()
+    return X.years_of_files(T.read_table(spark, sf_dir, "lineitem"), "l_suppkey", "l_shipdate", 1996, 1999)
 
 
 @query("""WITH f AS (SELECT CAST(year(o_orderdate) AS INT) AS year, count(DISTINCT o_custkey) AS n_files FROM orders GROUP BY 1), y AS (SELECT CAST(unnest(generate_series(min(year) - 1, max(year) + 1)) AS INT) AS year FROM f)
 SELECT year, coalesce(n_files, 0) AS n_files FROM y LEFT JOIN f USING (year)""")
 def files_per_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = T.read_table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.countDistinct("o_custkey").alias("n_files"))
-    years = found.agg((F.min("year") - 1).alias("a"), (F.max("year") + 1).alias("b")).select(F.explode(F.sequence("a", "b")).alias("year"))
-    return years.join(found, "year", "left").withColumn("n_files", F.coalesce("n_files", F.lit(0)))
+    index = T.read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("file"), F.year("o_orderdate").alias("year"))
+    return X.files_by_year(index)
 
 
 @query("SELECT o_orderkey, o_orderdate, o_totalprice FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'")
 def year_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start, end = (F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (1996, 1997))
-    return T.read_table(spark, sf_dir, "orders").where((F.col("o_orderdate") >= start) & (F.col("o_orderdate") < end)).select("o_orderkey", "o_orderdate", "o_totalprice")
+    return X.in_year(T.read_table(spark, sf_dir, "orders"), "o_orderdate", 1996).select("o_orderkey", "o_orderdate", "o_totalprice")
 
 
 # --- planning and the ledger
@@ -326,7 +336,7 @@ SELECT year || '_' || grid_id AS task_id, year, grid_id, printf('%04d', year) ||
 def year_tile_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = points(spark, sf_dir).select(G.tile_of(F.col("lat"), F.col("lon")).alias("grid_id")).distinct()
     years = order_years(spark, sf_dir)
-    tasks = F.broadcast(years).join(held, how="cross")  # years times tiles, at most 648 each
+    tasks = held.join(T.small(years, 10_000), how="cross")  # years times tiles
     return tasks.select(F.concat_ws("_", F.col("year").cast("string"), "grid_id").alias("task_id"), "year", "grid_id", F.concat(F.format_string("%04d", "year"), F.lit("/"), "grid_id", F.lit(".parquet")).alias("output_file"))
 
 
@@ -336,7 +346,7 @@ def monthly_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.monthly_chunks(order_years(spark, sf_dir))
 
 
-@query(f"SELECT year, last, (last - make_date(year, 1, 1) + 1) * 24 - CASE WHEN year = 1950 THEN 1 ELSE 0 END AS hours, CASE WHEN year < 2001 THEN make_date(year, 12, 31) WHEN year = 2001 THEN DATE '2001-11-15' END AS available FROM ({YEARS_SQL})")
+@query(f"SELECT year, last, (last - make_date(year, 1, 1) + 1) * 24 - CASE WHEN year = 1950 THEN 1 ELSE 0 END AS hours, CASE WHEN year < 2001 THEN make_date(year, 12, 31) WHEN year = 2001 THEN DATE '2001-11-15' END AS available FROM ({YEARS_SQL})", dates=("last", "available"))
 def expected_hours_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     years = order_years(spark, sf_dir)
     return years.select("year", "last", L.expected_hours(F.col("year"), F.col("last")).cast("long").alias("hours"), L.last_available(F.col("year"), NOW, LAG_DAYS).alias("available"))
@@ -347,9 +357,14 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.status_counts(T.read_table(spark, sf_dir, "orders"), "o_orderstatus", ["F", "O", "P", "X"])
 
 
-@query("SELECT event_type, count(*) AS n, round(sum(value) / 3600, 3) AS hours, round(coalesce(avg(value) / 60, 0), 3) AS mean_minutes FROM events GROUP BY 1")
+SECONDS_SQL = "CASE WHEN event_id % 11 = 0 THEN NULL ELSE value END"
+
+
+@query(f"""SELECT event_type, count(*) AS n, round(coalesce(sum({SECONDS_SQL}) / 3600, 0), 3) AS hours, round(coalesce(avg({SECONDS_SQL}) / 60, 0), 3) AS mean_minutes
+FROM events GROUP BY 1""")
 def duration_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.sum("value") / 3600, 3).alias("hours"), F.round(F.coalesce(F.avg("value") / 60, F.lit(0.0)), 3).alias("mean_minutes"))
+    told = F.when(F.col("event_id") % 11 == 0, "n/a").otherwise(F.col("value").cast("string"))
+    return L.durations(T.read_table(spark, sf_dir, "events").withColumn("seconds", told), "event_type", "seconds")
 
 
 @query("SELECT user_id, arg_max(event_type, (ts, event_id)) AS event_type, arg_max(value, (ts, event_id)) AS value, count(*) AS attempts FROM events GROUP BY 1")
@@ -380,8 +395,8 @@ def candidate_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) AS wanted FROM orders")
 def grid_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders, wanted = T.read_table(spark, sf_dir, "orders").select("o_orderkey"), T.read_table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
-    return orders.join(wanted, "o_orderkey", "left_semi").withColumn("wanted", F.lit(True)).unionByName(orders.join(wanted, "o_orderkey", "left_anti").withColumn("wanted", F.lit(False)))
+    wanted = T.read_table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    return L.grid_members(T.read_table(spark, sf_dir, "orders").select("o_orderkey"), wanted, "o_orderkey")
 
 
 @query("""SELECT event_type, CAST(k AS INT) AS attempt, CAST(least(60, 5 * 2 ** k) AS BIGINT) AS seconds, n FROM (SELECT event_type, CAST(floor(value / 60) AS INT) AS k, count(*) AS n FROM events GROUP BY 1, 2)""")
@@ -395,15 +410,15 @@ def backoff_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_extendedprice) = 1""")
 def merge_dedupe_keep_first(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = T.read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_shipdate")
-    parts = [lines.where(F.year("l_shipdate") <= 1998), lines.where(F.year("l_shipdate") > 1998)]
-    return L.keep_first(parts[0].unionByName(parts[1]), ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_extendedprice"]).drop("l_shipdate")
+    return L.keep_first(lines, ["l_orderkey", "l_linenumber"], ["l_shipdate", "l_partkey", "l_extendedprice"]).drop("l_shipdate")
 
 
-@query("SELECT CAST(year(l_shipdate) AS INT) AS year, count(*) AS n, round(sum(l_extendedprice), 2) AS total FROM lineitem GROUP BY 1")
+@query("""SELECT CAST(year(t) AS INT) AS year, count(*) AS n, round(sum(price), 2) AS total
+FROM (SELECT o_orderdate AS t, o_totalprice AS price FROM orders UNION ALL SELECT l_shipdate, l_extendedprice FROM lineitem) GROUP BY 1""")
 def yearly_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = T.read_table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), "l_extendedprice")
-    early, late = lines.where("year < 1998"), lines.where("year >= 1998")
-    return early.unionByName(late).groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
+    orders, lines = T.read_table(spark, sf_dir, "orders"), T.read_table(spark, sf_dir, "lineitem")
+    parts = [orders.select(F.year("o_orderdate").alias("year"), F.col("o_totalprice").alias("price")), lines.select(F.year("l_shipdate").alias("year"), F.col("l_extendedprice").alias("price"))]
+    return parts[0].unionByName(parts[1]).groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
 @query("SELECT o_custkey AS key FROM orders WHERE o_totalprice > 200000 UNION SELECT c_custkey FROM customer WHERE c_acctbal < 0")
@@ -423,44 +438,58 @@ LINE_SQL = "SELECT CAST(ts AS DATE) AS day, event_id AS n, strftime(ts, '%Y-%m-%
 ALERT_SQL = r"regexp_matches(line, '(?i)(^|\s)(ERROR|CRITICAL)(\s|:)|Traceback \(most recent call last\)|[A-Za-z]+Error:')"
 
 
-@query(f"SELECT * FROM ({LINE_SQL}) WHERE {ALERT_SQL}")
+@query(f"SELECT * FROM ({LINE_SQL}) WHERE {ALERT_SQL}", dates=("day",))
 def log_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.alerts(T.log_lines(T.read_table(spark, sf_dir, "events")))
 
 
-@query(f"""SELECT day, n, line, is_alert FROM (SELECT *, bool_or(is_alert) OVER (PARTITION BY day ORDER BY n ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS near FROM (SELECT *, {ALERT_SQL} AS is_alert FROM ({LINE_SQL}))) WHERE near""")
+CONTEXT_SQL = f"""SELECT day, n, line, is_alert FROM (SELECT *, bool_or(is_alert) OVER (PARTITION BY day ORDER BY n ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS near
+  FROM (SELECT *, {ALERT_SQL} AS is_alert FROM ({LINE_SQL}))) WHERE near"""
+
+
+@query(CONTEXT_SQL, dates=("day",))
 def log_alert_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.alerts_with_context(T.log_lines(T.read_table(spark, sf_dir, "events")))
 
 
-@query(DAILY_SQL)
+CLOSED_SQL = "day + INTERVAL 1 DAY <= (SELECT max(ts) - INTERVAL 2 HOUR FROM events)"
+
+
+@query(f"SELECT * FROM ({DAILY_SQL}) WHERE {CLOSED_SQL}", dates=("day",))
 def stream_daily_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(logs.stream_daily(spark, sf_dir), "x_mean")
 
 
-@query(f"SELECT * FROM ({LINE_SQL}) WHERE {ALERT_SQL}")
+@query(f"SELECT * FROM ({LINE_SQL}) WHERE {ALERT_SQL}", dates=("day",))
 def stream_log_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.stream_alerts(spark, sf_dir)
 
 
+@query(CONTEXT_SQL, dates=("day",))
+def stream_alert_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.stream_context(spark, sf_dir)
+
+
 # --- reports and sinks
 
-@query()
+@query("""SELECT to_json({'city_count': count(DISTINCT c_nationkey), 'cell_count': count(*), 'skipped_cell_count': count(*) FILTER (WHERE c_acctbal <= 0),
+  'cities_with_skipped_cells': coalesce(list_sort(list(DISTINCT c_nationkey) FILTER (WHERE c_acctbal <= 0)), [])})::VARCHAR AS report FROM customer""")
 def qc_report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = T.weights(spark, sf_dir)
     bad = F.col("area") <= 0
+    # at most one entry per city
     return S.json_report(cells, city_count=F.countDistinct("city_id"), cell_count=F.count("*"), skipped_cell_count=F.count_if(bad), cities_with_skipped_cells=F.array_sort(F.collect_set(F.when(bad, F.col("city_id")))))
 
 
-@query("""SELECT 'user_id' AS "column", count(user_id) AS n, count(DISTINCT user_id) AS n_distinct, min(user_id)::VARCHAR AS least, max(user_id)::VARCHAR AS greatest FROM events
-UNION ALL SELECT 'event_type', count(event_type), count(DISTINCT event_type), min(event_type), max(event_type) FROM events UNION ALL SELECT 'event_id', count(event_id), count(DISTINCT event_id), min(event_id)::VARCHAR, max(event_id)::VARCHAR FROM events""")
+@query(" UNION ALL ".join(f"""SELECT '{c}' AS "column", count({c}) AS n, count(DISTINCT {c}) AS n_distinct, min({c})::VARCHAR AS least, max({c})::VARCHAR AS greatest FROM events""" for c in ("event_id", "user_id", "event_type", "props")))
 def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.profile(T.read_table(spark, sf_dir, "events").select("user_id", "event_type", "event_id"))
+    return S.profile(T.read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"))
 
 
-@query(city_daily_sql(0))
+@query(city_daily_sql(0), dates=("date_utc",))
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The city-day output in order of day and city, as yearly CSV folders, combined into one and read back."""
     found = city_daily(spark, sf_dir, 0)
-    path = T.shared_path(spark, "city-daily-csv")
-    S.write_csv(found, path)
-    return S.read_csv(found, path)
+    years, combined = (T.shared_path(spark, f"city-daily-{x}") for x in ("years", "combined"))
+    S.write_csv(found.withColumn("year", F.year("date_utc")), years, ["date_utc", "city_id"], by="year")
+    return S.combine_csv(found, years, combined, ["date_utc", "city_id"])

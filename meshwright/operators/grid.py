@@ -46,7 +46,10 @@ def flat_id(iy: Column, ix: Column, n_lon: int) -> Column:
 
 
 def cells_by_predicate(boxes: DataFrame, cells: DataFrame) -> DataFrame:
-    """Cells (lat, lon) whose quarter degree strictly overlaps a box (xmin, ymin, xmax, ymax), as a join on the predicate; for small tables."""
+    """Cells (lat, lon) whose quarter degree strictly overlaps a box (xmin, ymin, xmax, ymax), as a join on the predicate: the plain statement that
+    cells_by_arithmetic() is tested against, for grids of up to a million cells."""
+    if cells.count() > 1_000_000:
+        raise ValueError("too many cells for a join on a predicate; use cells_by_arithmetic()")
     hit = (F.col("lat") + HALF > F.col("ymin")) & (F.col("lat") - HALF < F.col("ymax")) & (F.col("lon") + HALF > F.col("xmin")) & (F.col("lon") - HALF < F.col("xmax"))
     return boxes.join(F.broadcast(cells), hit)
 
@@ -105,9 +108,9 @@ def ring_area(ring: Column) -> Column:
     return F.when(F.size(ring) >= 3, F.abs(F.aggregate(parts, F.lit(0.0), lambda a, v: a + v)) / 2 * AXIS**2 / 2).otherwise(0.0)
 
 
-def clip_to_cell(rings: DataFrame, ring: str = "ring") -> DataFrame:
+def clip_to_cell(rings: DataFrame, ring: str = "ring", area=None) -> DataFrame:
     """rings with the columns lat and lon of a cell: the area of the ring within it, line by line."""
     out = rings.withColumn("_r", F.col(ring))
     for axis, bound, above in (("x", F.col("lon") - HALF, True), ("x", F.col("lon") + HALF, False), ("y", F.col("lat") - HALF, True), ("y", F.col("lat") + HALF, False)):
         out = out.withColumn("_r", clip_ring(F.col("_r"), axis, bound, above))
-    return out.withColumn("area_m2", ring_area(F.col("_r"))).drop("_r")
+    return out.withColumn("area_m2", (area or ring_area)(F.col("_r"))).drop("_r")

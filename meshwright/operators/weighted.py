@@ -38,7 +38,8 @@ def statistics(df: DataFrame, keys: list[str], x: str, w: str) -> DataFrame:
     running = F.sum("_w").over(by.orderBy("_x").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = prepared.withColumn("_share", running / F.sum("_w").over(by))
     quantile = {name: F.min(F.when(F.col("_share") >= p, F.col("_x"))) for name, p in QUANTILES.items()}
-    return ranked.groupBy(*keys).agg(mean(x, w).alias("mean"), F.max("_x").alias("max"), F.min("_x").alias("min"), *[c.alias(n) for n, c in quantile.items()], valid_share(x, w).alias("valid_area_fraction"))
+    told = [mean(x, w).alias("mean"), F.max("_x").alias("max"), F.min("_x").alias("min"), *[c.alias(n) for n, c in quantile.items()]]
+    return ranked.groupBy(*keys).agg(*told, valid_share(x, w).alias("valid_area_fraction"), F.coalesce(F.sum("_w"), F.lit(0.0)).alias("valid_weight"))
 
 
 def quantiles_by_array(df: DataFrame, keys: list[str], x: str, w: str, most: int = MOST_VALUES) -> DataFrame:
@@ -59,34 +60,46 @@ def quantiles_by_array(df: DataFrame, keys: list[str], x: str, w: str, most: int
     return listed.select(*keys, *[pick(p).alias(n) for n, p in QUANTILES.items()]).unionByName(by_window)
 
 
-def statistics_of_many(df: DataFrame, keys: list[str], variables: list[str], w: str) -> DataFrame:
+def statistics_of_many(df: DataFrame, keys: list[str], variables: list[str], w: str, told: tuple[str, ...] = STATISTICS) -> DataFrame:
     """The statistics of several variables: one long form, one window pass, one pivot. Columns are variable_statistic."""
     pairs = ", ".join(f"'{v}', CAST({v} AS DOUBLE)" for v in variables)
     long = df.select(*keys, w, F.expr(f"stack({len(variables)}, {pairs}) AS (variable, x)"))
     found = statistics(long, [*keys, "variable"], "x", w)
-    wide = [F.max(F.when(F.col("variable") == v, F.col(s))).alias(f"{v}_{s}") for v in variables for s in STATISTICS]
+    wide = [F.max(F.when(F.col("variable") == v, F.col(s))).alias(f"{v}_{s}") for v in variables for s in told]
     return found.groupBy(*keys).agg(*wide)
 
 
+def extremes(df: DataFrame, keys: list[str], x: str, w: str) -> DataFrame:
+    """keys, max, min of the values that are valid with their weights."""
+    ok = F.when(valid(x, w), F.col(x))
+    return df.groupBy(*keys).agg(F.max(ok).alias("max"), F.min(ok).alias("min"))
+
+
 def coverage(weights: DataFrame, totals: DataFrame) -> DataFrame:
     """city_id, grid_overlap_count, grid_coverage_fraction of every city in totals (city_id, city_area), cells or not."""
     used = weights.where(F.col("area") > 0).groupBy("city_id").agg(F.count("*").alias("n"), F.sum("area").alias("held"))
     return totals.join(used, "city_id", "left").select("city_id", F.coalesce("n", F.lit(0)).alias("grid_overlap_count"), F.coalesce(F.col("held") / F.col("city_area"), F.lit(0.0)).alias("grid_coverage_fraction"))
 
 
-def city_daily(daily: DataFrame, weights: DataFrame, cities: DataFrame, variables: list[str]) -> DataFrame:
-    """Six statistics of each variable for every day and city, those without valid cells included: nulls and a valid share of 0.
+def city_daily(daily: DataFrame, days: DataFrame, weights: DataFrame, cities: DataFrame, variables: list[str]) -> DataFrame:
+    """The city-day output: date_utc, city_id, city_name, grid_overlap_count, grid_coverage_fraction and six statistics of each variable.
 
-    daily (cell_id, day, variables) is first pruned to cells that have a weight; days times cities are the only rows that are made up.
+    daily has cell_id, day and the variables, days the calendar, weights city_id, cell_id, area, cities city_id, city_name, city_area. Every city
+    has a row for every day, those without valid cells too: nulls and a valid share of 0. The share of valid area is that of the cells' area,
+    whether a cell has rows on that day or not. One join with the weights, one window pass; days times cities are the only rows made up.
     """
-    positive = weights.where(F.col("area") > 0)
-    days = daily.select("day").distinct()
-    pruned = daily.join(positive.select("cell_id").distinct(), "cell_id", "left_semi")
-    # every weighted cell stands in each day, with or without a value, for the share of valid area
-    totals = positive.groupBy("city_id").agg(F.count("*").alias("grid_overlap_count"), F.sum("area").alias("area_of_cells"))
-    held = pruned.join(positive, "cell_id")
-    found = statistics_of_many(held, ["day", "city_id"], variables, "area")
-    held_area = held.groupBy("day", "city_id").agg(*[F.sum(F.when(is_finite(F.col(v)), F.col("area"))).alias(f"{v}_area") for v in variables])
-    every = days.join(F.broadcast(cities), how="cross").join(totals, "city_id", "left")
-    joined = every.join(found.drop(*[f"{v}_valid_area_fraction" for v in variables]), ["day", "city_id"], "left").join(held_area, ["day", "city_id"], "left")
-    return joined.select("day", "city_id", "city_name", F.coalesce("grid_overlap_count", F.lit(0)).alias("grid_overlap_count"), *[c for v in variables for c in (*[F.col(f"{v}_{s}") for s in STATISTICS[:-1]], F.coalesce(F.col(f"{v}_area") / F.col("area_of_cells"), F.lit(0.0)).alias(f"{v}_valid_area_fraction"))])
+    positive = weights.where(is_finite(F.col("area")) & (F.col("area") > 0))
+    used = positive.groupBy("city_id").agg(F.count("*").alias("n"), F.sum("area").alias("held"))
+    told = cities.join(used, "city_id", "left")
+    found = statistics_of_many(daily.join(positive, "cell_id"), ["day", "city_id"], variables, "area", (*STATISTICS[:-1], "valid_weight"))
+    # a calendar: a century has 36,525 days
+    every = told.join(F.broadcast(days), how="cross").join(found, ["day", "city_id"], "left")
+    share = lambda v: F.coalesce(F.col(f"{v}_valid_weight") / F.col("held"), F.lit(0.0)).alias(f"{v}_valid_area_fraction")
+    return every.select(
+        F.col("day").alias("date_utc"),
+        "city_id",
+        "city_name",
+        F.coalesce("n", F.lit(0)).alias("grid_overlap_count"),
+        F.coalesce(F.col("held") / F.col("city_area"), F.lit(0.0)).alias("grid_coverage_fraction"),
+        *[c for v in variables for c in (*[F.col(f"{v}_{s}") for s in STATISTICS[:-1]], share(v))],
+    )

@@ -17,13 +17,25 @@ def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir; a local session without that setting gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        if not spark.sparkContext.master.startswith("local["):
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-meshwright-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root}/meshwright/{name}-{uuid.uuid4().hex}"
 
 
+def write_table(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it back: later reads survive a lost executor and start from these files."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def small(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many rows; else as it is, for a join by shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def ensure_columns(df: DataFrame, *required: str) -> DataFrame:
     """df, if it has the columns; else an error that names the missing ones."""
     if missing := sorted(set(required) - set(df.columns)):

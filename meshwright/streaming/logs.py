@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from ..operators.running import ordinals
 from ..sources.tables import log_lines, shared_path
 
 #: What makes a line an alert.
@@ -16,11 +18,12 @@ def alerts(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(ALERT))
 
 
-def alerts_with_context(lines: DataFrame, around: int = 4) -> DataFrame:
-    """Lines of each log file (day) that are within so many lines of an alert; is_alert marks the alerts."""
-    near = Window.partitionBy("day").orderBy("n").rowsBetween(-around, around)
-    marked = lines.withColumn("is_alert", F.col("line").rlike(ALERT))
-    return marked.withColumn("near", F.max("is_alert").over(near)).where("near").drop("near")
+def alerts_with_context(lines: DataFrame, around: int = 4, log: str = "day") -> DataFrame:
+    """Lines of each log that are within so many lines of an alert; is_alert marks the alerts. Lines are numbered by ranges, not log by log, so a long
+    log is no single task; the numbers near an alert are joined back."""
+    placed = ordinals(lines, [log, "n"], "_at").withColumn("is_alert", F.col("line").rlike(ALERT))
+    near = placed.where("is_alert").select(F.col(log).alias("_log"), F.explode(F.sequence(F.col("_at") - around, F.col("_at") + around)).alias("_near")).distinct()
+    return placed.join(near, (F.col("_at") == F.col("_near")) & F.col(log).eqNullSafe(F.col("_log")), "left_semi").drop("_at")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,22 +32,43 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parque[t]")
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
-    """Run a stream over what is there and give its last state (complete) or all its rows (append), from a written table."""
-    spark, out = stream.sparkSession, shared_path(stream.sparkSession, "stream")
-    write = lambda batch, k: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(out)
-    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+def drained(stream: DataFrame, act: Callable[[DataFrame], DataFrame] | None = None, out: str | None = None) -> DataFrame:
+    """Run a stream in append mode over what is there; its rows, through act batch by batch, from written tables. A batch writes over its own folder only,
+    so one that is run again after a failure doubles nothing."""
+    spark = stream.sparkSession
+    out = out or shared_path(spark, "stream")
+    shaped = act or (lambda batch: batch)
+    write = lambda batch, k: shaped(batch).write.mode("overwrite").parquet(f"{out}/batch={k}")
+    query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).foreachBatch(write).start()
+    query.awaitTermination()
+    made = shaped(spark.createDataFrame([], stream.schema)).schema
+    return spark.read.schema(made).parquet(f"{out}/batch=*")
+
+
+def progress(stream: DataFrame, out: str) -> list[dict]:
+    """Rows read by each batch of a run over what is there, as the engine tells them."""
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    return [{"batch": p["batchId"], "rows": p["numInputRows"]} for p in query.recentProgress]
+
+
+def daily_by_event_time(events: DataFrame, key: str, ts: str, value: str, late: str = "2 hours") -> DataFrame:
+    """key, day, x_min, x_max, x_mean of a stream. Rows that come later than `late` are dropped, and a day leaves the state when it is past that."""
+    timed = events.withColumn("_t", F.col(ts).cast("timestamp"))
+    by_day = timed.withWatermark("_t", late).groupBy(F.col(key).alias("cell_id"), F.window("_t", "1 day").alias("_w"))
+    found = by_day.agg(F.min(value).alias("x_min"), F.max(value).alias("x_max"), F.avg(value).alias("x_mean"))
+    return found.select("cell_id", F.col("_w.start").cast("date").alias("day"), "x_min", "x_max", "x_mean")
 
 
 def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cell_id, day, x_min, x_max, x_mean by event time, with late rows accepted for two hours."""
-    events = event_stream(spark, sf_dir).withColumn("t", F.col("ts").cast("timestamp"))
-    by_day = events.withWatermark("t", "2 hours").groupBy(F.col("user_id").alias("cell_id"), F.window("t", "1 day").alias("w"))
-    found = by_day.agg(F.min("value").alias("x_min"), F.max("value").alias("x_max"), F.avg("value").alias("x_mean"))
-    return drained(found.select("cell_id", F.col("w.start").cast("date").alias("day"), "x_min", "x_max", "x_mean"), "complete")
+    """The days that are closed: those that end before the last time less two hours."""
+    return drained(daily_by_event_time(event_stream(spark, sf_dir), "user_id", "ts", "value"))
 
 
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(alerts(log_lines(event_stream(spark, sf_dir))), "append")
+    return drained(alerts(log_lines(event_stream(spark, sf_dir))))
+
+
+def stream_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts with the lines about them, batch by batch: context does not reach into another batch."""
+    return drained(log_lines(event_stream(spark, sf_dir)), alerts_with_context)
