@@ -6,7 +6,7 @@ and verbatim subframes), restores the samples and verifies the CRC-8 of each hea
 MD5. Both work on all frames of a block at once, one sample position at a time, so the cost of Python is shared by thousands of
 frames. Each frame is a PCM block with its sample offset, and a seek table in the stream names the offsets.
 
-Defined cases: a null or empty text becomes one frame of 255s, equal texts give equal media, repeated rows each get a row, extra
+Defined cases: a null or empty text becomes one frame of 255s, a very long one is coded MOST_FRAMES frames at a time, equal texts give equal media, repeated rows each get a row, extra
 columns are dropped, an empty table gives no rows.
 """
 
@@ -26,10 +26,12 @@ from .common import read_table, slices, text_or_empty, write_table
 BLOCK = 576
 RATE = 8000
 PAD = 255
-#: Payload bytes that a task codes at a time; a longer text is coded in one go.
+#: Payload bytes of short texts that a task codes at a time, and frames (of one long text, too) that are coded or decoded side by side.
 GROUP_BYTES = 2 << 20
+MOST_FRAMES = 4096
 #: Coefficients of the fixed predictors by order.
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
+#: A seek point for every second frame: a trade-off between the size of the seek table and the frames to decode before a sample.
 SEEK_EVERY = 2
 
 
@@ -157,7 +159,7 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     per = [len(p) // BLOCK for p in payloads]
     data = (np.frombuffer(b"".join(payloads), np.uint8).astype(np.int16) - 128).reshape(-1, BLOCK)
     numbers = np.concatenate([np.arange(n) for n in per]) if per else np.zeros(0, np.int64)
-    frames = encode_frames(data, numbers)
+    frames = [f for i in range(0, len(data), MOST_FRAMES) for f in encode_frames(data[i : i + MOST_FRAMES], numbers[i : i + MOST_FRAMES])]
     out, at = [], 0
     for p, n in zip(payloads, per):
         own = frames[at : at + n]
@@ -310,21 +312,9 @@ def decode_subframes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.n
     return out.T, -(-bits.at // 8)
 
 
-def decode(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
-    """PCM blocks (sample offset, bytes) of each stream; raises ValueError where a checksum or the MD5 does not hold."""
-    heads = [read_head(s) for s in streams]
-    data = np.frombuffer(b"".join(streams), np.uint8)
-    base = np.cumsum([0, *map(len, streams)])
-    # frames of one stream follow each other; those of all streams are decoded side by side from their seek points
-    blocks: list[dict[int, bytes]] = [{} for _ in streams]
-    who, at, sample, end = [], [], [], []
-    for i, (samples, _, points, begin) in enumerate(heads):
-        for j, (first, byte) in enumerate(points):
-            who.append(i)
-            at.append(base[i] + begin + byte)
-            sample.append(first)
-            end.append(points[j + 1][0] if j + 1 < len(points) else samples)
-    who, at, sample, end = (np.array(x, np.int64) for x in (who, at, sample, end))
+def decode_segments(data: np.ndarray, who: np.ndarray, at: np.ndarray, sample: np.ndarray, end: np.ndarray, stop: np.ndarray, blocks: list[dict[int, bytes]]) -> None:
+    """Decode the frames from byte `at` to `stop`, of samples from `sample` to `end` of stream `who`, for all segments side by side, into blocks."""
+    high = int(stop.max())
     while len(at):
         if not ((data[at] == 0xFF) & (data[at + 1] == 0xF8)).all():
             raise ValueError("no frame where one should be")
@@ -333,7 +323,10 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
         size = 5 + np.where(lead < 0x80, 0, more)
         if (ragged_crc(data, at, size, CRC8, 8) != data[at + size]).any():
             raise ValueError("a frame header's checksum does not hold")
-        out, after = decode_subframes(data, at + size + 1)
+        # the bytes that these segments need, not those of the whole stream
+        low = int(at.min())
+        out, after = decode_subframes(data[low:high], at + size + 1 - low)
+        after = after + low
         if (ragged_crc(data, at, after - at, CRC16, 16) != data[after].astype(np.uint32) << 8 | data[after + 1]).any():
             raise ValueError("a frame's checksum does not hold")
         pcm = (out + 128).astype(np.uint8)
@@ -342,6 +335,26 @@ def decode(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
         sample = sample + BLOCK
         going = sample < end
         who, at, sample, end = who[going], (after + 2)[going], sample[going], end[going]
+
+
+def decode(streams: list[bytes]) -> list[list[tuple[int, bytes]]]:
+    """PCM blocks (sample offset, bytes) of each stream; raises ValueError where a checksum or the MD5 does not hold."""
+    heads = [read_head(s) for s in streams]
+    data = np.frombuffer(b"".join(streams), np.uint8)
+    base = np.cumsum([0, *map(len, streams)])
+    # frames of one stream follow each other; those of all streams are decoded side by side from their seek points
+    blocks: list[dict[int, bytes]] = [{} for _ in streams]
+    who, at, sample, end, stop = [], [], [], [], []
+    for i, (samples, _, points, begin) in enumerate(heads):
+        for j, (first, byte) in enumerate(points):
+            who.append(i)
+            at.append(base[i] + begin + byte)
+            sample.append(first)
+            end.append(points[j + 1][0] if j + 1 < len(points) else samples)
+            stop.append(base[i] + begin + points[j + 1][1] if j + 1 < len(points) else base[i + 1])
+    every = [np.array(x, np.int64) for x in (who, at, sample, end, stop)]
+    for first in range(0, len(every[0]), MOST_FRAMES):
+        decode_segments(data, *[x[first : first + MOST_FRAMES] for x in every], blocks)
     found = [sorted(b.items()) for b in blocks]
     for (samples, digest, _, _), own in zip(heads, found):
         joined = b"".join(b for _, b in own)
@@ -357,15 +370,18 @@ def payload(text: bytes) -> bytes:
 
 def features(pcm: bytes) -> str:
     """Mean level, root mean square about it, zero crossings and spectral centroid of the samples, to four places."""
-    x = np.frombuffer(pcm, np.uint8).astype(np.float64) - 128
-    power = np.zeros(BLOCK // 2 + 1)
-    for i in range(0, len(x), BLOCK * 64):
-        rows = x[i : i + BLOCK * 64].reshape(-1, BLOCK)
+    x = np.frombuffer(pcm, np.uint8)
+    power, total, squares, crossings, step = np.zeros(BLOCK // 2 + 1), 0, 0, 0, BLOCK * 64
+    for i in range(0, len(x), step):
+        part = x[i : i + step].astype(np.int64) - 128
+        rows = part.reshape(-1, BLOCK)
         power += (np.abs(np.fft.rfft(rows - rows.mean(1, keepdims=True), axis=1)) ** 2).sum(0)
-    crossings = int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())
-    total = power.sum()
-    centroid = float((power * np.arange(len(power))).sum() / total) * RATE / BLOCK if total > 0 else 0.0
-    return f"mean={x.mean():.4f};rms={np.sqrt(((x - x.mean()) ** 2).mean()):.4f};crossings={crossings};centroid={centroid:.2f}"
+        total, squares = total + int(part.sum()), squares + int((part * part).sum())
+        above = x[i : i + step + 1] >= 128
+        crossings += int((above[1:] != above[:-1]).sum())
+    mean, energy = total / len(x), power.sum()
+    centroid = float((power * np.arange(len(power))).sum() / energy) * RATE / BLOCK if energy > 0 else 0.0
+    return f"mean={mean:.4f};rms={max(squares / len(x) - mean * mean, 0.0) ** 0.5:.4f};crossings={crossings};centroid={centroid:.2f}"
 
 
 def to_media(docs: DataFrame, identity: str = "doc_id", text: str = "text") -> DataFrame:
@@ -395,6 +411,12 @@ def pcm_blocks(media: DataFrame, identity: str = "doc_id", column: str = "media"
     return rows.mapInArrow(read, f"id {dict(rows.dtypes)['id']}, sample_offset long, pcm binary").withColumnRenamed("id", identity)
 
 
+def write_pcm(media: DataFrame, identity: str = "doc_id", column: str = "media") -> DataFrame:
+    """pcm_blocks() as a written table in order of stream and sample, so that a range of samples is found by the files' own statistics."""
+    blocks = pcm_blocks(media, identity, column)
+    return write_table(blocks.repartitionByRange(identity, "sample_offset").sortWithinPartitions(identity, "sample_offset"), "pcm-blocks", "zstd")
+
+
 def media_facts(media: DataFrame, identity: str = "doc_id") -> DataFrame:
     """identity, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, from the stored bytes."""
     rows = media.select(F.col(identity).alias("id"), "n_bytes", "media")

@@ -76,3 +76,31 @@ def test_blocks_carry_sample_offsets(spark):
     docs = spark.createDataFrame([(1, "x" * 1500)], "doc_id long, text string")
     rows = sorted(X.pcm_blocks(X.to_media(docs)).collect(), key=lambda r: r.sample_offset)
     assert [r.sample_offset for r in rows] == [0, 576, 1152] and b"".join(bytes(r.pcm) for r in rows) == b"x" * 1500 + b"\xff" * 228
+
+
+def test_long_payloads_are_coded_in_parts(monkeypatch):
+    rng = np.random.default_rng(4)
+    payloads = [X.payload(rng.integers(0, 256, n, dtype=np.uint8).tobytes()) for n in (576 * 23, 576 * 2, 576 * 40 + 5)]
+    whole = X.encode(payloads)
+    monkeypatch.setattr(X, "MOST_FRAMES", 7)
+    assert X.encode(payloads) == whole and back(payloads) == payloads
+
+
+def test_written_blocks_are_found_by_sample(spark):
+    docs = spark.createDataFrame([(i, chr(97 + i) * (1200 * i)) for i in range(4)], "doc_id long, text string")
+    blocks = X.write_pcm(X.to_media(docs))
+    (row,) = blocks.where("doc_id = 3 AND sample_offset <= 1000 AND sample_offset > 1000 - 576").collect()
+    assert (row.sample_offset, bytes(row.pcm)) == (576, b"d" * 576) and blocks.count() == 1 + 3 + 5 + 7
+
+
+def test_query_equals_brute_force(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    got = {r.doc_id: r for r in X.op10_flac_media(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        text = (r.text or "").encode()
+        want = text + b"\xff" * (max(1, -(-len(text) // 576)) * 576 - len(text))
+        x, g = np.frombuffer(want, np.uint8).astype(float) - 128, got[r.doc_id]
+        assert (g.n_bytes, g.payload_bytes, g.payload_sha256, g.tail_crc32) == (len(text), len(want), hashlib.sha256(want).hexdigest(), zlib.crc32(want[-32:]))
+        told = dict(p.split("=") for p in g.feature.split(";"))
+        assert abs(float(told["mean"]) - x.mean()) < 1e-3 and abs(float(told["rms"]) - x.std()) < 1e-3 and int(told["crossings"]) == int(((x[1:] >= 0) != (x[:-1] >= 0)).sum())
