@@ -1,21 +1,23 @@
 """Best-fit packing by patterns of few documents.
 
 Every text becomes token ids and an end id; ids longer than a sequence are cut so that only the first piece is short. Only
-the histogram of piece lengths (at most max_tokens bins) reaches the driver. There, patterns of two to four lengths that
-fill a sequence are enumerated, non-negative least squares fits how often each pattern repeats, the counts are rounded
-down, and the lengths that are left are packed by best fit decreasing, again on the histogram. The outcome is a table of
+the histogram of piece lengths (at most max_tokens bins) reaches the driver. There, patterns of one to four lengths are
+enumerated, non-negative least squares fits how often each pattern repeats, at several prices of a sequence, the counts are
+rounded, and the lengths that are left are packed by best fit decreasing, again on the histogram; the fit with the fewest
+sequences is taken. The outcome is a table of
 slots (length, first rank, last rank, first sequence, offset), bounded by max_tokens and not by the corpus. Pieces are ranked
 within their length by counts per (length, bucket), so no task sees all pieces of a frequent length, and look their slot up.
 
-Defined cases: a null or empty text is one piece that holds the end id; repeated rows are packed as rows of their own; extra
+Defined cases: a null or empty text is one piece that holds the end id; a very long text gives as many pieces as it takes; repeated rows are packed as rows of their own; extra
 columns are dropped; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -24,36 +26,37 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import read_table, slices, text_or_empty, write_table
-from .tokens import PLAIN, RANKS, SPECIAL, SPECIAL_ID, VOCABULARY, block_units, fast_encoder, tokenizer, vocabulary_path
+from .tokens import PLAIN, SPECIAL, VOCABULARY, block_units, fast_encoder, tokenizer, vocabulary_path
 
 MAX_TOKENS = 2048
 END_ID = 0
 #: Text bytes that a task encodes at a time.
 BLOCK_BYTES = 8 << 20
-#: Buckets in which pieces of one length are ranked.
-RANK_BUCKETS = 64
-#: Patterns that enter the least-squares fit at most, and its rounds.
-MOST_PATTERNS = 4096
-ROUNDS = 60
+#: Pieces of one length that are ranked together.
+RANKED = 200_000
+#: Patterns that enter the least-squares fit at most, its rounds, and the prices of a sequence that are tried.
+MOST_PATTERNS = 16_384
+ROUNDS = 200
+PRICES = (0.0, 0.02, 0.1, 0.4)
 
 
-def encode_units(strings: list[str], vocabulary: str, ranks: str) -> list[list[int]]:
-    """Ids of units: from the ranks of the same vocabulary for usual characters, else from the tokenizer itself."""
-    fast = fast_encoder(ranks)
+def encode_units(strings: list[str], vocabulary: str) -> list[list[int]]:
+    """Ids of units: by the vocabulary's ranks for usual characters, else from the tokenizer itself."""
+    fast = fast_encoder(vocabulary)
     found: list[list[int] | None] = [fast(u) if u.isascii() or PLAIN.fullmatch(u) else None for u in strings]
     for i, u in enumerate(strings):
         if u == SPECIAL:
-            found[i] = [SPECIAL_ID]
+            found[i] = [tokenizer(vocabulary).token_to_id(SPECIAL)]
     odd = [i for i, x in enumerate(found) if x is None]
     for i, x in zip(odd, tokenizer(vocabulary).encode_batch([strings[i] for i in odd], add_special_tokens=False)):
         found[i] = x.ids
     return found
 
 
-def block_ids(texts: pa.Array, vocabulary: str, ranks: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+def block_ids(texts: pa.Array, vocabulary: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a block of texts in a row, each text closed by the end id, and how many each text has."""
     strings, numbers, per = block_units(texts)
-    ids = encode_units(strings, vocabulary, ranks)
+    ids = encode_units(strings, vocabulary)
     many = np.fromiter(map(len, ids), np.int64, len(ids))
     flat = np.fromiter((i for x in ids for i in x), np.uint32, int(many.sum()))
     wide = many[numbers]
@@ -64,16 +67,16 @@ def block_ids(texts: pa.Array, vocabulary: str, ranks: str, end_id: int) -> tupl
     return out, np.diff(ends, prepend=0) + 1
 
 
-def pieces(docs: DataFrame, identity: str, text: str, max_tokens: int, end_id: int, vocabulary: str | None, ranks: str | None, with_ids: bool) -> DataFrame:
+def pieces(docs: DataFrame, identity: str, text: str, max_tokens: int, end_id: int, vocabulary: str | None, with_ids: bool) -> DataFrame:
     """One row per piece: identity, piece, start, length, ids_crc32, row (unique per document row) and, if wanted, the ids as little-endian bytes."""
-    vocabulary, ranks = vocabulary or vocabulary_path(VOCABULARY), ranks or vocabulary_path(RANKS)
+    vocabulary = vocabulary or vocabulary_path(VOCABULARY)
     rows = docs.select(F.col(identity).alias(identity), text_or_empty(text).alias("_text")).withColumn("row", F.monotonically_increasing_id())
     kind = dict(rows.dtypes)[identity]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, 1, BLOCK_BYTES):
-                ids, per = block_ids(part.column(1), vocabulary, ranks, end_id)
+                ids, per = block_ids(part.column(1), vocabulary, end_id)
                 data = ids.astype("<u4").tobytes()
                 out: list[tuple] = []
                 base = 0
@@ -93,13 +96,13 @@ def pieces(docs: DataFrame, identity: str, text: str, max_tokens: int, end_id: i
 
 
 def enumerate_patterns(lengths: np.ndarray, counts: np.ndarray, max_tokens: int, most: int = MOST_PATTERNS) -> list[tuple[int, ...]]:
-    """Multisets of one to four lengths that fill a sequence as far as lengths that occur allow. Large lengths get partners from the exact complement downwards."""
+    """Multisets of one to four lengths to which no length that occurs can be added, or that end with the largest that fits: for every length alone and
+    with others, the commonest first, closed by one more or by two alike. lengths are in falling order."""
     have = np.zeros(max_tokens + 1, bool)
     have[lengths] = True
     # the largest length that occurs at or below each size
     below = np.maximum.accumulate(np.where(have, np.arange(max_tokens + 1), 0))
-    weight = counts / counts.sum()
-    common = lengths[np.argsort(-weight, kind="stable")]
+    common = lengths[np.argsort(-counts, kind="stable")].tolist()
     found: dict[tuple[int, ...], None] = {}
 
     def close(parts: tuple[int, ...]) -> None:
@@ -107,61 +110,69 @@ def enumerate_patterns(lengths: np.ndarray, counts: np.ndarray, max_tokens: int,
         last = int(below[left]) if left > 0 else 0
         found[tuple(sorted(parts + ((last,) if last else ()), reverse=True))] = None
 
+    def partners(a: int) -> Iterator[tuple[int, ...]]:
+        for b in common:
+            if a + b < max_tokens:
+                yield (a, b)
+                if c := int(below[(max_tokens - a - b) // 2]):
+                    yield (a, b, c)
+        for b in common[:64]:
+            for c in common[:64]:
+                if c <= b and a + b + c < max_tokens:
+                    yield (a, b, c)
+
     for a in lengths.tolist():
         close((a,))
-    share = max(1, (most - len(found)) // max(1, 2 * len(lengths)))
+    share = max(1, (most - len(found)) // len(lengths))
     for a in lengths.tolist():
-        tried = 0
-        for b in common.tolist():
-            if a + b < max_tokens:
-                close((a, b))
-                c = int(below[(max_tokens - a - b) // 2])
-                if c:
-                    close((a, b, c))
-                tried += 1
-            if tried >= share or len(found) >= most:
-                break
+        for parts in islice(partners(a), share):
+            close(parts)
     return list(found)[:most]
 
 
-def fit_repeats(patterns: list[tuple[int, ...]], counts: np.ndarray, rounds: int = ROUNDS) -> np.ndarray:
-    """Non-negative least squares of pattern repeats to the histogram, by multiplicative updates, which keep repeats non-negative."""
+def fit_repeats(patterns: list[tuple[int, ...]], counts: np.ndarray, price: float = 0.0, rounds: int = ROUNDS) -> np.ndarray:
+    """Non-negative least squares of pattern repeats to the histogram, each bin's error in proportion to its count, with a price for every sequence that
+    decides between fits that are alike. Multiplicative updates keep repeats non-negative."""
     rows = np.array([v for p in patterns for v in p], np.int64)
-    columns = np.repeat(np.arange(len(patterns)), [len(p) for p in patterns])
-    target = np.bincount(rows, minlength=len(counts)).astype(float)
-    x = np.bincount(columns, counts[rows] / np.maximum(target[rows], 1), len(patterns)) / np.bincount(columns, minlength=len(patterns))
-    wanted = np.bincount(columns, counts[rows].astype(float), len(patterns))
+    sizes = np.array([len(p) for p in patterns])
+    columns = np.repeat(np.arange(len(patterns)), sizes)
+    share = 1 / np.maximum(counts, 1)
+    uses = np.bincount(rows, minlength=len(counts))
+    x = np.bincount(columns, counts[rows] / uses[rows], len(patterns)) / sizes
     for _ in range(rounds):
-        made = np.bincount(rows, x[columns], len(counts))
-        x *= wanted / np.maximum(np.bincount(columns, made[rows], len(patterns)), 1e-12)
+        made = np.bincount(rows, x[columns], len(counts)) * share
+        x *= sizes / np.maximum(np.bincount(columns, made[rows], len(patterns)) + price, 1e-12)
     return x
 
 
+def fitted_groups(left: np.ndarray, patterns: list[tuple[int, ...]], repeats: np.ndarray, max_tokens: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns with whole repeats that the histogram holds, the fullest first, and what is left by best fit."""
+    left, groups = left.copy(), []
+    whole = np.rint(repeats).astype(np.int64)
+    for k in np.lexsort((-whole, [max_tokens - sum(p) for p in patterns])):
+        need = Counter(patterns[k])
+        if whole[k] and (n := min(int(whole[k]), *(int(left[v]) // m for v, m in need.items()))):
+            groups.append((patterns[k], n))
+            for v, m in need.items():
+                left[v] -= n * m
+    return groups + best_fit(left, max_tokens)
+
+
 def plan(histogram: dict[int, int], max_tokens: int) -> list[tuple[int, int, int, int, int]]:
-    """Slots (length, first rank, past the last rank, first sequence, offset) that place every piece of the histogram."""
+    """Slots (length, first rank, past the last rank, first sequence, offset) that place every piece of the histogram: of the fits by all prices the one
+    with the fewest sequences, or best fit alone, should it need no more."""
     left = np.zeros(max_tokens + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
-    groups: list[tuple[tuple[int, ...], int]] = []
-    if left[max_tokens]:
-        groups.append(((max_tokens,), int(left[max_tokens])))
-        left[max_tokens] = 0
-    lengths = np.flatnonzero(left)
+    full = int(left[max_tokens])
+    left[max_tokens] = 0
+    groups = best_fit(left, max_tokens)
+    lengths = np.flatnonzero(left)[::-1]
     if len(lengths):
-        patterns = [p for p in enumerate_patterns(lengths[::-1], left[lengths[::-1]], max_tokens) if sum(p) >= 0.98 * max_tokens]
-        if patterns:
-            repeats = np.floor(fit_repeats(patterns, left)).astype(np.int64)
-            for k in np.lexsort((-repeats, [max_tokens - sum(p) for p in patterns])):
-                p = patterns[k]
-                need = defaultdict(int)
-                for v in p:
-                    need[v] += 1
-                n = min([int(repeats[k]), *(int(left[v]) // m for v, m in need.items())])
-                if n > 0:
-                    groups.append((p, n))
-                    for v, m in need.items():
-                        left[v] -= n * m
-        groups += best_fit(left, max_tokens)
+        patterns = enumerate_patterns(lengths, left[lengths], max_tokens)
+        tried = [fitted_groups(left, patterns, fit_repeats(patterns, left, price), max_tokens) for price in PRICES]
+        groups = min([*tried, groups], key=lambda found: sum(n for _, n in found))
+    groups = [((max_tokens,), full)] * (full > 0) + groups
     slots, rank, sequence = [], np.zeros(max_tokens + 1, np.int64), 0
     for p, n in groups:
         offset = 0
@@ -203,21 +214,23 @@ def best_fit(left: np.ndarray, max_tokens: int) -> list[tuple[tuple[int, ...], i
     return [(parts, m) for groups in room.values() for parts, m in groups if m]
 
 
-def pack(docs: DataFrame, identity: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, end_id: int = END_ID, vocabulary: str | None = None, ranks: str | None = None, with_ids: bool = False) -> DataFrame:
-    """One row per piece: identity, piece, start, length, ids_crc32, sequence_id, offset (and ids). The pieces are written to the shared folder once, as two passes read them."""
-    cut = write_table(pieces(docs, identity, text, max_tokens, end_id, vocabulary, ranks, with_ids), "pieces", "zstd")
-    bucket = F.pmod(F.xxhash64("row", "piece"), F.lit(RANK_BUCKETS)).alias("bucket")
+def pack(docs: DataFrame, identity: str = "doc_id", text: str = "text", max_tokens: int = MAX_TOKENS, end_id: int = END_ID, vocabulary: str | None = None, with_ids: bool = False, ranked: int = RANKED) -> DataFrame:
+    """One row per piece: identity, piece, start, length, ids_crc32, sequence_id, offset (and ids). The pieces are written to the shared folder once, as
+    several passes read them. Pieces of a length are ranked in as many buckets as their number asks for, so no length is a hot key."""
+    cut = write_table(pieces(docs, identity, text, max_tokens, end_id, vocabulary, with_ids), "pieces", "zstd")
+    histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
+    many = [-(-histogram.get(n, 0) // ranked) or 1 for n in range(max_tokens + 1)]
+    bucket = F.pmod(F.xxhash64("row", "piece"), F.get(F.lit(many), F.col("length").cast("int")))
     bucketed = cut.withColumn("bucket", bucket)
     sizes = bucketed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     ahead = sizes.withColumn("ahead", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    histogram = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
-    slots = plan(histogram, max_tokens)
-    order = sorted(slots)
+    order = sorted(plan(histogram, max_tokens))
     table = np.array(order, np.int64).reshape(-1, 5)
     wide = 1 << 40
     shared = docs.sparkSession.sparkContext.broadcast((table[:, 0] * wide + table[:, 1], table[:, 1], table[:, 3], table[:, 4]))
-    ranked = bucketed.join(F.broadcast(ahead), ["length", "bucket"]).withColumn("rank", F.col("ahead") + F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row", "piece")) - 1).drop("bucket", "ahead", "row")
+    inside = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("row", "piece"))
+    ranked_pieces = bucketed.join(ahead, ["length", "bucket"]).withColumn("rank", F.col("ahead") + inside - 1).drop("bucket", "ahead", "row")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, first, sequence, offset = shared.value
@@ -227,8 +240,8 @@ def pack(docs: DataFrame, identity: str = "doc_id", text: str = "text", max_toke
             names = [n for n in batch.schema.names if n != "rank"]
             yield pa.RecordBatch.from_arrays([*[batch.column(n) for n in names], pa.array(sequence[at] + rank - first[at]), pa.array(offset[at])], names=[*names, "sequence_id", "offset"])
 
-    kept = [f"`{n}` {k}" for n, k in ranked.dtypes if n != "rank"]
-    return ranked.mapInArrow(place, ", ".join([*kept, "sequence_id long", "offset long"]))
+    kept = [f"`{n}` {k}" for n, k in ranked_pieces.dtypes if n != "rank"]
+    return ranked_pieces.mapInArrow(place, ", ".join([*kept, "sequence_id long", "offset long"]))
 
 
 def op3_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,9 +28,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import lengths, read_table, slices, text_or_empty, write_table
 
 VOCABULARY = "byte_bpe_50k.json"
-RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
-SPECIAL_ID = 50256
 #: Fixed value: the tokenizer's pre-token pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters on which every Unicode version and Python's re agree with the pattern; units with others are left whole for the tokenizer to split.
@@ -54,14 +52,19 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+def byte_of() -> dict[str, int]:
+    """The byte that each character of a byte-level vocabulary stands for: printable ones stand for themselves, the others follow from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+
+
 @lru_cache(1)
 def fast_encoder(path: str) -> Callable[[str], list[int]]:
-    import base64
-
+    """The ids of a text by the vocabulary's own merges, which its numbers rank, in a library that takes a fifth of the time."""
     import tiktoken
 
-    with open(path, "rb") as lines:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    bytes_of = byte_of()
+    ranks = {bytes(bytes_of[c] for c in token): i for token, i in tokenizer(path).get_vocab(with_added_tokens=False).items() if token != SPECIAL}
     return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
