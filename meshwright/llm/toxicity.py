@@ -1,13 +1,15 @@
 """Toxicity by a factorization machine over hashed terms.
 
 Terms are words and, for longer words, their first four and five letters, each hashed to 64 bits. The model is learnt from at
-most MOST_ROWS labelled rows: terms whose document frequency differs by label are kept, at most MOST_TERMS of them, and a
+most MOST_ROWS labelled rows, over the terms whose document frequency differs by label, at most MOST_TERMS of them. A
 factorization machine fits a weight for each and a factor vector for each, so that pairs of terms (an insult with a mention of
-a group) add what single terms do not. The model's size is fixed by these bounds; scoring reads every word of every text.
+a group) add what single terms do not. Terms that say nothing alone may still matter in pairs: the POOL commonest of the others
+take part as well if a machine with them has a clearly lower log loss on trial rows that neither of the two machines compared was
+fitted to. The model's size is fixed by these bounds; scoring reads every word of every text.
 
 Defined cases: a null or empty text has no terms and gets the score of the bias; without labelled rows of both kinds every score
 is the share of label 1 (0 without labels); repeated rows are each scored; a null id is not held out; a row with more than one
-label counts once for each; extra columns are dropped by score() and kept by drop_toxic().
+label counts once for each; a very long text is one row of words; extra columns are dropped by score() and kept by drop_toxic().
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ MOST_ROWS = 20_000
 MOST_TERMS = 16_384
 #: Training rows that must hold a term, and how far its two document frequencies must lie apart, in standard errors.
 LEAST_ROWS, LEAST_Z = 4, 3.0
+#: Terms that are not told apart by label alone but are tried, and the labelled rows of the trial, of which a quarter decides.
+POOL, TRIAL_ROWS = 1024, 4_000
+#: They take part if the log loss falls to this share: a machine with fewer terms is the safer one.
+GAIN = 0.8
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 30, 256, 0.1, 1e-4
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+")
@@ -75,16 +81,20 @@ def training_rows(docs: DataFrame, labels: DataFrame, identity: str, text: str,
     return write_table(rows.mapInArrow(featurise, "terms array<long>, y int"), "toxicity-training")
 
 
-def choose_terms(rows: DataFrame, most: int) -> np.ndarray:
-    """The terms whose document frequency differs most by label, as sorted hashes: counted in Spark, and at most so many come to the driver."""
+def choose_terms(rows: DataFrame, most: int, pool: int = POOL) -> tuple[np.ndarray, np.ndarray]:
+    """The terms whose document frequency differs most by label, and the commonest others, as sorted hashes: counted in Spark, and at most so many of
+    each come to the driver."""
     n, n1 = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     if not 0 < n1 < n:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
     counted = rows.select(F.explode("terms").alias("term"), "y").groupBy("term").agg(F.count("*").alias("held"), F.sum("y").alias("held1")).where(F.col("held") >= LEAST_ROWS)
     p = F.col("held") / n
     z = F.abs(F.col("held1") / n1 - (F.col("held") - F.col("held1")) / (n - n1)) / F.sqrt(F.greatest(p * (1 - p), F.lit(1e-9)) * (1 / n1 + 1 / (n - n1)))
-    kept = counted.withColumn("z", z).where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(most).select("term").collect()
-    return np.sort(np.array([r.term for r in kept], np.int64))
+    counted = write_table(counted.withColumn("z", z), "toxicity-terms")
+    # a term that all rows hold tells none apart, alone or with another
+    others = counted.where((F.col("z") < LEAST_Z) & (F.col("held") < n)).orderBy(F.desc("held"), "term").limit(pool)
+    told = counted.where(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "term").limit(most)
+    return tuple(np.sort(np.array([r.term for r in kept.select("term").collect()], np.int64)) for kept in (told, others))
 
 
 def gather(rows: DataFrame, terms: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -100,18 +110,18 @@ def gather(rows: DataFrame, terms: np.ndarray) -> tuple[list[np.ndarray], np.nda
     return [np.frombuffer(b, "<i4").astype(np.int64) for b, _ in got], np.array([float(y) for _, y in got])
 
 
-def fit(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, seed: int = 1) -> Model:
+def fit(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, seed: int = 1, factors: int = FACTORS) -> Model:
     """Fit the machine by adaptive gradient steps on the log loss. rows hold numbers of terms."""
     rng = np.random.default_rng(seed)
     share = float(y.mean()) if len(y) else 0.0
-    nothing = Model(np.zeros(0, np.int64), float(np.log((share + 1e-4) / (1 - share + 1e-4))), np.zeros(0), np.zeros((0, FACTORS)))
-    if not len(terms):
+    nothing = Model(np.zeros(0, np.int64), float(np.log((share + 1e-4) / (1 - share + 1e-4))), np.zeros(0), np.zeros((0, factors)))
+    if not len(terms) or not sum(map(len, rows)):
         return nothing
     kept = terms
     index, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     begin = np.searchsorted(row, np.arange(len(rows) + 1))
-    bias, w, v = nothing.bias, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), FACTORS))
-    gb, gw, gv = 1e-8, np.full(len(kept), 1e-8), np.full((len(kept), FACTORS), 1e-8)
+    bias, w, v = nothing.bias, np.zeros(len(kept)), rng.normal(0, 0.01, (len(kept), factors))
+    gb, gw, gv = 1e-8, np.full(len(kept), 1e-8), np.full((len(kept), factors), 1e-8)
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
         for i in range(0, len(order), BATCH):
@@ -119,17 +129,47 @@ def fit(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray, seed: int = 1)
             wide = begin[batch + 1] - begin[batch]
             pick = np.repeat(begin[batch] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
             x, who = index[pick], np.repeat(np.arange(len(batch)), wide)
-            sums = np.stack([np.bincount(who, v[x, k], len(batch)) for k in range(FACTORS)], 1)
+            sums = np.stack([np.bincount(who, v[x, k], len(batch)) for k in range(factors)], 1) if factors else np.zeros((len(batch), 0))
             squares = np.bincount(who, (v[x] ** 2).sum(1), len(batch))
             score = bias + np.bincount(who, w[x], len(batch)) + 0.5 * ((sums**2).sum(1) - squares)
             error = 1 / (1 + np.exp(-np.clip(score, -30, 30))) - y[batch]
             db, dw = error.sum(), np.bincount(x, error[who], len(kept)) + DECAY * w
-            dv = np.stack([np.bincount(x, error[who] * (sums[who, k] - v[x, k]), len(kept)) for k in range(FACTORS)], 1) + DECAY * v
+            dv = np.stack([np.bincount(x, error[who] * (sums[who, k] - v[x, k]), len(kept)) for k in range(factors)], 1) + DECAY * v if factors else v
             gb, gw, gv = gb + db**2, gw + dw**2, gv + dv**2
             bias, w, v = bias - RATE * db / np.sqrt(gb), w - RATE * dw / np.sqrt(gw), v - RATE * dv / np.sqrt(gv)
     return Model(terms, float(bias), w, v)
 
 
+def margin(model: Model, own: np.ndarray) -> float:
+    """The machine's sum for a text that holds the terms of these numbers: bias, weights, and the products of all pairs of factors."""
+    v = model.factors[own]
+    return float(model.bias + model.weights[own].sum() + 0.5 * (v.sum(0) ** 2 - (v**2).sum(0)).sum())
+
+
+def log_loss(model: Model, rows: list[np.ndarray], y: np.ndarray) -> float:
+    s = np.clip([margin(model, own) for own in rows], -30, 30)
+    return float(np.log1p(np.exp(np.where(y > 0, -s, s))).mean()) if len(y) else 0.0
+
+
+def only(rows: list[np.ndarray], kept: np.ndarray) -> list[np.ndarray]:
+    """Rows with the kept terms only, under their numbers among these."""
+    number = np.cumsum(kept) - 1
+    return [number[own[kept[own]]] for own in rows]
+
+
+def fit_best(told: np.ndarray, others: np.ndarray, terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> Model:
+    """Fit over the terms told apart by label, or over these and the others, whichever does better on rows that were kept back."""
+    narrow = np.isin(terms, told)
+    trial = np.random.default_rng(2).permutation(len(rows))[:TRIAL_ROWS]
+    train, back = trial[len(trial) // 4 :], trial[: len(trial) // 4]
+    losses = []
+    for kept in (narrow, np.ones(len(terms), bool)) if len(others) else ():
+        own = only(rows, kept)
+        losses.append(log_loss(fit(terms[kept], [own[i] for i in train], y[train]), [own[i] for i in back], y[back]))
+    kept = np.ones(len(terms), bool) if losses and losses[1] < GAIN * losses[0] else narrow
+    return fit(terms[kept], only(rows, kept), y)
+
+
 def make_scorer(model: Model):
     """A function from texts to scores. The terms of words that come again are remembered."""
     remembered: dict[str, tuple[int, ...]] = {}
@@ -153,9 +193,7 @@ def make_scorer(model: Model):
         out = []
         for own in words:
             x = np.fromiter(sorted({k for w in own for k in remembered[w]}), np.int64)
-            v = model.factors[x]
-            s = model.bias + model.weights[x].sum() + 0.5 * (v.sum(0) ** 2 - (v**2).sum(0)).sum()
-            out.append(float(1 / (1 + np.exp(-min(max(s, -40.0), 40.0)))))
+            out.append(float(1 / (1 + np.exp(-min(max(margin(model, x), -40.0), 40.0)))))
         return out
 
     return score
@@ -178,8 +216,9 @@ def score(docs: DataFrame, model: Model, identity: str = "doc_id", text: str = "
 
 def train(docs: DataFrame, labels: DataFrame, identity: str = "doc_id", text: str = "text", label: str = "toxic", most_rows: int = MOST_ROWS) -> Model:
     rows = training_rows(docs, labels, identity, text, label, most_rows)
-    terms = choose_terms(rows, MOST_TERMS)
-    return fit(terms, *gather(rows, terms))
+    told, others = choose_terms(rows, MOST_TERMS)
+    terms = np.union1d(told, others)
+    return fit_best(told, others, terms, *gather(rows, terms))
 
 
 def op5_toxicity_machine(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -41,6 +41,36 @@ def test_pairs_of_terms_count(spark):
     assert both > 0.8 and max(one, other, none) < 0.2
 
 
+def test_scores_equal_the_sum_over_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    words = [f"term{i}" for i in range(30)]
+    terms = np.sort(np.array([h for w in words for h in X.term_hashes(w)], np.uint64).view(np.int64))
+    model = X.Model(terms, -0.3, rng.normal(0, 1, len(terms)), rng.normal(0, 0.5, (len(terms), 4)))
+    texts = [" ".join(rng.choice(words, 12)) for _ in range(20)] + ["", "Term1 term1 TERM1 other"]
+    for text, got in zip(texts, X.make_scorer(model)(texts)):
+        own = [i for i, h in enumerate(terms) if h in set(X.text_terms(text).view(np.int64).tolist())]
+        s = model.bias + sum(model.weights[i] for i in own) + sum(float(model.factors[i] @ model.factors[j]) for k, i in enumerate(own) for j in own[:k])
+        assert abs(got - 1 / (1 + np.exp(-s))) < 1e-9
+
+
+def test_terms_that_matter_only_in_pairs(spark):
+    # label 1 where both or none of two words are there: neither alone says anything, and a linear model can't tell
+    rng = np.random.default_rng(1)
+    filler = [f"word{i}" for i in range(40)]
+    held = rng.random((4000, 2)) < 0.5
+    rows = [" ".join([*rng.choice(filler, 6), *(["insultish"] if a else []), *(["groupish"] if b else [])]) for a, b in held]
+    y = [int(a == b) for a, b in held]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    train = X.training_rows(docs, spark.createDataFrame(list(enumerate(y)), "doc_id long, toxic int"), "doc_id", "text", "toxic", 20_000)
+    told, others = X.choose_terms(train, 100)
+    terms = np.union1d(told, others)
+    own, labels = X.gather(train, terms)
+    model, linear = X.fit_best(told, others, terms, own, labels), X.fit(terms, own, labels, factors=0)
+    out = [i for i in range(4000) if zlib.crc32(str(i).encode()) % 4 == 2]
+    right = lambda m: np.mean([(s > 0.5) == y[i] for i, s in zip(out, X.make_scorer(m)([rows[i] for i in out]))])
+    assert right(model) > 0.95 and right(linear) < 0.6
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, 5), (1, None, 5), (None, "some text", 5), (3, "", 5), (4, "a " * 90_000, 5)], "doc_id long, text string, score long")
     labels = spark.createDataFrame([(1, 1), (3, None), (None, 1)], "doc_id long, toxic int")
