@@ -94,5 +94,5 @@ def test_likeness_of_texts_with_many_terms(spark):
     n, common = 20_000, round(20_000 * 0.8 / 1.4)
     rows = [(k, " ".join(f"w{k}x{i}" for i in range(n)), " ".join(f"w{k}x{i}" for i in range(n - common, 2 * n - common))) for k in range(12)]
     df = spark.createDataFrame(rows, "k int, a string, b string").repartition(4)
-    found = W.signatures(df, ["k"], ["a", "b"]).select(W.likeness(F.col("signature0"), F.col("signature1")).alias("x"))
+    found = G.signatures(df, ["k"], ["a", "b"]).select(G.likeness(F.col("signature0"), F.col("signature1")).alias("x"))
     assert abs(found.agg(F.avg("x")).first()[0] - 0.4) < 0.055
