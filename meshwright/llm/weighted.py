@@ -1,7 +1,7 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
 A text's terms are its words with their frequencies as weights. For each of SAMPLES samples every term draws r and c from
-Gamma(2, 1) and b from (0, 1) by two hashes of the term and the sample, so every text draws alike. With t = floor(ln w / r + b) and
+Gamma(2, 1) and b from (0, 1) by hashes of the term and the sample, so every text draws alike. With t = floor(ln w / r + b) and
 ln a = ln c - r (t - b) - r the term of least a is the sample, with its t. Two texts share a sample with the probability
 of their generalised Jaccard similarity, the sum of least weights over the sum of greatest ones. The fingerprint holds 16
 hashed bits of (term, t) for each sample.
@@ -17,7 +17,6 @@ identity are ordered by a hash of their text; a null identity sorts first; extra
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -27,44 +26,26 @@ from .common import read_table, text_or_empty, write_table
 SAMPLES = 64
 #: Hex digits of each sample in the fingerprint.
 DIGITS = 4
-#: Cells of the tables that invert the distributions of r and ln c, and the steps within a cell, as powers of two.
-CELLS, STEPS = 12, 20
-
-
-def gamma_quantiles(p: np.ndarray) -> np.ndarray:
-    """Gamma(2, 1) at the shares p, by bisection of its distribution."""
-    low, high = np.zeros(len(p)), np.full(len(p), 64.0)
-    for _ in range(80):
-        middle = (low + high) / 2
-        under = 1 - (1 + middle) * np.exp(-middle) < p
-        low, high = np.where(under, middle, low), np.where(under, high, middle)
-    return high
-
-
-def gamma_draw(bits: Column, shift: int, log: bool = False) -> Column:
-    """Gamma(2, 1), or its logarithm, at CELLS + STEPS of the bits: straight lines between the quantiles of the cells' bounds. The first and the
-    last cell, where these would cut the tails, have tables of as many cells of their own."""
-    cells, form = 1 << CELLS, np.log if log else np.asarray
-    bounds = form(gamma_quantiles(np.arange(1, cells) / cells))
-    inner, slope = np.r_[0.0, bounds[:-1], 0.0], np.r_[0.0, np.diff(bounds), 0.0]
-    fine = (np.arange(cells) + 0.5) / cells**2
-    first, last = form(gamma_quantiles(fine)), form(gamma_quantiles(1 - 1 / cells + fine))
-    cell = F.shiftrightunsigned(bits, shift + STEPS).bitwiseAND(F.lit(cells - 1)).cast("int")
-    step = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << STEPS) - 1)).cast("int")
-    part = F.shiftright(step, STEPS - CELLS)
-    line = F.get(F.lit(inner), cell) + F.get(F.lit(slope), cell) * ((step + F.lit(0.5)) * F.lit(2.0**-STEPS))
-    return F.when(cell == 0, F.get(F.lit(first), part)).when(cell == cells - 1, F.get(F.lit(last), part)).otherwise(line)
+
+
+def uniform(bits: Column, shift: int) -> Column:
+    """A number within (0, 1) from 32 of the bits."""
+    return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) * F.lit(2.0**-32)
+
+
+def gamma_draw(bits: Column) -> Column:
+    """Gamma(2, 1), the sum of two exponentially distributed numbers."""
+    return -F.ln(uniform(bits, 32) * uniform(bits, 0))
 
 
 def packed_samples(term: Column, log_weights: list[Column], sample: Column) -> list[Column]:
     """For each weight ln a in order-preserving bits above, 32 bits of (term, t) below: the least of these is the sample. Null for no weight."""
     bits, more = F.xxhash64(term, sample), F.xxhash64(sample, term)
-    r, log_c = gamma_draw(bits, 32), gamma_draw(bits, 0, log=True)
-    b = (F.shiftrightunsigned(more, 32) + F.lit(0.5)) * F.lit(2.0**-32)
+    r, log_c, b = gamma_draw(bits), F.ln(gamma_draw(F.xxhash64(bits))), uniform(more, 32)
     out = []
     for log_weight in log_weights:
         t = F.floor(log_weight / r + b)
-        # ln a is well within 2^6 of 0 for weights below 2^31; 24 bits of fraction stay
+        # r and c lie between 2e-10 and 46, so ln a is well within 2^7 of 0 for weights below 2^31; 24 bits of fraction stay
         order = ((log_c - r * (t - b + F.lit(1.0))) * F.lit(float(1 << 24))).cast("bigint")
         name = more.bitwiseXOR(F.shiftleft(t, 7)).bitwiseAND(F.lit(0xFFFFFFFF))
         out.append(F.shiftleft(order, 32).bitwiseOR(name))
