@@ -38,18 +38,19 @@ def gamma_draw(bits: Column) -> Column:
     return -F.ln(uniform(bits, 32) * uniform(bits, 0))
 
 
-def packed_samples(term: Column, log_weights: list[Column], sample: Column) -> list[Column]:
-    """For each weight ln a in order-preserving bits above, 32 bits of (term, t) below: the least of these is the sample. Null for no weight."""
-    bits, more = F.xxhash64(term, sample), F.xxhash64(sample, term)
-    r, log_c, b = gamma_draw(bits), F.ln(gamma_draw(F.xxhash64(bits))), uniform(more, 32)
-    out = []
-    for log_weight in log_weights:
-        t = F.floor(log_weight / r + b)
-        # r and c lie between 2e-10 and 46, so ln a is well within 2^7 of 0 for weights below 2^31; 24 bits of fraction stay
-        order = ((log_c - r * (t - b + F.lit(1.0))) * F.lit(float(1 << 24))).cast("bigint")
-        name = more.bitwiseXOR(F.shiftleft(t, 7)).bitwiseAND(F.lit(0xFFFFFFFF))
-        out.append(F.shiftleft(order, 32).bitwiseOR(name))
-    return out
+def with_draws(terms: DataFrame, term: str, sample: str) -> DataFrame:
+    """terms with the draws r and log_c and 64 more hashed bits of each term and sample, once for all weights."""
+    bits = F.xxhash64(term, sample)
+    return terms.withColumns({"r": gamma_draw(bits), "log_c": F.ln(gamma_draw(F.xxhash64(bits))), "more": F.xxhash64(sample, term)})
+
+
+def packed_sample(log_weight: Column) -> Column:
+    """ln a in order-preserving bits above, 32 bits of (term, t) below: the least of these is the sample. Null for no weight."""
+    r, log_c, more = F.col("r"), F.col("log_c"), F.col("more")
+    t = F.floor(log_weight / r + uniform(more, 32))
+    # r and c lie between 2e-10 and 46, so ln a is well within 2^7 of 0 for weights below 2^31; 24 bits of fraction stay
+    order = ((log_c - r * (t - uniform(more, 32) + F.lit(1.0))) * F.lit(float(1 << 24))).cast("bigint")
+    return F.shiftleft(order, 32).bitwiseOR(more.bitwiseXOR(F.shiftleft(t, 7)).bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def signatures(texts: DataFrame, keys: list[str], columns: list[str], samples: int = SAMPLES) -> DataFrame:
@@ -61,8 +62,7 @@ def signatures(texts: DataFrame, keys: list[str], columns: list[str], samples: i
     logged = terms.select(*keys, "term", *[F.when(F.col(f"w{i}") > 0, F.ln(F.col(f"w{i}").cast("double"))).alias(f"l{i}") for i in range(len(columns))])
     # one row per term and sample keeps the generated code small enough to be compiled to machine code
     spread = logged.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(samples - 1))))
-    drawn = packed_samples(F.col("term"), [F.col(f"l{i}") for i in range(len(columns))], F.col("sample"))
-    least = spread.groupBy(*keys, "sample").agg(*[F.min(x).alias(f"s{i}") for i, x in enumerate(drawn)])
+    least = with_draws(spread, "term", "sample").groupBy(*keys, "sample").agg(*[F.min(packed_sample(F.col(f"l{i}"))).alias(f"s{i}") for i in range(len(columns))])
     listed = least.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("sample", *[f"s{i}" for i in range(len(columns))]))).alias("all"))
     digits = lambda i: F.array_join(F.transform("all", lambda x: F.lpad(F.lower(F.hex(x[f"s{i}"].bitwiseAND(F.lit(16**DIGITS - 1)))), DIGITS, "0")), "")
     return listed.select(*keys, *[F.nullif(digits(i), F.lit("")).alias(f"signature{i}") for i in range(len(columns))])
