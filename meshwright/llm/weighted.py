@@ -17,6 +17,7 @@ identity are ordered by a hash of their text; a null identity sorts first; extra
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +27,8 @@ from .common import read_table, text_or_empty, write_table
 SAMPLES = 64
 #: Hex digits of each sample in the fingerprint.
 DIGITS = 4
+#: Cells of the tables that invert the distributions of r and ln c, and the steps within a cell, as powers of two.
+CELLS, STEPS = 12, 20
 
 
 def uniform(bits: Column, shift: int) -> Column:
@@ -33,22 +36,47 @@ def uniform(bits: Column, shift: int) -> Column:
     return (F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit(0xFFFFFFFF)) + F.lit(0.5)) * F.lit(2.0**-32)
 
 
-def gamma_draw(bits: Column) -> Column:
-    """Gamma(2, 1), the sum of two exponentially distributed numbers."""
-    return -F.ln(uniform(bits, 32) * uniform(bits, 0))
+def gamma_quantiles(p: np.ndarray) -> np.ndarray:
+    """Gamma(2, 1) at the shares p, by bisection of its distribution."""
+    low, high = np.zeros(len(p)), np.full(len(p), 64.0)
+    for _ in range(80):
+        middle = (low + high) / 2
+        under = 1 - (1 + middle) * np.exp(-middle) < p
+        low, high = np.where(under, middle, low), np.where(under, high, middle)
+    return high
+
+
+def constant(table: np.ndarray) -> Column:
+    """A table as one literal, which the optimizer folds into an array. An array of literals would put thousands of expressions into each plan."""
+    return F.split(F.lit(",".join(map(repr, table.tolist()))), ",").cast("array<double>")
+
+
+def gamma_draw(bits: Column, shift: int, log: bool = False) -> Column:
+    """Gamma(2, 1), or its logarithm, at CELLS + STEPS of the bits: straight lines between the quantiles of the cells' bounds. The first and the
+    last cell, where these would cut the tails, have tables of as many cells of their own."""
+    cells, form = 1 << CELLS, np.log if log else np.asarray
+    bounds = form(gamma_quantiles(np.arange(1, cells) / cells))
+    inner, slope = np.r_[0.0, bounds[:-1], 0.0], np.r_[0.0, np.diff(bounds), 0.0]
+    fine = (np.arange(cells) + 0.5) / cells**2
+    first, last = form(gamma_quantiles(fine)), form(gamma_quantiles(1 - 1 / cells + fine))
+    cell = F.shiftrightunsigned(bits, shift + STEPS).bitwiseAND(F.lit(cells - 1)).cast("int")
+    step = F.shiftrightunsigned(bits, shift).bitwiseAND(F.lit((1 << STEPS) - 1)).cast("int")
+    part = F.shiftright(step, STEPS - CELLS)
+    line = F.get(constant(inner), cell) + F.get(constant(slope), cell) * ((step + F.lit(0.5)) * F.lit(2.0**-STEPS))
+    return F.when(cell == 0, F.get(constant(first), part)).when(cell == cells - 1, F.get(constant(last), part)).otherwise(line)
 
 
 def with_draws(terms: DataFrame, term: str, sample: str) -> DataFrame:
-    """terms with the draws r and log_c and 64 more hashed bits of each term and sample, once for all weights."""
+    """terms with the draws r and log_c and 64 more hashed bits of each term and sample, once for all weights and so that the plan holds the tables once."""
     bits = F.xxhash64(term, sample)
-    return terms.withColumns({"r": gamma_draw(bits), "log_c": F.ln(gamma_draw(F.xxhash64(bits))), "more": F.xxhash64(sample, term)})
+    return terms.withColumns({"r": gamma_draw(bits, 32), "log_c": gamma_draw(bits, 0, log=True), "more": F.xxhash64(sample, term)})
 
 
 def packed_sample(log_weight: Column) -> Column:
     """ln a in order-preserving bits above, 32 bits of (term, t) below: the least of these is the sample. Null for no weight."""
     r, log_c, more = F.col("r"), F.col("log_c"), F.col("more")
     t = F.floor(log_weight / r + uniform(more, 32))
-    # r and c lie between 2e-10 and 46, so ln a is well within 2^7 of 0 for weights below 2^31; 24 bits of fraction stay
+    # ln a is well within 2^6 of 0 for weights below 2^31; 24 bits of fraction stay
     order = ((log_c - r * (t - uniform(more, 32) + F.lit(1.0))) * F.lit(float(1 << 24))).cast("bigint")
     return F.shiftleft(order, 32).bitwiseOR(more.bitwiseXOR(F.shiftleft(t, 7)).bitwiseAND(F.lit(0xFFFFFFFF)))
 
