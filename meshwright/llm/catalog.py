@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .flac import op10_flac_media
 from .licenses import op7_licence_scan
+from .merkle import OP13_SQL, op13_merkle_manifest
 from .mixing import OP8_SQL, op8_poisson_mixing
 from .packing import op3_pattern_packing
 from .simhash import op2_simhash_components
@@ -24,8 +25,10 @@ QUERIES = {
     "op8_poisson_mixing": op8_poisson_mixing,
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_flac_media": op10_flac_media,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
     "op8_poisson_mixing": OP8_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
