@@ -6,6 +6,7 @@ from .flac import op10_flac_media
 from .licenses import op7_licence_scan
 from .merkle import OP13_SQL, op13_merkle_manifest
 from .mixing import OP8_SQL, op8_poisson_mixing
+from .negatives import OP11_SQL, op11_strassen_negatives
 from .packing import op3_pattern_packing
 from .simhash import op2_simhash_components
 from .suffix import op4_run_length_dedup
@@ -25,10 +26,12 @@ QUERIES = {
     "op8_poisson_mixing": op8_poisson_mixing,
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_flac_media": op10_flac_media,
+    "op11_strassen_negatives": op11_strassen_negatives,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
     "op8_poisson_mixing": OP8_SQL,
+    "op11_strassen_negatives": OP11_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
