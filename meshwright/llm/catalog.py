@@ -8,6 +8,7 @@ from .merkle import OP13_SQL, op13_merkle_manifest
 from .mixing import OP8_SQL, op8_poisson_mixing
 from .negatives import OP11_SQL, op11_strassen_negatives
 from .packing import op3_pattern_packing
+from .retrieval import op12_retrieval_packing
 from .simhash import op2_simhash_components
 from .suffix import op4_run_length_dedup
 from .tokens import op1_token_counts
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_arc_to_warc": op9_arc_to_warc,
     "op10_flac_media": op10_flac_media,
     "op11_strassen_negatives": op11_strassen_negatives,
+    "op12_retrieval_packing": op12_retrieval_packing,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 

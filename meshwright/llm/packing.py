@@ -55,7 +55,11 @@ def encode_units(strings: list[str], vocabulary: str) -> list[list[int]]:
 
 def block_ids(texts: pa.Array, vocabulary: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """All ids of a block of texts in a row, each text closed by the end id, and how many each text has."""
-    strings, numbers, per = block_units(texts)
+    return unit_ids(*block_units(texts), vocabulary, end_id)
+
+
+def unit_ids(strings: list[str], numbers: np.ndarray, per: np.ndarray, vocabulary: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same from the block's distinct units, their numbers in a row and how many of these each text has."""
     ids = encode_units(strings, vocabulary)
     many = np.fromiter(map(len, ids), np.int64, len(ids))
     flat = np.fromiter((i for x in ids for i in x), np.uint32, int(many.sum()))
