@@ -1,7 +1,7 @@
 """Regions as polygons, from their parts to the weights of the grid cells that they cover.
 
 A geometry is an array of parts (kind, polygons); a polygon is an array of rings, the first its outline, the others its holes; a ring is an
-array of points (x, y), closed or not. Edges are straight in longitude and latitude. All of it is Column expressions: no Python per row.
+array of points (x, y), closed or not. Edges are straight in longitude and latitude. Whole geometries are only cleaned; all else is done on their edges (outlines). All of it is Column expressions: no Python per row.
 """
 
 from __future__ import annotations
@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import write_table
 from . import grid as G
+from . import outlines as O
 
 POLYGONAL = ("Polygon", "MultiPolygon")
-#: Nodes and weights of Gauss and Legendre's rule of three points on [0, 1].
-NODES = ((0.1127016653792583, 5 / 18), (0.5, 8 / 18), (0.8872983346207417, 5 / 18))
 VALID, REPAIRED, SKIPPED = "valid", "repaired", "skipped"
 
 
@@ -23,45 +23,43 @@ def polygonal_parts(parts: Column) -> Column:
     return F.when(F.size(kept) > 0, kept)
 
 
-def clean_ring(ring: Column) -> Column:
-    """The ring without points that repeat the one before, and without the closing point."""
-    once = F.filter(ring, lambda p, i: (i == 0) | (p != F.get(ring, i - 1)))
-    return F.when((F.size(once) > 1) & (F.element_at(once, 1) == F.element_at(once, -1)), F.slice(once, 1, F.size(once) - 1)).otherwise(once)
-
-
-def ring_area(ring: Column) -> Column:
-    """Square metres inside an open ring on the ellipsoid: the authalic height is integrated along each edge, so a polygon and its cuts agree."""
-    def edge(p: Column, i: Column) -> Column:
-        q = F.get(ring, F.when(i + 1 == F.size(ring), 0).otherwise(i + 1))
-        height = sum((w * G.authalic(p["y"] + t * (q["y"] - p["y"])) for t, w in NODES), F.lit(0.0))
-        return F.radians(q["x"] - p["x"]) * height
-
-    total = F.aggregate(F.transform(ring, edge), F.lit(0.0), lambda a, v: a + v)
-    return F.when(F.size(ring) >= 3, F.abs(total) * G.AXIS**2 / 2).otherwise(0.0)
-
-
-def polygon_area(polygon: Column) -> Column:
-    """The outline's area less that of the holes."""
-    areas = F.transform(polygon, lambda r: ring_area(clean_ring(r)))
-    return F.when(F.size(polygon) > 0, 2 * F.element_at(areas, 1) - F.aggregate(areas, F.lit(0.0), lambda a, v: a + v)).otherwise(0.0)
-
-
-def total_area(polygons: Column) -> Column:
-    return F.aggregate(F.transform(polygons, polygon_area), F.lit(0.0), lambda a, v: a + v)
+def ring_has_area(ring: Column) -> Column:
+    """Whether a ring's points, as (x, y), do not all lie on one line back and forth."""
+    origin = F.element_at(ring, 1)
+    pairs = F.zip_with(ring, F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1)), lambda p, q: F.struct(p.alias("p"), q.alias("q")))
+    size = F.aggregate(pairs, F.lit(0.0), lambda a, e: a + F.abs((e["p"]["x"] - origin["x"]) * (e["q"]["y"] - origin["y"]) - (e["q"]["x"] - origin["x"]) * (e["p"]["y"] - origin["y"])))
+    return (F.size(ring) >= 3) & (size > 0)
 
 
 def repaired(cities: DataFrame, parts: str = "parts") -> DataFrame:
     """cities with polygons and status: valid; repaired, where parts, repeated points or rings without an area had to go; skipped, where no polygon
-    with an area is left (polygons is null then)."""
+    with an area is left, or a coordinate is no number (polygons is null then). Rings that cross themselves are untangled as edges, by assess()."""
     first = cities.withColumn("_all", polygonal_parts(F.col(parts)))
-    good = F.transform("_all", lambda p: F.filter(F.transform(p, clean_ring), lambda r: F.size(r) >= 3))
-    kept = F.filter(good, lambda p: (F.size(p) > 0) & (polygon_area(p) > 0))
-    found = first.withColumn("_kept", kept).withColumn("polygons", F.when(F.size("_kept") > 0, F.col("_kept")))
-    closed = lambda r: F.when(F.element_at(r, 1) == F.element_at(r, -1), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
-    opened = F.transform("_all", lambda p: F.transform(p, lambda r: F.when(F.size(r) > 1, closed(r)).otherwise(r)))
-    as_given = (F.size(F.filter(parts, lambda p: p["kind"].isin(*POLYGONAL))) == F.size(parts)) & (opened == F.col("_kept"))
+    opened = lambda r: F.when((F.size(r) > 1) & (F.element_at(r, 1) == F.element_at(r, -1)), F.slice(r, 1, F.size(r) - 1)).otherwise(r)
+    staged = first.withColumns({"_open": F.transform("_all", lambda p: F.transform(p, opened)), "_clean": F.transform("_all", lambda p: F.transform(p, O.clean_ring))})
+    finite = lambda v: F.abs(v) < float("inf")
+    number = F.forall(F.flatten(F.flatten("_clean")), lambda p: finite(p["x"]) & finite(p["y"]) & p["x"].isNotNull() & p["y"].isNotNull())
+    good = F.filter("_clean", lambda p: (F.size(p) > 0) & ring_has_area(F.get(p, F.lit(0))))
+    staged = staged.withColumn("_kept", F.when(number, F.transform(good, lambda p: F.filter(p, ring_has_area))))
+    found = staged.withColumn("polygons", F.when(F.size("_kept") > 0, F.col("_kept")))
+    as_given = (F.size(F.filter(parts, lambda p: p["kind"].isin(*POLYGONAL))) == F.size(parts)) & (F.col("_open") == F.col("_kept"))
     status = F.when(F.col("polygons").isNull(), SKIPPED).when(as_given, VALID).otherwise(REPAIRED)
-    return found.withColumn("status", status).drop("_all", "_kept")
+    return found.withColumn("status", status).drop("_all", "_open", "_clean", "_kept")
+
+
+def assess(cities: DataFrame, parts: str = "parts") -> tuple[DataFrame, DataFrame]:
+    """From city_id, city_name, parts: the edges of the valid or repaired cities, and for every city city_id, city_name, status, city_area_m2 (null if
+    skipped). Edges that cross or lie upon each other are replaced by the outline of what an odd number of rings surrounds."""
+    named = write_table(repaired(cities, parts).select("city_id", "city_name", "status", "polygons"), "repaired")
+    given = write_table(O.edges(named.where("polygons IS NOT NULL"), "city_id"), "edges")
+    found = write_table(O.crossings(given, "city_id"), "crossings")
+    tangled = found.select("city_id").distinct()
+    outlines = given.join(tangled, "city_id", "left_anti").unionByName(O.slabs(given.join(tangled, "city_id", "left_semi"), found, "city_id"))
+    outlines = write_table(outlines, "outlines")
+    told = named.drop("polygons").join(O.area(outlines, "city_id"), "city_id", "left").join(tangled.withColumn("tangled", F.lit(True)), "city_id", "left")
+    sound = (F.col("area_m2") > 0) & (F.col("area_m2") < float("inf"))
+    status = F.when(~F.coalesce(sound, F.lit(False)), SKIPPED).when(F.col("tangled"), REPAIRED).otherwise(F.col("status"))
+    return outlines, told.select("city_id", "city_name", status.alias("status"), F.when(sound, F.col("area_m2")).alias("city_area_m2"))
 
 
 def with_bounds(cities: DataFrame) -> DataFrame:
@@ -71,35 +69,27 @@ def with_bounds(cities: DataFrame) -> DataFrame:
     return cities.withColumns({"xmin": least("x", F.array_min), "ymin": least("y", F.array_min), "xmax": least("x", F.array_max), "ymax": least("y", F.array_max)})
 
 
-def representative_point(cities: DataFrame) -> DataFrame:
-    """cities (with bounds) with lon and lat of a point to project about."""
+def with_centres(cities: DataFrame) -> DataFrame:
+    """cities (with bounds) with the middle of their bounds."""
     return cities.withColumns({"centre_lon": (F.col("xmin") + F.col("xmax")) / 2, "centre_lat": (F.col("ymin") + F.col("ymax")) / 2})
 
 
-def united(cities: DataFrame, *keys: str) -> DataFrame:
-    """One row per key: the parts of all its rows, which must not overlap, in one array of polygons."""
-    return cities.groupBy(*keys).agg(F.flatten(F.collect_list("polygons")).alias("polygons"))
-
-
-def cell_areas(cities: DataFrame, south: float, west: float, n_lat: int, n_lon: int) -> DataFrame:
-    """city_id, iy, ix, lat, lon, area_m2 of each cell that a city covers a part of. A ring is cut by one half plane after the other, a stage each, so
-    that no expression is evaluated twice."""
-    cells = G.cells_by_arithmetic(with_bounds(cities), south, west, n_lat, n_lon)
-    rings = cells.select("city_id", "iy", "ix", "lat", "lon", F.posexplode("polygons").alias("polygon", "rings")).select("*", F.posexplode("rings").alias("hole", "ring")).drop("rings")
-    areas = G.clip_to_cell(rings.withColumn("ring", clean_ring(F.col("ring"))), area=ring_area)
-    signed = F.sum(F.when(F.col("hole") == 0, F.col("area_m2")).otherwise(-F.col("area_m2")))
-    return areas.groupBy("city_id", "iy", "ix", "lat", "lon").agg(signed.alias("area_m2")).where("area_m2 > 1e-6")
+def united(outlines: DataFrame, *keys: str) -> DataFrame:
+    """The edges around all polygons of a key; ground that several cover counts once."""
+    mine = outlines.withColumn("polygon", F.xxhash64("city_id", "polygon")) if "city_id" in outlines.columns and "city_id" not in keys else outlines
+    mine = write_table(mine, "edges")
+    return O.slabs(mine, write_table(O.crossings(mine, *keys), "crossings"), *keys, rule="cover")
 
 
 def build_weights(cities: DataFrame, country: str, south: float, west: float, n_lat: int, n_lon: int) -> tuple[DataFrame, DataFrame]:
-    """The whole way from city_id, city_name, country, parts: weights (city_id, cell_id, area_m2), and for every city of the country city_id,
+    """The whole way from city_id, city_name, country, parts: weights (city_id, cell_id, area_m2), written once, and for every city of the country city_id,
     city_name, status, city_area_m2 (null if skipped), grid_overlap_count, grid_coverage_fraction."""
-    named = repaired(cities.where(F.col("country") == country))
-    sized = named.withColumn("city_area_m2", F.when(F.col("polygons").isNotNull(), total_area(F.col("polygons"))))
-    kept = sized.where((F.col("city_area_m2") > 0) & (F.col("city_area_m2") < float("inf")))
-    weights = cell_areas(kept.select("city_id", "polygons"), south, west, n_lat, n_lon).select("city_id", G.flat_id(F.col("iy"), F.col("ix"), n_lon).cast("long").alias("cell_id"), "area_m2")
+    outlines, told = assess(cities.where(F.col("country") == country))
+    kept = told.where(F.col("status") != SKIPPED).select("city_id")
+    cells = O.cells(outlines.join(kept, "city_id", "left_semi"), south, west, n_lat, n_lon, "city_id")
+    weights = write_table(cells.select("city_id", G.flat_id(F.col("iy"), F.col("ix"), n_lon).cast("long").alias("cell_id"), "area_m2"), "weights")
     held = weights.groupBy("city_id").agg(F.count("*").alias("n"), F.sum("area_m2").alias("held"))
-    told = sized.join(held, "city_id", "left").select(
+    return weights, told.join(held, "city_id", "left").select(
         "city_id",
         "city_name",
         "status",
@@ -107,7 +97,6 @@ def build_weights(cities: DataFrame, country: str, south: float, west: float, n_
         F.coalesce("n", F.lit(0)).alias("grid_overlap_count"),
         F.coalesce(F.col("held") / F.col("city_area_m2"), F.lit(0.0)).alias("grid_coverage_fraction"),
     )
-    return weights, told
 
 
 def geometry_report(told: DataFrame) -> DataFrame:
