@@ -17,7 +17,7 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +62,7 @@ def unit_ids(strings: list[str], numbers: np.ndarray, per: np.ndarray, vocabular
     """The same from the block's distinct units, their numbers in a row and how many of these each text has."""
     ids = encode_units(strings, vocabulary)
     many = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((i for x in ids for i in x), np.uint32, int(many.sum()))
+    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(many.sum()))
     wide = many[numbers]
     at = np.repeat((np.cumsum(many) - many)[numbers] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
     running = np.concatenate([[0], np.cumsum(wide)])

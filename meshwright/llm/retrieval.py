@@ -14,12 +14,13 @@ no rows; extra columns, whatever their names, are dropped. A word's frequency wi
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,20 +34,25 @@ TERMS = 1 << 20
 SHARD_DOCUMENTS = 1024
 #: The usual parameters of BM25.
 K1, B = 1.2, 0.75
-WORD = re.compile(r"\w+")
+#: What parts words (RE2).
+NO_WORD = r"[^\pL\pM\pN_]+"
 
 
-def terms_of(unit: str) -> list[int]:
-    return [zlib.crc32(w.encode("utf-8", "surrogatepass")) % TERMS for w in WORD.findall(unit.lower())]
+def unit_terms(strings: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The terms of the words of each string in a row, and how many each has."""
+    words = pc.split_pattern_regex(pc.utf8_lower(pa.array(strings, pa.string())), NO_WORD)
+    flat = words.flatten()
+    kept = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
+    many = np.bincount(np.repeat(np.arange(len(words)), pc.list_value_length(words).to_numpy())[kept], minlength=len(words))
+    hashed = pd.util.hash_array(flat.to_numpy(zero_copy_only=False)[kept], categorize=False)
+    return (hashed % np.uint64(TERMS)).astype(np.int64), many
 
 
 def block_terms(strings: list[str], numbers: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sorted by text: number of the text, term, frequency, from the distinct units of a block."""
-    found = [terms_of(u) for u in strings]
-    many = np.fromiter(map(len, found), np.int64, len(found))
-    flat = np.fromiter((t for x in found for t in x), np.int64, int(many.sum()))
-    pairs, times = np.unique(np.repeat(np.arange(len(per)), per) * max(len(found), 1) + numbers, return_counts=True)
-    doc, unit = pairs // max(len(found), 1), pairs % max(len(found), 1)
+    flat, many = unit_terms(strings)
+    pairs, times = np.unique(np.repeat(np.arange(len(per)), per) * max(len(strings), 1) + numbers, return_counts=True)
+    doc, unit = pairs // max(len(strings), 1), pairs % max(len(strings), 1)
     wide = many[unit]
     at = np.repeat((np.cumsum(many) - many)[unit] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
     keys = np.repeat(doc, wide) * TERMS + flat[at]
@@ -138,7 +144,7 @@ def fill(sizes: list[int], terms: np.ndarray, weights: np.ndarray, many: np.ndar
     local, term = np.unique(terms, return_inverse=True)
     doc = np.repeat(np.arange(n), many)
     order = np.argsort(term, kind="stable")
-    held, weight = doc[order], weights[order]
+    held, weight = doc[order], weights[order].astype(float)
     wide = np.bincount(term, minlength=len(local))
     first = np.cumsum(wide) - wide
     bounds = np.r_[0, np.cumsum(many)]

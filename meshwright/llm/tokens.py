@@ -121,7 +121,11 @@ def block_units(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
     order = np.concatenate([np.repeat(np.flatnonzero(~mask), per[~mask]), np.repeat(np.flatnonzero(mask), per[mask])])
     if mask.any():
         code = code[np.argsort(order, kind="stable")]
-    distinct, numbers = np.unique(code, return_inverse=True)
+    # codes are small numbers, so those that occur are told apart without a sort
+    there = np.zeros(2 * len(encoded.dictionary), bool)
+    there[code] = True
+    distinct = np.flatnonzero(there)
+    numbers = (np.cumsum(there) - 1)[code]
     strings = encoded.dictionary.take(pa.array(distinct // 2)).to_pylist()
     return [" " + x if odd else x for x, odd in zip(strings, (distinct & 1).tolist())], numbers, per
 
