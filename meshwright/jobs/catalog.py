@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..operators import frames as FR
 from ..operators import grid as G
 from ..operators import ledger as L
 from ..operators import quality as Q
@@ -100,6 +101,13 @@ def city_daily_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return city_daily(spark, sf_dir, 8000)
 
 
+@query(city_daily_sql(0), dates=("date_utc",))
+def city_daily_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from whole days: weights as sparse arrays, gathered by index, no shuffle of day and cell."""
+    found = FR.city_daily(gappy_field(spark, sf_dir), T.weights(spark, sf_dir), city_table(spark, sf_dir), places=6)
+    return rounded(found, "grid_coverage_fraction", *[f"{v}_{s}" for v in VARIABLES for s in ("mean", "valid_area_fraction")])
+
+
 @query("SELECT l_suppkey, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) AS mean FROM lineitem WHERE l_quantity > 0 GROUP BY 1")
 def weighted_mean_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read_table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(W.mean("l_extendedprice", "l_quantity"), 6).alias("mean"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import missing_to_null
@@ -13,12 +13,17 @@ def daily(field: DataFrame, strict: bool = True, hours: int | None = None) -> Da
 
     Strict days are null if any value is missing, or, with hours, if the day does not have so many rows. One aggregate serves all three.
     """
-    x = missing_to_null(F.col("x"))
+    return field.groupBy("cell_id", F.col("ts").cast("date").alias("day")).agg(*extremes_and_mean(F.col("x"), strict, hours))
+
+
+def extremes_and_mean(x: Column, strict: bool = True, hours: int | None = None) -> list[Column]:
+    """x_min, x_max, x_mean of a group of hours."""
+    x = missing_to_null(x)
     whole = F.count("*") == F.count(x)
     if hours is not None:
         whole = whole & (F.count("*") == hours)
     keep = (lambda c: F.when(whole, c)) if strict or hours is not None else (lambda c: c)
-    return field.groupBy("cell_id", F.col("ts").cast("date").alias("day")).agg(keep(F.min(x)).alias("x_min"), keep(F.max(x)).alias("x_max"), keep(F.avg(x)).alias("x_mean"))
+    return [keep(F.min(x)).alias("x_min"), keep(F.max(x)).alias("x_max"), keep(F.avg(x)).alias("x_mean")]
 
 
 def calendar(field: DataFrame, ts: str = "ts") -> DataFrame:
