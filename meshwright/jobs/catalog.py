@@ -15,6 +15,7 @@ from ..operators import quality as Q
 from ..operators import resample as R
 from ..operators import weighted as W
 from ..sources import files as X
+from ..sources import gridded as GR
 from ..sources import sinks as S
 from ..sources import tables as T
 from ..streaming import logs
@@ -108,6 +109,22 @@ def city_daily_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found, "grid_coverage_fraction", *[f"{v}_{s}" for v in VARIABLES for s in ("mean", "valid_area_fraction")])
 
 
+GRID_SINCE = "2024-01-16 00:00:00"
+
+
+@query(f"""SELECT user_id AS cell_id, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS hour, round(avg(value), 6) AS x FROM events WHERE ts >= TIMESTAMP '{GRID_SINCE}' AND ts < TIMESTAMP '{GRID_SINCE}' + INTERVAL 7 DAY GROUP BY 1, 2""")
+def gridded_week(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field as hourly grids in a file a day, and a week of it read back: only the chunks of its hours are opened."""
+    hourly = T.field(spark, sf_dir).groupBy("cell_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("x").alias("x"))
+    rows = 1 + hourly.agg(F.coalesce(F.floor(F.max("cell_id") / 100), F.lit(0))).first()[0]
+    frames = GR.frames_of(hourly, rows * 100).withColumn("path", F.concat(F.date_format("ts", "yyyy-MM-dd"), F.lit(".nc")))
+    folder = T.shared_path(spark, "gridded")
+    GR.write_gridded(frames, folder, "x", [i * G.STEP for i in range(rows)], [i * G.STEP for i in range(100)])
+    since = dt.datetime.fromisoformat(GRID_SINCE)
+    week = GR.read_gridded(spark, folder, "x").where((F.col("ts") >= since) & (F.col("ts") < since + dt.timedelta(days=7)))
+    return GR.cells_of(week).select("cell_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("hour"), F.round("x", 6).alias("x"))
+
+
 @query("SELECT l_suppkey, round(sum(l_extendedprice * l_quantity) / sum(l_quantity), 6) AS mean FROM lineitem WHERE l_quantity > 0 GROUP BY 1")
 def weighted_mean_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.read_table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.round(W.mean("l_extendedprice", "l_quantity"), 6).alias("mean"))
