@@ -18,7 +18,7 @@ from ..sources import files as X
 from ..sources import gridded as GR
 from ..sources import sinks as S
 from ..sources import tables as T
-from ..streaming import logs
+from ..streaming import logs, tail
 from .registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
 
 NOW = dt.date(2001, 11, 20)
@@ -490,6 +490,16 @@ def stream_log_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.stream_alerts(spark, sf_dir)
 
 
+@query(f"SELECT strftime(day, '%Y-%m-%d') AS log, count(*) AS n_alerts, min(line) AS least, max(line) AS greatest FROM ({LINE_SQL}) WHERE {ALERT_SQL} GROUP BY day")
+def tailed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log of each day as a text file, tailed: alerts among the lines that it has gained."""
+    folder = T.shared_path(spark, "logs")
+    lines = T.log_lines(T.read_table(spark, sf_dir, "events"))
+    lines.repartition("day").sortWithinPartitions("day", "n").select("day", "line").write.partitionBy("day").text(folder)
+    found = logs.drained(logs.alerts(tail.tail(spark, folder, r".*\.txt")))
+    return found.groupBy(F.regexp_extract("path", "day=([^/]+)/", 1).alias("log")).agg(F.count("*").alias("n_alerts"), F.min("line").alias("least"), F.max("line").alias("greatest"))
+
+
 @query(CONTEXT_SQL, dates=("day",))
 def stream_alert_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.stream_context(spark, sf_dir)
