@@ -18,7 +18,7 @@ from ..sources import files as X
 from ..sources import gridded as GR
 from ..sources import sinks as S
 from ..sources import tables as T
-from ..streaming import logs, tail
+from ..streaming import logs, tail, watch
 from .registry import ORACLE_SQL, QUERIES, query, rounded  # noqa: F401
 
 NOW = dt.date(2001, 11, 20)
@@ -490,6 +490,16 @@ def stream_log_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.stream_alerts(spark, sf_dir)
 
 
+@query("""WITH o AS (SELECT (user_id % 8)::VARCHAR AS key, ts, event_id % 1000 AS size FROM events), s AS (SELECT key, min(ts) AS first, max(size) AS size FROM o GROUP BY 1)
+SELECT key, 'new output' AS notice, NULL::VARCHAR AS "at", size FROM s WHERE size > 0
+UNION ALL SELECT key, 'periodic', strftime(moment, '%Y-%m-%d %H:%M:%S.%f'), size FROM (SELECT key, size, unnest(generate_series(date_trunc('milliseconds', first) + INTERVAL 12 HOUR, (SELECT max(ts) - INTERVAL 10 MINUTE FROM o), INTERVAL 12 HOUR)) AS moment FROM s)""")
+def watched_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notices about eight growing outputs: new output, and one every twelve hours, from keyed state and timers."""
+    events = logs.event_stream(spark, sf_dir)
+    found = watch.watched(events.select((F.col("user_id") % 8).alias("key"), "ts", (F.col("event_id") % 1000).alias("size")))
+    return found.select("key", "notice", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "size")
+
+
 @query(f"SELECT strftime(day, '%Y-%m-%d') AS log, count(*) AS n_alerts, min(line) AS least, max(line) AS greatest FROM ({LINE_SQL}) WHERE {ALERT_SQL} GROUP BY day")
 def tailed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log of each day as a text file, tailed: alerts among the lines that it has gained."""
