@@ -9,6 +9,7 @@ from ..operators import grid as G
 from ..operators import outlines as O
 from ..operators import polygons as P
 from ..sources import tables as T
+from ..sources import wkb as B
 from .registry import query, rounded
 
 #: The grid: a quarter of a degree, from 20 N 90 E on.
@@ -227,3 +228,13 @@ SELECT to_json({{'city_count': count(*), 'processed_city_count': count(*) FILTER
 def region_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, told = P.assess(regions(spark, sf_dir).where("country = 'home'"))
     return P.geometry_report(told)
+
+
+@query(f"WITH {AREA_SQL} SELECT city_id, n_parts, round(area / 1e6, 3) AS area_km2 FROM areas JOIN (SELECT n_nationkey AS city_id, 1 + n_nationkey % 2 AS n_parts FROM nation) USING (city_id)")
+def nested_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regions as well-known binary, each in a collection within a collection, parsed again."""
+    blobs = T.write_table(B.with_blobs(regions(spark, sf_dir), depth=1), "blobs")
+    parsed = B.with_parts(blobs)
+    _, told = P.assess(parsed)
+    parts = parsed.select("city_id", F.size("parts").cast("long").alias("n_parts"))
+    return parts.join(told.where("city_area_m2 IS NOT NULL"), "city_id").select("city_id", "n_parts", F.round(F.col("city_area_m2") / 1e6, 3).alias("area_km2"))
