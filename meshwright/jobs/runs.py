@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cube as C
 from ..operators import quality as Q
 from ..operators import runs as R
 from ..operators import series
@@ -45,6 +46,25 @@ def run_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.run_document(year_runs(spark, sf_dir)[1], files, start_year=START, end_year=END, input_frequency="hourly", output_frequency="daily")
 
 
+BLOCK_SQL = """SELECT DISTINCT CAST(user_id % 6 AS INT) AS tile, CAST(ts AS DATE) AS low, CAST(ts AS DATE) + CASE WHEN user_id % 6 = 1 AND day(ts) % 7 = 0 THEN 2 ELSE 1 END AS high
+FROM events WHERE NOT (user_id % 6 = 2 AND day(ts) % 10 = 0)"""
+
+
+@query(f"""WITH b AS ({BLOCK_SQL}), hull AS (SELECT min(low) AS a, max(high) AS z FROM b), e AS (SELECT tile, low AS t, 1 AS c FROM b UNION ALL SELECT tile, high, -1 FROM b
+  UNION ALL SELECT CAST(range AS INT), a, 0 FROM hull, range(7) UNION ALL SELECT CAST(range AS INT), z, 0 FROM hull, range(7)),
+s AS (SELECT tile, t, sum(c) AS c FROM e GROUP BY 1, 2),
+r AS (SELECT tile, t AS low, lead(t) OVER w AS high, CAST(sum(c) OVER w AS BIGINT) AS n FROM s WINDOW w AS (PARTITION BY tile ORDER BY t))
+SELECT tile, strftime(low, '%Y-%m-%d') AS low, strftime(high, '%Y-%m-%d') AS high, n FROM r WHERE high IS NOT NULL AND n <> 1""")
+def cube_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of a tile and a day: tile 1 overlaps every seventh day, tile 2 has holes, tile 6 is not there."""
+    day, tile = F.col("ts").cast("date"), (F.col("user_id") % 6).cast("int")
+    long = F.when((tile == 1) & (F.dayofmonth("ts") % 7 == 0), 2).otherwise(1)
+    events = T.read_table(spark, sf_dir, "events").where(~((tile == 2) & (F.dayofmonth("ts") % 10 == 0)))
+    blocks = events.select(tile.alias("tile"), day.alias("low"), F.date_add(day, long).alias("high")).distinct()
+    found = C.cover_faults(blocks, tiles=spark.range(7).select(F.col("id").cast("int").alias("tile")))
+    return found.select("tile", F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"), "n")
+
+
 @query("""SELECT ts AS time, (user_id % 10) * 0.25::DOUBLE AS latitude, (user_id // 10) * 0.25::DOUBLE AS longitude, value AS x FROM events""")
 def normalised_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events under other names and with a dimension of one value."""
