@@ -56,11 +56,12 @@ def tile_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH m AS (SELECT year, last, CAST(unnest(range(1, month(last) + 1)) AS INT) AS month FROM ({YEARS_SQL})),
 d AS (SELECT year, month, CAST(CASE WHEN month = month(last) THEN day(last) ELSE day(last_day(make_date(year, month, 1))) END AS INT) AS last_day FROM m),
-p AS (SELECT year(l_shipdate) AS year, month(l_shipdate) AS month FROM lineitem GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT day(l_shipdate)) >= 15)
+p AS (SELECT year(l_shipdate) AS year, month(l_shipdate) AS month FROM lineitem WHERE (year(l_shipdate) + month(l_shipdate)) % 7 <> 0 GROUP BY 1, 2 HAVING count(*) >= 2 AND count(DISTINCT day(l_shipdate)) >= 15)
 SELECT year, month, printf('month_%02d_days_01_%02d', month, last_day) AS chunk FROM d WHERE (year, month) NOT IN (SELECT (year, month) FROM p)""")
 def pending_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Months still to be fetched; a month's part is there once its lines cover 15 days."""
-    parts = T.read_table(spark, sf_dir, "lineitem").groupBy(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")).agg(F.countDistinct(F.dayofmonth("l_shipdate")).alias("n"))
+    """Months still to be fetched; a month's part is there once its lines cover 15 days. Every seventh month's part was lost."""
+    lines = T.read_table(spark, sf_dir, "lineitem").where((F.year("l_shipdate") + F.month("l_shipdate")) % 7 != 0)
+    parts = lines.groupBy(F.year("l_shipdate").alias("year"), F.month("l_shipdate").alias("month")).agg(F.countDistinct(F.dayofmonth("l_shipdate")).alias("n"))
     planned = L.monthly_chunks(order_years(spark, sf_dir)).select("year", "month", "chunk")
     return L.pending_chunks(planned, parts, ["year", "month"], 15)
 

@@ -46,6 +46,34 @@ def run_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.run_document(year_runs(spark, sf_dir)[1], files, start_year=START, end_year=END, input_frequency="hourly", output_frequency="daily")
 
 
+CITY_RUN_SQL = """WITH cells AS (SELECT l_suppkey % 5 AS cell, CAST(l_shipdate AS DATE) AS day, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2),
+hours AS (SELECT cell, day, h FROM cells, range(24) t(h) WHERE NOT (q % 10 = 0 AND h = 7) AND NOT (day = DATE '1997-03-03' AND h = 5)),
+y AS (SELECT CAST(unnest(range(1995, 2003)) AS INT) AS year), have AS (SELECT CAST(year(day) AS INT) AS year, count(DISTINCT (day, h)) AS n FROM hours GROUP BY 1),
+whole AS (SELECT y.year, coalesce(n, 0) AS n, CAST(dayofyear(make_date(y.year, 12, 31)) AS BIGINT) AS days FROM y LEFT JOIN have USING (year)),
+w AS (SELECT s_nationkey % 3 AS city, s_suppkey % 5 AS cell FROM supplier GROUP BY 1, 2 HAVING sum(s_acctbal) > 0),
+valid AS (SELECT DISTINCT CAST(year(day) AS INT) AS year, day, city FROM (SELECT cell, day FROM hours GROUP BY 1, 2 HAVING count(*) = 24) JOIN w USING (cell)),
+cities AS (SELECT count(DISTINCT s_nationkey % 3) AS n FROM supplier)
+SELECT year, CASE WHEN whole.n = days * 24 THEN days * cities.n ELSE 0 END AS rows, CASE WHEN whole.n <> days * 24 THEN whole.n || ' hours of ' || days * 24 END AS error,
+  CASE WHEN whole.n = days * 24 THEN (SELECT count(*) FROM valid v WHERE v.year = whole.year) ELSE 0 END AS n_valid FROM whole, cities"""
+
+
+@query(CITY_RUN_SQL)
+def city_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Years of hourly values in one call: calendar, strict days, weights, log. Some days of a cell lack an hour, 1997 lacks one of all cells."""
+    sums = T.read_table(spark, sf_dir, "lineitem").groupBy((F.col("l_suppkey") % 5).alias("cell_id"), F.col("l_shipdate").cast("date").alias("day")).agg(F.sum("l_quantity").alias("q"))
+    sums = T.write_table(sums, "cell-days").withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(23))))
+    kept = sums.where(~((F.col("q") % 10 == 0) & (F.col("h") == 7)) & ~((F.col("day") == F.lit("1997-03-03").cast("date")) & (F.col("h") == 5)))
+    field = kept.select("cell_id", (F.col("day").cast("timestamp_ntz") + F.make_dt_interval(hours=F.col("h"))).alias("ts"), (F.col("q") + F.col("h")).cast("double").alias("x"))
+    supplier = T.read_table(spark, sf_dir, "supplier")
+    weights = supplier.groupBy((F.col("s_nationkey") % 3).alias("city_id"), (F.col("s_suppkey") % 5).alias("cell_id")).agg(F.sum("s_acctbal").alias("area"))
+    cities = weights.groupBy("city_id").agg((F.sum(F.abs("area")) + 1).alias("city_area")).withColumn("city_name", F.concat(F.lit("c"), F.col("city_id").cast("string")))
+    made, log = R.city_years(field, weights, cities, START, END)
+    if made is None:
+        return log.withColumn("n_valid", F.lit(0).cast("long"))
+    valid = made.groupBy(F.year("date_utc").alias("year")).agg(F.count("x_mean_mean").alias("n_valid"))
+    return log.join(valid, "year", "left").withColumn("n_valid", F.coalesce("n_valid", F.lit(0)))
+
+
 BLOCK_SQL = """SELECT DISTINCT CAST(user_id % 6 AS INT) AS tile, CAST(ts AS DATE) AS low, CAST(ts AS DATE) + CASE WHEN user_id % 6 = 1 AND day(ts) % 7 = 0 THEN 2 ELSE 1 END AS high
 FROM events WHERE NOT (user_id % 6 = 2 AND day(ts) % 10 = 0)"""
 

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PythonException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import shortened
 from ..sources.files import in_year
 from ..sources.tables import write_table
+from . import frames
 from .quality import check_run
 
 LOG = "year int, rows bigint, error string"
+#: What a year's data can do: checks that fail, and jobs that end with an error of their own. Errors of the program itself are raised.
+FAULTS = (ValueError, ArithmeticError, SparkRuntimeException, PythonException, Py4JJavaError)
 
 
 def years_one_by_one(spark: SparkSession, start_year: int, end_year: int, work: Callable[[int], DataFrame]) -> tuple[list[DataFrame], DataFrame]:
@@ -25,7 +30,7 @@ def years_one_by_one(spark: SparkSession, start_year: int, end_year: int, work:
             made = write_table(work(year), f"year-{year}")
             done.append(made)
             log.append((year, made.count(), None))
-        except Exception as error:  # noqa: BLE001 - the year is told as failed, whatever it was
+        except FAULTS as error:
             log.append((year, 0, str(error).strip().split("\n")[0] or type(error).__name__))
     return done, spark.createDataFrame(log, LOG).withColumn("error", shortened(F.col("error")))
 
@@ -40,6 +45,29 @@ def whole_year(df: DataFrame, ts: str, year: int) -> DataFrame:
     return rows
 
 
+def exact_year(field: DataFrame, year: int, ts: str = "ts") -> DataFrame:
+    """The rows of a year, if their hours are exactly those of its calendar; else an error that says what is wrong."""
+    rows = in_year(field, ts, year)
+    hour = F.date_trunc("hour", ts).cast("timestamp_ntz")
+    found = rows.groupBy(hour.alias("hour")).agg(F.max(F.col(ts) != hour).alias("odd")).agg(F.count("*"), F.count_if("odd")).first()
+    due = 24 * (366 if year % 4 == 0 and (year % 100 or year % 400 == 0) else 365)
+    if found[1]:
+        raise ValueError(f"{found[1]} times between hours")
+    if found[0] != due:
+        raise ValueError(f"{found[0]} hours of {due}")
+    return rows
+
+
+def city_years(field: DataFrame, weights: DataFrame, cities: DataFrame, start_year: int, end_year: int) -> tuple[DataFrame | None, DataFrame]:
+    """The whole run over field (cell_id, ts, x): for each year the exact calendar of hours, strict days of 24 hours, weighted city-day statistics, all written; and the
+    log with the reason of each year that failed. Gives the statistics of the years that ended well (None if none did) and the log."""
+    done, log = years_one_by_one(field.sparkSession, start_year, end_year, lambda year: frames.city_daily(exact_year(field, year), weights, cities, hours=24, places=6))
+    out = None
+    for made in done:
+        out = made if out is None else out.unionByName(made)
+    return out, log
+
+
 def run_summary(log: DataFrame) -> DataFrame:
     """n_years, n_completed, n_failed, total_rows."""
     failed = F.col("error").isNotNull()

@@ -137,3 +137,20 @@ def test_csv_bytes(spark, tmp_path):
     S.write_csv(spark.createDataFrame([("é", None), ("b", 1.5)], "name string, x double").coalesce(1), f"file://{tmp_path}/out")
     (part,) = (tmp_path / "out").glob("part-*.csv")
     assert part.read_bytes() == "﻿name,x\r\né,nan\r\nb,1.5\r\n".encode()
+
+
+def test_a_year_run_tells_data_faults_and_raises_others(spark):
+    import datetime as dt
+
+    from meshwright.operators import runs as U
+
+    hours = spark.sql("SELECT 1L AS cell_id, CAST(h AS timestamp_ntz) AS ts, CAST(hour(h) AS double) AS x FROM (SELECT explode(sequence(TIMESTAMP '2020-01-01 00:00:00', TIMESTAMP '2022-12-31 23:00:00', INTERVAL 1 HOUR)) AS h)")
+    field = hours.where(F.col("ts") != dt.datetime(2021, 5, 5, 5)).unionByName(spark.createDataFrame([(1, dt.datetime(2022, 2, 2, 2, 30), 0.0)], "cell_id long, ts timestamp_ntz, x double"))
+    weights = spark.createDataFrame([(1, 1, 2.0)], "city_id int, cell_id long, area double")
+    cities = spark.createDataFrame([(1, "one", 4.0)], "city_id int, city_name string, city_area double")
+    made, log = U.city_years(field, weights, cities, 2019, 2022)
+    assert [(r.year, r.rows, r.error) for r in log.orderBy("year").collect()] == [(2019, 0, "0 hours of 8760"), (2020, 366, None), (2021, 0, "8759 hours of 8760"), (2022, 0, "1 times between hours")]
+    (row,) = made.select("grid_coverage_fraction", "x_mean_mean", "x_max_max", "x_min_p25").distinct().collect()
+    assert tuple(row) == (0.5, 11.5, 23.0, 0.0)
+    with pytest.raises(AttributeError):
+        U.years_one_by_one(spark, 2020, 2020, lambda year: None.nothing)
