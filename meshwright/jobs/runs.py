@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cube as C
+from ..operators import polygons as P
 from ..operators import quality as Q
 from ..operators import runs as R
 from ..operators import series
 from ..sources import files as X
 from ..sources import tables as T
+from .regions import regions
 from .registry import query
 
 START, END = 1995, 2002
@@ -93,6 +95,43 @@ def cube_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tile", F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"), "n")
 
 
+#: How a run of years is done, as its document states it.
+METHOD = {
+    "dataset": "lines by supplier", "variable": "x", "long_name": "hourly value of a cell", "requested_start_year": START, "requested_end_year": END,
+    "input_frequency": "hourly", "output_frequency": "daily", "timezone": "UTC", "input_units": "as given", "output_units": "as given",
+    "temporal_processing": {"x_min": "least of 24 hours", "x_max": "greatest of 24 hours", "x_mean": "mean of 24 hours"},
+    "time_validation": "the hours of a year are those of its calendar, 8760 or 8784",
+    "daily_missing_policy": "a day of a cell that lacks an hour is missing",
+    "boundary": "polygons about the customers of a nation", "country": "home",
+    "geometry_handling": "edges that cross are cut and what an odd number of rings surrounds is kept; regions without an area are skipped and counted",
+    "spatial_grid": "regular, a quarter of a degree", "spatial_weight": "area of the overlap of cell and region",
+    "area_method": "authalic heights on the ellipsoid", "statistics": ["mean", "max", "min", "p25", "p75", "valid_area_fraction"],
+    "quantile_method": "least value at which the running weight reaches the share", "grid_coverage_fraction": "area in cells over the area of the region",
+    "chunk_hours": 24, "input_directory": "lineitem", "combined_output": "year by year",
+}
+
+
+def as_sql(value: object) -> str:
+    if isinstance(value, dict):
+        return "{" + ", ".join(f"'{k}': {as_sql(v)}" for k, v in value.items()) + "}"
+    return "[" + ", ".join(map(as_sql, value)) + "]" if isinstance(value, list) else f"'{value}'" if isinstance(value, str) else str(value)
+
+
+@query(f"""WITH l AS ({LOG_SQL}), f AS (SELECT CAST(year(l_shipdate) AS INT) AS year, count(DISTINCT l_suppkey) AS n_files FROM lineitem GROUP BY 1),
+r AS (SELECT CASE WHEN n_nationkey = 24 THEN 'skipped' WHEN n_nationkey % 2 = 1 OR n_nationkey = 7 THEN 'repaired' ELSE 'valid' END AS status FROM nation WHERE n_nationkey <> 23)
+SELECT to_json({as_sql(METHOD)[:-1]}, 'region_count': (SELECT count(*) FROM r), 'processed_region_count': (SELECT count(*) FROM r WHERE status <> 'skipped'),
+  'repaired_region_count': (SELECT count(*) FROM r WHERE status = 'repaired'), 'skipped_region_count': (SELECT count(*) FROM r WHERE status = 'skipped'),
+  'number_of_input_files': (SELECT CAST(sum(n_files) AS BIGINT) FROM f), 'completed_years': (SELECT coalesce(list(year ORDER BY year) FILTER (WHERE error IS NULL), []) FROM l),
+  'failed_years': (SELECT coalesce(list({{'year': year, 'error': error}} ORDER BY year) FILTER (WHERE error IS NOT NULL), []) FROM l),
+  'source_files_by_year': (SELECT list({{'year': year, 'n_files': n_files}} ORDER BY year) FROM f), 'total_rows': (SELECT CAST(sum(rows) AS BIGINT) FROM l)}})::VARCHAR AS report""")
+def run_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Everything that is told about a run of years, its regions included."""
+    lines = T.read_table(spark, sf_dir, "lineitem")
+    files = lines.groupBy(F.year("l_shipdate").alias("year")).agg(F.countDistinct("l_suppkey").alias("n_files"))
+    _, told = P.assess(regions(spark, sf_dir).where("country = 'home'"))
+    return R.run_metadata(year_runs(spark, sf_dir)[1], files, told, METHOD)
+
+
 @query("""SELECT ts AS time, (user_id % 10) * 0.25::DOUBLE AS latitude, (user_id // 10) * 0.25::DOUBLE AS longitude, value AS x FROM events""")
 def normalised_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events under other names and with a dimension of one value."""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PythonException, SparkRuntimeException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.values import shortened
@@ -87,3 +87,27 @@ def run_document(log: DataFrame, files: DataFrame, **stated: object) -> DataFram
     both = years.crossJoin(F.broadcast(sources))
     told = [F.lit(v).alias(k) for k, v in stated.items()]
     return both.select(F.to_json(F.struct(*told, "completed_years", "failed_years", "source_files_by_year", "total_rows")).alias("report"))
+
+
+def literal(value: object) -> Column:
+    """A constant of any depth: dicts become structs, lists arrays."""
+    if isinstance(value, dict):
+        return F.struct(*[literal(v).alias(k) for k, v in value.items()])
+    return F.array(*map(literal, value)) if isinstance(value, list | tuple) else F.lit(value)
+
+
+def run_metadata(log: DataFrame, files: DataFrame, told: DataFrame, stated: dict) -> DataFrame:
+    """One row: a JSON document of how a run was done and what came of it. stated is what the run was asked for and by which methods; to it come the counts of regions by status
+    (told: city_id, status), the years that ended well or failed, the files of each year (year, n_files) and in all, and the rows. Lists have an entry per year."""
+    failed = F.col("error").isNotNull()
+    years = log.agg(
+        F.array_sort(F.collect_list(F.when(~failed, F.col("year")))).alias("completed_years"),
+        F.array_sort(F.collect_list(F.when(failed, F.struct("year", "error")))).alias("failed_years"),
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("total_rows"),
+    )
+    regions = told.agg(F.count("*").alias("region_count"), *[F.count_if(c).alias(n) for n, c in (("processed_region_count", F.col("status") != "skipped"), ("repaired_region_count", F.col("status") == "repaired"), ("skipped_region_count", F.col("status") == "skipped"))])
+    sources = files.agg(F.coalesce(F.sum("n_files"), F.lit(0)).alias("number_of_input_files"), F.array_sort(F.collect_list(F.struct("year", "n_files"))).alias("source_files_by_year"))
+    # three rows of one aggregate each
+    one = years.crossJoin(F.broadcast(regions)).crossJoin(F.broadcast(sources))
+    found = ["region_count", "processed_region_count", "repaired_region_count", "skipped_region_count", "number_of_input_files", "completed_years", "failed_years", "source_files_by_year", "total_rows"]
+    return one.select(F.to_json(F.struct(*[literal(v).alias(k) for k, v in stated.items()], *found)).alias("report"))

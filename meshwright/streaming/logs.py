@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +42,14 @@ def drained(stream: DataFrame, act: Callable[[DataFrame], DataFrame] | None = No
     write = lambda batch, k: shaped(batch).write.mode("overwrite").parquet(f"{out}/batch={k}")
     query = stream.writeStream.outputMode("append").option("checkpointLocation", f"{out}-checkpoint").trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
-    made = shaped(spark.createDataFrame([], stream.schema)).schema
-    return spark.read.schema(made).parquet(f"{out}/batch=*")
+    none = shaped(spark.createDataFrame([], stream.schema))
+    try:
+        return spark.read.schema(none.schema).parquet(f"{out}/batch=*")
+    except AnalysisException as error:
+        # no batch has run: the stream has had no rows yet
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return none
 
 
 def progress(stream: DataFrame, out: str) -> list[dict]:

@@ -60,3 +60,8 @@ def test_blocks_shorter_than_lines(tmp_path, monkeypatch):
     end = reader.latestOffset()
     assert list(end.values()) == [19]
     assert [r[2] for p in reader.partitions({}, end) for r in reader.read(p)] == ["a long line", "short", ""]
+
+
+def test_a_stream_without_rows_gives_none(spark, tmp_path):
+    (tmp_path / "none").mkdir()
+    assert drain(spark, tmp_path / "none", tmp_path / "out") == []
