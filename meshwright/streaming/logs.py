@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.running import ordinals
 from ..sources.tables import log_lines, shared_path
@@ -14,17 +15,22 @@ from ..sources.tables import log_lines, shared_path
 #: What makes a line an alert.
 ALERT = r"(?i)(^|\s)(ERROR|CRITICAL)(\s|:)|Traceback \(most recent call last\)|[A-Za-z]+Error:"
 
+#: Lines that are looked at together; around must not be larger.
+BLOCK_LINES = 4096
+
 
 def alerts(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("line").rlike(ALERT))
 
 
-def alerts_with_context(lines: DataFrame, around: int = 4, log: str = "day") -> DataFrame:
-    """Lines of each log that are within so many lines of an alert; is_alert marks the alerts. Lines are numbered by ranges, not log by log, so a long
-    log is no single task; the numbers near an alert are joined back."""
+def alerts_with_context(lines: DataFrame, around: int = 4, log: str = "day", block: int = BLOCK_LINES) -> DataFrame:
+    """Lines of each log that are within so many lines of an alert; is_alert marks the alerts. Lines are numbered by ranges, not log by log, and looked at in blocks of
+    numbers to which the lines next to them are lent, so a long log is no single task and nothing is joined back."""
     placed = ordinals(lines, [log, "n"], "_at").withColumn("is_alert", F.col("line").rlike(ALERT))
-    near = placed.where("is_alert").select(F.col(log).alias("_log"), F.explode(F.sequence(F.col("_at") - around, F.col("_at") + around)).alias("_near")).distinct()
-    return placed.join(near, (F.col("_at") == F.col("_near")) & F.col(log).eqNullSafe(F.col("_log")), "left_semi").drop("_at")
+    number = lambda shift: F.floor((F.col("_at") + shift) / block)
+    lent = placed.withColumn("_block", F.explode(F.array_distinct(F.array(*[number(k) for k in (-around, 0, around)]))))
+    window = Window.partitionBy(log, "_block").orderBy("_at").rangeBetween(-around, around)
+    return lent.withColumn("_near", F.max("is_alert").over(window)).where((F.col("_block") == number(0)) & F.col("_near")).drop("_at", "_block", "_near")
 
 
 def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -154,3 +154,11 @@ def test_a_year_run_tells_data_faults_and_raises_others(spark):
     assert tuple(row) == (0.5, 11.5, 23.0, 0.0)
     with pytest.raises(AttributeError):
         U.years_one_by_one(spark, 2020, 2020, lambda year: None.nothing)
+
+
+@pytest.mark.parametrize("block", [4, 5, 7, 4096])
+def test_context_reaches_over_blocks(spark, block):
+    rows = [(log, n, "ERROR: x" if n in (0, 7, 8, 30, 59) else "fine") for log in ("a", "b") for n in range(60 if log == "a" else 9)]
+    got = logs.alerts_with_context(spark.createDataFrame(rows, "log string, n int, line string"), 4, "log", block).collect()
+    want = [(log, n, line, line != "fine") for log, n, line in rows if any(x == log and abs(m - n) <= 4 and other != "fine" for x, m, other in rows)]
+    assert sorted(map(tuple, got)) == want
