@@ -184,7 +184,7 @@ INNER_SQL = """middle AS (SELECT city_id, (min(y1) + max(y1)) / 2 AS c FROM edge
 line AS (SELECT city_id, (max(y1) FILTER (WHERE y1 <= c) + min(y1) FILTER (WHERE y1 > c)) / 2 AS lat FROM edges JOIN middle USING (city_id) GROUP BY 1),
 met AS (SELECT city_id, lat, x1 + (lat - y1) / (y2 - y1) * (x2 - x1) AS x FROM edges JOIN line USING (city_id) WHERE least(y1, y2) <= lat AND greatest(y1, y2) > lat),
 chords AS (SELECT city_id, lat, x, lead(x) OVER w AS e, row_number() OVER w AS n FROM met WINDOW w AS (PARTITION BY city_id ORDER BY x)),
-inner_point AS (SELECT city_id, arg_max((x + e) / 2, e - x) AS lon, any_value(lat) AS lat FROM chords WHERE n % 2 = 1 GROUP BY 1)"""
+inner_point AS (SELECT city_id, (x + e) / 2 AS lon, lat FROM chords WHERE n % 2 = 1 AND e IS NOT NULL QUALIFY row_number() OVER (PARTITION BY city_id ORDER BY round(e - x, 9) DESC, x) = 1)"""
 
 
 @query(f"WITH {shape_sql(OPEN)}, {INNER_SQL} SELECT city_id, round(lon, 6) AS lon, round(lat, 6) AS lat FROM inner_point")

@@ -185,7 +185,9 @@ def inner_points(outlines: DataFrame, *keys: str) -> DataFrame:
     met = met.withColumn("x", F.col("x1") + (F.col("lat") - F.col("y1")) / (F.col("y2") - F.col("y1")) * (F.col("x2") - F.col("x1")))
     line = Window.partitionBy(*each).orderBy("x")
     chords = met.select(*each, "lat", "x", F.lead("x").over(line).alias("east"), F.row_number().over(line).alias("k")).where("k % 2 = 1 AND east IS NOT NULL")
-    widest = F.max(F.struct((F.col("east") - F.col("x")).alias("wide"), F.col("polygon"), ((F.col("east") + F.col("x")) / 2).alias("lon"), F.col("lat")))
+    # of chords that are as wide but for rounding, the western one
+    width = F.round(F.col("east") - F.col("x"), 9)
+    widest = F.min(F.struct((-width).alias("narrow"), "x", ((F.col("east") + F.col("x")) / 2).alias("lon"), "lat"))
     return chords.groupBy(*keys).agg(widest.alias("c")).select(*keys, "c.lon", "c.lat")
 
 
