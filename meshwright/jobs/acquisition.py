@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from ..operators import grid as G
 from ..operators import ledger as L
 from ..sources import files as X
 from ..sources import tables as T
+from ..streaming.logs import drained
+from ..streaming.tail import numbered_lines, tail
 from .catalog import LAG_DAYS, NOW, POINT_SQL, TILE_OF_SQL, TILE_SQL, YEARS_SQL, order_years, points
 from .registry import query
 
@@ -117,12 +121,34 @@ def file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHERE event_id > CASE user_id % 4 WHEN 1 THEN (SELECT max(event_id) // 2 FROM events) ELSE -1 END""")
 def log_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of four growing logs since the last look: half of number 1 was read before; number 2 has been cut since, so it is read from its start."""
-    events = T.read_table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("k"), "event_id", F.concat("event_type", F.lit(": "), F.col("event_id").cast("string"), F.lit("\n")).alias("line"))
-    half = events.agg(F.floor(F.max("event_id") / 2).alias("half"))
-    # logs are bounded sections of a run; each is a row here, as a file is
-    whole = events.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "line"))), lambda x: x["line"]), "").cast("binary").alias("content"))
-    logs = whole.select(F.concat(F.lit("run-"), F.col("k").cast("string")).alias("path"), "content")
-    read = events.where("k = 1").join(F.broadcast(half), F.col("event_id") <= F.col("half")).agg(F.coalesce(F.sum(F.octet_length("line")), F.lit(0)).alias("offset"))
-    offsets = read.select(F.lit("run-1").alias("path"), "offset").unionByName(spark.createDataFrame([("run-2", 1 << 40)], "path string, offset long"))
-    lines = X.section_lines(X.new_sections(logs, offsets))
-    return lines.select(F.col("path").alias("log"), F.col("n").cast("long").alias("n"), "line")
+    folder = T.shared_path(spark, "run-logs")
+    events = T.read_table(spark, sf_dir, "events").select((F.col("user_id") % 4).alias("log"), "event_id", F.concat("event_type", F.lit(": "), F.col("event_id").cast("string")).alias("line"))
+    events.repartition("log").sortWithinPartitions("log", "event_id").select("log", "line").write.partitionBy("log").text(folder)
+    half = F.broadcast(events.agg(F.floor(F.max("event_id") / 2).alias("half")))
+    (read,) = events.where("log = 1").join(half, F.col("event_id") <= F.col("half")).agg(F.coalesce(F.sum(F.octet_length("line") + 1), F.lit(0))).first()
+    # one path for each log
+    paths = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path").collect()]
+    before = {p: read if "/log=1/" in p else 1 << 40 for p in paths if re.search("/log=[12]/", p)}
+    lines = numbered_lines(drained(tail(spark, folder, r".*\.txt", offsets=before)))
+    return lines.select(F.concat(F.lit("run-"), F.regexp_extract("path", "/log=([^/]+)/", 1)).alias("log"), "n", "line")
+
+
+@query("""WITH f AS (SELECT CAST(year(l_shipdate) AS INT) AS year, count(*) AS n_times, count(DISTINCT CAST(l_shipdate AS DATE)) AS n_days FROM lineitem GROUP BY 1)
+SELECT year, n_times, n_days FROM f WHERE n_days = dayofyear(make_date(year, 12, 31)) ORDER BY year LIMIT 1""")
+def first_whole_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of the lines' years, as files, the first that has all its days: the one that a run takes as its reference."""
+    lines = T.read_table(spark, sf_dir, "lineitem").select(F.year("l_shipdate").alias("year"), F.col("l_shipdate").cast("date").alias("day"))
+    files = lines.groupBy("year", "day").agg(F.count("*").alias("n")).groupBy("year").agg(F.sum("n").alias("n_times"), F.count("day").alias("n_days"))
+    whole = files.withColumn("whole", F.col("n_days") == F.dayofyear(F.make_date("year", F.lit(12), F.lit(31))))
+    return X.first_valid(whole, "whole", "year").drop("whole")
+
+
+@query("""WITH a AS (SELECT l_orderkey AS task_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_shipdate, l_partkey, l_extendedprice) AS attempt, l_tax <= 0.01 AS ok FROM lineitem),
+w AS (SELECT task_id, min(attempt) FILTER (WHERE ok AND attempt <= 5) AS won, least(max(attempt), 5) AS tried FROM a GROUP BY 1),
+m AS (SELECT task_id, coalesce(won, tried) AS attempts, CASE WHEN won IS NOT NULL THEN 'completed' WHEN tried = 5 THEN 'failed' ELSE 'waiting' END AS outcome FROM w),
+n AS (SELECT *, attempts - CASE outcome WHEN 'waiting' THEN 0 ELSE 1 END AS waits FROM m)
+SELECT task_id, CAST(attempts AS INT) AS attempts, outcome, CAST(waits AS INT) AS waits, CAST(coalesce(list_sum(list_transform(range(waits), lambda k: least(60, 5 * 2 ** k))), 0) AS BIGINT) AS waited_seconds FROM n""")
+def retry_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tasks, lines as their attempts: how often each is tried and how long it waits in between."""
+    tries = X.numbered(T.read_table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_shipdate", "l_partkey", "l_extendedprice"], "attempt")
+    return L.retry_plan(tries.select(F.col("l_orderkey").alias("task_id"), "attempt", (F.col("l_tax") <= 0.01).alias("ok")), "task_id", most=5)

@@ -418,6 +418,12 @@ def candidate_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.candidates(order_tasks(spark, sf_dir), "o_orderkey", 1998)
 
 
+@query(f"SELECT o_orderkey, CAST(year(o_orderdate) AS INT) AS year, {STATE_SQL} AS status FROM orders WHERE o_orderstatus <> 'F' AND year(o_orderdate) <= 1998 ORDER BY 2, 1 LIMIT 100")
+def next_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hundred tasks that a run which is told to do no more would take up."""
+    return L.candidates(order_tasks(spark, sf_dir), "o_orderkey", 1998, limit=100)
+
+
 @query("SELECT o_orderkey, EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) AS wanted FROM orders")
 def grid_semi_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     wanted = T.read_table(spark, sf_dir, "lineitem").where("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
@@ -531,6 +537,27 @@ def profile_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.profile(T.read_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "props"))
 
 
+def inspection_sql(table: str, **kinds: str) -> str:
+    texts = {"number": "NULL::VARCHAR", "time": "strftime({0}(\"{1}\"), '%Y-%m-%d %H:%M:%S.%f')", "text": "{0}(\"{1}\")"}
+    numbers = lambda f, c, kind: f'{f}("{c}")::DOUBLE' if kind == "number" else "NULL::DOUBLE"
+    return " UNION ALL ".join(
+        f"""SELECT '{table}' AS "table", '{c}' AS "column", '{kind}' AS kind, count("{c}") AS n, count(*) - count("{c}") AS n_null, {numbers('min', c, kind)} AS least_number, {numbers('max', c, kind)} AS greatest_number,
+  round({numbers('avg', c, kind)}, 6) AS mean, {texts[kind].format('min', c)} AS least_text, {texts[kind].format('max', c)} AS greatest_text FROM {table}"""
+        for c, kind in kinds.items()
+    )
+
+
+EVENT_KINDS = dict(event_id="number", ts="time", user_id="number", event_type="text", value="number", props="text")
+LINE_KINDS = dict.fromkeys(("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"), "number") | dict(l_returnflag="text", l_linestatus="text", l_shipdate="time")
+
+
+@query(f"{inspection_sql('events', **EVENT_KINDS)} UNION ALL {inspection_sql('lineitem', **LINE_KINDS)}")
+def table_inspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each column of the events and of the lines holds."""
+    told = [S.inspect(T.read_table(spark, sf_dir, t).select(*kinds)).select(F.lit(t).alias("table"), "*") for t, kinds in (("events", EVENT_KINDS), ("lineitem", LINE_KINDS))]
+    return rounded(told[0].unionByName(told[1]), "mean")
+
+
 @query(city_daily_sql(0), dates=("date_utc",))
 def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The city-day output in order of day and city, as yearly CSV folders, combined into one and read back."""

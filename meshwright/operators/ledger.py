@@ -178,6 +178,18 @@ def backoff_seconds(attempt: Column) -> Column:
     return F.least(F.lit(60.0), 5 * F.pow(F.lit(2.0), attempt)).cast("long")
 
 
+def retry_plan(tries: DataFrame, key: str, most: int) -> DataFrame:
+    """key, attempts, outcome, waits, waited_seconds from the tries (key, attempt from 1, ok) of each task. A task is tried until it succeeds, at most so many times; it waits
+    after each failed attempt, but not after its last. Without a success, and with attempts left, it is waiting."""
+    won = F.min(F.when(F.col("ok") & (F.col("attempt") <= most), F.col("attempt")))
+    told = tries.groupBy(key).agg(won.alias("won"), F.least(F.max("attempt"), F.lit(most)).alias("tried"))
+    outcome = F.when(F.col("won").isNotNull(), "completed").when(F.col("tried") == most, "failed").otherwise("waiting")
+    made = told.select(key, F.coalesce("won", "tried").cast("int").alias("attempts"), outcome.alias("outcome"))
+    waits = F.col("attempts") - (F.col("outcome") != "waiting").cast("int")
+    seconds = F.aggregate(F.sequence(F.lit(0), F.lit(most - 1)), F.lit(0).cast("long"), lambda s, k: s + F.when(k < F.col("waits"), backoff_seconds(k)).otherwise(0))
+    return made.withColumn("waits", waits).withColumn("waited_seconds", seconds)
+
+
 def keep_first(parts: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row per key, the first in order: an aggregate, so nothing is sorted."""
     others = [c for c in parts.columns if c not in keys]

@@ -1,4 +1,4 @@
-"""Files as rows: discovery, inventory, archives with one member, the part of a growing file that is new."""
+"""Files as rows: discovery, inventory, archives with one member."""
 
 from __future__ import annotations
 
@@ -49,22 +49,6 @@ def single_members(archives: DataFrame, suffix: str = ".nc") -> DataFrame:
     return archives.select("path", "content").mapInPandas(extract, "path string, member string, content binary")
 
 
-def new_sections(files: DataFrame, offsets: DataFrame) -> DataFrame:
-    """path, section, offset: the bytes of each file (path, content) after its offset (path, offset), as text, and the offset to go on from. A file
-    that has become shorter is read from its start; one without news has no row."""
-    known = files.join(offsets.withColumnRenamed("offset", "was"), "path", "left")
-    size = F.octet_length("content").cast("long")
-    start = F.when(F.col("was") <= size, F.col("was")).otherwise(F.lit(0)).cast("int")
-    cut = known.select("path", F.expr("content"), start.alias("start"), size.alias("offset")).where("offset > start")
-    return cut.select("path", F.expr("decode(substring(content, start + 1), 'UTF-8')").alias("section"), "offset")
-
-
-def section_lines(sections: DataFrame) -> DataFrame:
-    """path, n (from 1), line of the sections' lines; a last line end makes no further line."""
-    body = F.regexp_replace("section", "\n$", "")
-    return sections.select("path", F.posexplode(F.split(body, "\n")).alias("n", "line")).withColumn("n", F.col("n") + 1)
-
-
 def years_of_files(rows: DataFrame, file: str, ts: str, start_year: int, end_year: int) -> DataFrame:
     """file, year: the years, within bounds, that a file has times of. Bounds are stated on the time itself, so that the scan can use them."""
     low, high = (F.lit(f"{y:04d}-01-01").cast("timestamp_ntz") for y in (start_year, end_year + 1))

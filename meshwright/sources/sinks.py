@@ -47,6 +47,20 @@ def profile(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*packed).alias("all")).select(F.explode("all").alias("p")).select("p.*")
 
 
+def inspect(df: DataFrame) -> DataFrame:
+    """column, kind (number, time, text, other), n, n_null, least and greatest as number or as text, mean of every column: one pass with partial sums, nothing is dealt out."""
+
+    def told(name: str, dtype: str) -> Column:
+        c = F.col(f"`{name}`")
+        kind = "number" if dtype.startswith("decimal") or dtype in ("tinyint", "smallint", "int", "bigint", "float", "double") else "time" if dtype in ("date", "timestamp", "timestamp_ntz") else "text" if dtype == "string" else "other"
+        number = c.cast("double") if kind == "number" else F.lit(None).cast("double")
+        text = F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") if kind == "time" else c if kind == "text" else F.lit(None).cast("string")
+        parts = {"column": F.lit(name), "kind": F.lit(kind), "n": F.count(c), "n_null": F.count_if(c.isNull()), "least_number": F.min(number), "greatest_number": F.max(number), "mean": F.avg(number), "least_text": F.min(text), "greatest_text": F.max(text)}
+        return F.struct(*[v.alias(k) for k, v in parts.items()])
+
+    return df.agg(F.array(*[told(*x) for x in df.dtypes]).alias("all")).select(F.explode("all").alias("p")).select("p.*")
+
+
 def json_report(df: DataFrame, **counts) -> DataFrame:
     """One row: a JSON document of aggregates."""
     return df.agg(F.to_json(F.struct(*[c.alias(n) for n, c in counts.items()])).alias("report"))

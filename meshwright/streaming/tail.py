@@ -7,13 +7,18 @@ query's checkpoint, so a restarted query goes on where it was.
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from ..operators.running import ordinals
+from ..sources.tables import small
+
 SCHEMA = "path string, at long, line string"
 #: Bytes that one task reads, and that are looked at in one go for the last line's end.
 RANGE_BYTES, BLOCK_BYTES = 64 << 20, 1 << 16
@@ -42,7 +47,9 @@ def last_line_end(file, size: int, low: int) -> int:
 class TailReader(DataSourceStreamReader):
     def __init__(self, options: dict) -> None:
         self.options = options
-        self.known: dict[str, int] = {}
+        # where to begin without a checkpoint: keys are paths as the file system gives them
+        self.first: dict[str, int] = json.loads(options.get("offsets", "{}"))
+        self.known = dict(self.first)
 
     def store(self) -> tuple[pa.fs.FileSystem, str]:
         import pyarrow.fs as fs
@@ -50,7 +57,7 @@ class TailReader(DataSourceStreamReader):
         return fs.FileSystem.from_uri(self.options["path"])
 
     def initialOffset(self) -> dict:
-        return {}
+        return self.first
 
     def latestOffset(self) -> dict:
         import pyarrow.fs as fs
@@ -100,7 +107,7 @@ class TailReader(DataSourceStreamReader):
 
 
 class Tail(DataSource):
-    """spark.readStream.format("tail") with path (a folder's URI) and, if wished, pattern and rangeBytes."""
+    """spark.readStream.format("tail") with path (a folder's URI) and, if wished, pattern, rangeBytes and offsets (JSON)."""
 
     @classmethod
     def name(cls) -> str:
@@ -113,7 +120,23 @@ class Tail(DataSource):
         return TailReader({k.lower(): v for k, v in self.options.items()})
 
 
-def tail(spark: SparkSession, folder: str, pattern: str = r".*\.log", range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """path, at (the byte at which it begins) and line of the whole lines that files below a folder gain."""
+def tail(spark: SparkSession, folder: str, pattern: str = r".*\.log", range_bytes: int = RANGE_BYTES, offsets: dict[str, int] | None = None) -> DataFrame:
+    """path, at (the byte at which it begins) and line of the whole lines that files below a folder gain. offsets say by file (URI or path) where a query
+    that has no checkpoint yet begins: after a whole line; files that are not named are read from their start."""
     spark.dataSource.register(Tail)
-    return spark.readStream.format("tail").option("path", folder).option("pattern", pattern).option("rangeBytes", range_bytes).load()
+    first = {plain(path): n for path, n in (offsets or {}).items()}
+    return spark.readStream.format("tail").option("path", folder).option("pattern", pattern).option("rangeBytes", range_bytes).option("offsets", json.dumps(first)).load()
+
+
+def plain(path: str) -> str:
+    """A file's path as its file system gives it."""
+    import pyarrow.fs as fs
+
+    return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", path))[1]
+
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """lines (path, at, line) with n, their numbers within the file from 1. They are numbered by ranges of path and place, so a long file is no single task."""
+    placed = ordinals(lines, ["path", "at"], "_n")
+    first = placed.groupBy("path").agg(F.min("_n").alias("_first"))
+    return placed.join(small(first), "path").withColumn("n", F.col("_n") - F.col("_first") + 1).drop("_n", "_first")

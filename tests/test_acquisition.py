@@ -44,12 +44,23 @@ def test_discovery_and_inventory(spark, tmp_path):
     assert (told.n_times, told.first_ts, told.last_ts) == (3, dt.datetime(2000, 1, 3), dt.datetime(2002, 1, 1)) and told.length > 0
 
 
-def test_sections_of_growing_and_cut_files(spark):
-    files = spark.createDataFrame([("a", b"one\ntwo\n"), ("b", b"new\n"), ("c", b"same"), ("d", b"first\nline")], "path string, content binary")
-    offsets = spark.createDataFrame([("a", 4), ("b", 99), ("c", 4)], "path string, offset long")
-    sections = X.new_sections(files, offsets)
-    assert sorted(tuple(r) for r in sections.collect()) == [("a", "two\n", 8), ("b", "new\n", 4), ("d", "first\nline", 10)]
-    assert sorted(tuple(r) for r in X.section_lines(sections).collect()) == [("a", 1, "two"), ("b", 1, "new"), ("d", 1, "first"), ("d", 2, "line")]
+def test_retries_wait_but_not_after_the_last_attempt(spark):
+    tries = [("won", 1, False), ("won", 2, False), ("won", 3, True), ("won", 4, True), ("lost", 1, False), ("lost", 2, False), ("lost", 3, False), ("lost", 4, True), ("open", 1, False), ("open", 2, None), ("first", 1, True)]
+    got = {r.k: tuple(r)[1:] for r in L.retry_plan(spark.createDataFrame(tries, "k string, attempt int, ok boolean"), "k", most=3).collect()}
+    assert got == {"won": (3, "completed", 2, 15), "lost": (3, "failed", 2, 15), "open": (2, "waiting", 2, 15), "first": (1, "completed", 0, 0)}
+
+
+def test_inspection_of_all_kinds(spark):
+    df = spark.createDataFrame([(1, "b", None, True), (3, None, dt.datetime(2000, 1, 2, 3), None), (None, "a", dt.datetime(1999, 1, 1), False)], "`x.y` int, t string, at timestamp_ntz, flag boolean")
+    got = {r.column: tuple(r)[1:] for r in S.inspect(df).collect()}
+    assert got["x.y"] == ("number", 2, 1, 1.0, 3.0, 2.0, None, None) and got["t"] == ("text", 2, 1, None, None, None, "a", "b")
+    assert got["at"] == ("time", 2, 1, None, None, None, "1999-01-01 00:00:00.000000", "2000-01-02 03:00:00.000000") and got["flag"] == ("other", 2, 1, None, None, None, None, None)
+    assert all(r.n == 0 and r.mean is None for r in S.inspect(df.limit(0)).collect())
+
+
+def test_the_first_valid_file(spark):
+    files = spark.createDataFrame([(3, True), (2, True), (1, False), (0, None)], "year int, ok boolean")
+    assert [r.year for r in X.first_valid(files, "ok", "year").collect()] == [2] and X.first_valid(files.where("NOT ok"), "ok", "year").isEmpty()
 
 
 def test_running_totals_over_ranges(spark):

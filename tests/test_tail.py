@@ -46,6 +46,21 @@ def test_ranges_give_each_line_once_and_read_only_news(tmp_path, step):
     assert [line for _, _, line in got] == lines and [at for _, at, _ in got] == [9 + len("\n".join(lines[:k] + [""]).encode()) for k in range(len(lines))]
 
 
+def test_begins_where_it_is_told_and_numbers_lines(spark, tmp_path):
+    folder = tmp_path / "logs"
+    folder.mkdir()
+    (folder / "a.log").write_text("one\ntwo\nthree\n")
+    (folder / "b.log").write_text("x\n")
+    (folder / "c.log").write_text("y\nz\n")
+    begun = T.tail(spark, f"file://{folder}", range_bytes=3, offsets={f"file:{folder}/a.log": 4, f"{folder}/b.log": 1 << 40, f"{folder}/c.log": 4})
+    lines = T.numbered_lines(logs.drained(begun, out=f"file://{tmp_path}/out"))
+    assert sorted((r.path.rsplit("/")[-1], r.n, r.line) for r in lines.collect()) == [("a.log", 1, "two"), ("a.log", 2, "three"), ("b.log", 1, "x")]
+    (folder / "c.log").write_text("y\nz\nw\n")
+    # the checkpoint, not the stated places, says where to go on
+    more = T.tail(spark, f"file://{folder}", range_bytes=3, offsets={f"{folder}/a.log": 4})
+    assert sorted(r.line for r in logs.drained(more, out=f"file://{tmp_path}/out").collect()) == ["three", "two", "w", "x"]
+
+
 def test_no_files_and_no_whole_line(spark, tmp_path):
     reader = T.TailReader({"path": f"file://{tmp_path}"})
     assert reader.latestOffset() == {} and list(reader.read(reader.partitions({}, {})[0])) == []
