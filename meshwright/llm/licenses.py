@@ -1,14 +1,13 @@
 """Licence scans by a trained paragraph classifier, in DataFrame functions and Spark's own estimators only.
 
 A text's paragraphs are its lines, where lines of at most WRAPPED characters that follow each other are one: hard-wrapped notices
-are read whole, with or without comment marks. Two trained classifiers judge them. Logistic regression over hashed words scores every
-paragraph, and those that score below all but a share MAY_MISS of the paragraphs with a licence that it was trained or tried on state
-none (on the small check input 3 in 100 go on). The words and word pairs of the others are hashed into a sparse vector, and multinomial logistic regression gives the probabilities of no
+are read whole, with or without comment marks, whatever their line ends. The words and word pairs of every paragraph are hashed into a sparse vector, and multinomial logistic regression gives the probabilities of no
 licence, a licence of unknown family, or one of the families below. The classifier is trained in the job: on the notices, alone and set into at most MOST_SAMPLES paragraphs
 drawn from the corpus, and on drawn paragraphs alone; further wordings of the families, which are no templates, are kept back with
 a part of these rows to fit the temperature that calibrates the probabilities. A family that gets less than LEAST_PROBABILITY, or
 whose notices share too few word pairs with the paragraph, becomes unknown: the comparison with the templates has to confirm a
-prediction, with the words and the version that set a family apart from its siblings.
+prediction, with the words and the version that set a family apart from its siblings. The two BSD licences share most of their text: where a document
+has the clause on binary forms, its licence is the one of three clauses only if a paragraph says what the other does not.
 
 Defined cases: a null or empty text has no licence; of several licences in a text the most probable one is given, ties by name;
 repeated rows are each scanned; a null identity is kept; a very long line is one paragraph; extra columns are dropped; an empty table
@@ -17,9 +16,8 @@ gives no rows.
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, HashingTF, NGram
+from pyspark.ml.feature import HashingTF, NGram
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,6 +29,7 @@ NOTICES = {
     "agpl-3.0": (
         "This work is licensed under the GNU Affero General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "under the GNU Affero General Public License version 3",
     ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -66,10 +65,16 @@ NOTICES = {
     "gpl-2.0": (
         "This work is licensed under the GNU General Public License, version 2.",
         "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+        "under the GNU General Public License version 2",
+        "Licensed under the GPLv2.",
+        "Licensed under the GPL v2.",
     ),
     "gpl-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "under the GNU General Public License version 3",
+        "Licensed under the GPLv3.",
+        "Licensed under the GPL v3.",
     ),
     "isc": (
         "Released under the ISC License.",
@@ -78,6 +83,7 @@ NOTICES = {
     "lgpl-3.0": (
         "This work is licensed under the GNU Lesser General Public License, version 3.",
         "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+        "under the GNU Lesser General Public License version 3",
     ),
     "mit": (
         "Released under the MIT License.",
@@ -95,8 +101,21 @@ NOTICES = {
         "This software is proprietary and may be used under a commercial license only.",
         "Released under a custom license; see the file LICENSE for its terms.",
         "You may copy and share this work under the conditions of its license.",
+        "Licensed under CC BY 3.0.",
+        "Licensed under CC BY-ND 4.0.",
+        "Licensed under CC BY-NC-SA 4.0.",
+        "This program is made available under the terms of the Eclipse Public License 2.0.",
+        "This is free and unencumbered software released into the public domain.",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "Licensed under the Apache License, Version 1.1.",
+        "Licensed under the Artistic License 2.0.",
+        "SPDX-License-Identifier: EPL-2.0",
+        "SPDX-License-Identifier: Unlicense",
     ),
 }
+#: A line that names a family by its identifier is a notice too.
+for _family in sorted(set(NOTICES) - {"unknown"}):
+    NOTICES[_family] += (f"SPDX-License-Identifier: {_family}",)
 #: Other wordings of the families, which the classifier is not trained on and nothing is compared with. They fit the temperature.
 FURTHER = {
     "agpl-3.0": "Available under the GNU Affero General Public License version 3 or later.",
@@ -124,12 +143,10 @@ WRAPPED = 100
 MOST_SAMPLES = 4000
 EVERY = 4
 DIMENSIONS = 1 << 15
-#: Buckets of the words that the first classifier weighs, and the share of known paragraphs with a licence that may score too low to go on: long
-#: prose with a short notice of a wording that it was not trained on.
-BUCKETS, MAY_MISS = 1 << 13, 0.003
 LEAST_PROBABILITY = 0.5
-#: A paragraph without a confirmed family states an unknown licence only if it has one of these words.
+#: A paragraph with one of these words states an unknown licence if no licence is improbable; one without must be SURE_UNKNOWN.
 TOPIC = ("copyright", "licence", "licenced", "licences", "license", "licensed", "licenses", "licensing", "proprietary", "rights")
+SURE_UNKNOWN = 0.9
 #: A paragraph states a licence if no licence is less probable than this.
 MOST_NONE = 0.05
 #: Share of a notice's word pairs that a paragraph must hold to confirm it.
@@ -138,9 +155,11 @@ LEAST_SHARED = 0.75
 DISTINCT = frozenset(
     (
         "affero general", "gnu affero", "gnu lesser", "lesser general", "gnu general", "version 2", "version 3", "apache license", "2 0", "v 2", "mozilla public", "4 0", "by 4", "by nc", "nc 4", "by sa", "sa 4",
-        "attribution 4", "attribution noncommercial", "noncommercial 4", "attribution sharealike", "sharealike 4", "cc0 1", "bsd 2", "bsd 3", "2 clause", "3 clause", "mit license", "isc license",
+        "attribution 4", "attribution noncommercial", "noncommercial 4", "attribution sharealike", "sharealike 4", "cc0 1", "bsd 2", "bsd 3", "2 clause", "3 clause", "mit license", "isc license", "the gplv2", "the gplv3", "gpl v2", "gpl v3",
     )
 )
+#: Word pairs of the clause that both BSD licences have after the one they begin with, and of the one that only the longer has.
+BINARY_CLAUSE, ENDORSE_CLAUSE = ("in binary", "binary form", "must reproduce"), ("neither the", "to endorse", "or promote", "promote products")
 TEMPERATURES = (0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0)
 
 
@@ -157,7 +176,7 @@ def notice_pairs(notice: str) -> list[str]:
 
 def paragraphs(text: Column) -> Column:
     """The text's paragraphs: short lines that follow each other joined, comment marks at their starts left out."""
-    plain = F.regexp_replace(text, r"(?md)^[ \t]*(?:(?:#+|//+|/?\*+/?|;+|--+|>+)[ \t]?)?[ \t]*$|^[ \t]*(?:#+|//+|/?\*+/?|;+|--+|>+)[ \t]?", "")
+    plain = F.regexp_replace(F.replace(text, F.lit("\r\n"), F.lit("\n")), r"(?md)^[ \t]*(?:(?:#+|//+|/?\*+/?|;+|--+|>+)[ \t]?)?[ \t]*$|^[ \t]*(?:#+|//+|/?\*+/?|;+|--+|>+)[ \t]?", "")
     joined = F.regexp_replace(plain, rf"(?md)^([^\n]{{1,{WRAPPED}}})\n(?=[^\n]{{1,{WRAPPED}}}$)", "$1 ")
     return F.filter(F.split(joined, "\n"), lambda p: F.length(F.trim(p)) > 0)
 
@@ -172,22 +191,10 @@ def vectors(grams: DataFrame) -> DataFrame:
     return HashingTF(numFeatures=DIMENSIONS, binary=True, inputCol="grams", outputCol="features").transform(grams)
 
 
-def word_buckets(text: Column) -> Column:
-    """The distinct buckets of a paragraph's words."""
-    return F.array_distinct(F.transform(words(text), lambda w: F.pmod(F.hash(w), F.lit(BUCKETS))))
-
-
-def train_gate(rows: DataFrame) -> tuple[list[float], float]:
-    """A weight for each bucket of words, and the least sum with which a paragraph goes on. rows has paragraph, label, kept_back."""
-    told = rows.select(F.transform(word_buckets(F.col("paragraph")), lambda b: b.cast("string")).alias("buckets"), (F.col("label") > 0).cast("double").alias("stated"), "kept_back")
-    counter = CountVectorizer(inputCol="buckets", outputCol="features", vocabSize=BUCKETS, binary=True).fit(told)
-    vectorised = counter.transform(told)
-    model = LogisticRegression(maxIter=40, regParam=1e-3, featuresCol="features", labelCol="stated").fit(vectorised.where(~F.col("kept_back")))
-    scored = model.transform(vectorised.where("stated = 1")).agg(F.percentile(vector_to_array("rawPrediction")[1], F.lit(MAY_MISS))).first()[0]
-    weights = [0.0] * BUCKETS
-    for bucket, w in zip(counter.vocabulary, model.coefficients.toArray().tolist()):
-        weights[int(bucket)] = w
-    return weights, scored - model.intercept
+def telling(notice: str) -> list[str]:
+    """The pairs of a notice that a paragraph must hold: those that are DISTINCT, or all of an identifier's line."""
+    own = notice_pairs(notice)
+    return own if "license identifier" in own else sorted(DISTINCT.intersection(own))
 
 
 def shared_with(family: str, pairs: Column, distinct: bool = False) -> Column:
@@ -196,7 +203,7 @@ def shared_with(family: str, pairs: Column, distinct: bool = False) -> Column:
     for notice in NOTICES[family]:
         own = notice_pairs(notice)
         share = F.size(F.array_intersect(pairs, F.array(*map(F.lit, own)))) / float(len(own))
-        for pair in sorted(DISTINCT.intersection(own)) if distinct else ():
+        for pair in telling(notice) if distinct else ():
             share = F.when(F.array_contains(pairs, pair), share).otherwise(0.0)
         shares.append(share)
     return F.greatest(*shares) if len(shares) > 1 else shares[0]
@@ -235,27 +242,24 @@ def softmax(raw: Column, temperature: float) -> Column:
     return F.transform(scaled, lambda x: x / total)
 
 
-def train(docs: DataFrame, text: str = "text") -> tuple[LogisticRegressionModel, float, list[float], float]:
-    """The classifier, the temperature that fits its probabilities to rows it was not trained on, and the first classifier's weights and least sum."""
+def train(docs: DataFrame, text: str = "text") -> tuple[LogisticRegressionModel, float]:
+    """The classifier, and the temperature that fits its probabilities to rows it was not trained on."""
     stated = write_table(training_rows(docs, text), "licence-paragraphs").repartition(4)
-    gate = train_gate(stated)
     rows = write_table(vectors(with_grams(stated)).select("features", "label", "kept_back"), "licence-training")
     fit = rows.where(~F.col("kept_back"))
     model = LogisticRegression(family="multinomial", maxIter=60, regParam=3e-5, featuresCol="features", labelCol="label").fit(fit)
     scored = model.transform(rows.where("kept_back")).select(vector_to_array("rawPrediction").alias("raw"), "label")
     losses = scored.agg(*[F.avg(-F.ln(F.greatest(F.element_at(softmax(F.col("raw"), t), F.col("label").cast("int") + 1), F.lit(1e-12)))).alias(str(i)) for i, t in enumerate(TEMPERATURES)]).first()
     best = min(range(len(TEMPERATURES)), key=lambda i: (losses[i] if losses[i] is not None else 0.0, i))
-    return model, TEMPERATURES[best], *gate
+    return model, TEMPERATURES[best]
 
 
-def scan(docs: DataFrame, identity: str = "doc_id", text: str = "text", trained: tuple[LogisticRegressionModel, float, list[float], float] | None = None) -> DataFrame:
+def scan(docs: DataFrame, identity: str = "doc_id", text: str = "text", trained: tuple[LogisticRegressionModel, float] | None = None) -> DataFrame:
     """identity, license (a family, unknown or none), probability, confirmed, paragraphs (that state a licence) of each row."""
-    model, temperature, weights, least = trained or train(docs, text)
+    model, temperature = trained or train(docs, text)
     names = F.array(*map(F.lit, CLASSES))
     numbered = docs.select(F.col(identity).alias("id"), text_or_empty(text).alias("text"), F.monotonically_increasing_id().alias("row"))
-    weighed = lambda p: F.aggregate(word_buckets(p), F.lit(0.0), lambda a, b: a + F.get(F.lit(np.array(weights)), b))
-    worth = F.filter(paragraphs(F.col("text")), lambda p: weighed(p) >= least)
-    lines = numbered.select("id", "row", F.explode_outer(worth).alias("paragraph")).withColumn("paragraph", F.coalesce("paragraph", F.lit("")))
+    lines = numbered.select("id", "row", F.explode_outer(paragraphs(F.col("text"))).alias("paragraph")).withColumn("paragraph", F.coalesce("paragraph", F.lit("")))
     raw = model.transform(vectors(with_grams(lines))).select("id", "row", "pairs", "grams", vector_to_array("rawPrediction").alias("raw"))
     guess = F.array_position(F.col("raw"), F.array_max("raw")).cast("int")
     scored = raw.select("id", "row", "pairs", "grams", softmax(F.col("raw"), temperature).alias("p"), guess.alias("guess"))
@@ -263,9 +267,11 @@ def scan(docs: DataFrame, identity: str = "doc_id", text: str = "text", trained:
     shared = F.lit(0.0)
     for f in sorted(NOTICES):
         shared = F.when(family == f, shared_with(f, F.col("pairs"), distinct=True)).otherwise(shared)
-    judged = scored.select("id", "row", family.alias("family"), F.element_at("p", F.col("guess")).alias("probability"), shared.alias("shared"), ((F.element_at("p", 1) >= MOST_NONE) | ~F.arrays_overlap("grams", F.array(*map(F.lit, TOPIC)))).alias("nothing"))
+    unlikely = ~F.arrays_overlap("grams", F.array(*map(F.lit, TOPIC))) & (F.element_at("p", CLASSES.index(UNKNOWN) + 1) < SURE_UNKNOWN)
+    holds = lambda pairs: F.forall(F.array(*map(F.lit, pairs)), lambda x: F.array_contains("pairs", x))
+    judged = scored.select("id", "row", family.alias("family"), F.element_at("p", F.col("guess")).alias("probability"), shared.alias("shared"), ((F.element_at("p", 1) >= MOST_NONE) | unlikely).alias("nothing"), holds(BINARY_CLAUSE).alias("binary"), (holds(ENDORSE_CLAUSE) | F.array_contains("pairs", "3 clause")).alias("third"))
     sure = (F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST_PROBABILITY) & (F.col("shared") >= LEAST_SHARED)
-    stated = judged.select("id", "row", F.when((F.col("family") == NONE) | F.col("nothing") & ~sure, None).when(sure, F.col("family")).otherwise(UNKNOWN).alias("license"), F.round("probability", 3).alias("probability"), sure.alias("confirmed"))
+    stated = judged.select("id", "row", F.when((F.col("family") == NONE) | F.col("nothing") & ~sure, None).when(sure, F.col("family")).otherwise(UNKNOWN).alias("license"), F.round("probability", 3).alias("probability"), sure.alias("confirmed"), "binary", "third")
     # the most probable family that is confirmed, else unknown
     rank = F.when(F.col("license").isNotNull(), F.col("confirmed").cast("int") * 2 + F.col("probability"))
     named = stated.withColumn("rank", rank)
@@ -275,8 +281,10 @@ def scan(docs: DataFrame, identity: str = "doc_id", text: str = "text", trained:
         F.coalesce(F.max_by(F.when(F.col("rank").isNotNull(), F.col("probability")), F.struct("rank", "license")), F.lit(1.0)).alias("probability"),
         F.coalesce(F.bool_or(F.when(F.col("rank").isNotNull(), F.col("confirmed"))), F.lit(False)).alias("confirmed"),
         F.count("license").alias("paragraphs"),
+        (F.bool_or("binary") & ~F.bool_or("third")).alias("two"),
     )
-    return best.drop("row")
+    license = F.when((F.col("license") == "bsd-3-clause") & F.col("two"), "bsd-2-clause").otherwise(F.col("license"))
+    return best.withColumn("license", license).drop("row", "two")
 
 
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -51,7 +51,7 @@ def test_wrapped_notices_are_read_whole(spark, trained):
 
 def test_paragraphs(spark):
     long = "x" * 150
-    cases = {"a\nb\n\nc": ["a b", "c"], f"a\n{long}\nb\nc": ["a", long, "b c"], "# a\n#\n# b": ["a", "b"], "": [], " \n\t\n": [], "one": ["one"]}
+    cases = {"a\nb\n\nc": ["a b", "c"], f"a\n{long}\nb\nc": ["a", long, "b c"], "# a\n#\n# b": ["a", "b"], "": [], " \n\t\n": [], "one": ["one"], "a\r\nb\r\n\r\nc": ["a b", "c"]}
     df = spark.createDataFrame([(k,) for k in cases], "t string")
     from pyspark.sql import functions as F
 
@@ -96,3 +96,50 @@ def test_siblings_and_other_versions_are_told_apart(spark, trained):
     own = L.with_grams(spark.createDataFrame(notices, "family string, paragraph string"))
     for f in sorted(L.NOTICES):
         assert all(r[0] == 1.0 for r in own.where(own.family == f).select(L.shared_with(f, own.pairs, distinct=True)).collect())
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+THIRD = """
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software without
+   specific prior written permission.
+"""
+
+
+def test_identifiers_versions_line_ends_and_other_licences(spark, trained):
+    """Wordings that are in no list of the module."""
+    mit = L.NOTICES["mit"][3].replace(", subject", ",\r\nsubject").replace(", and to permit", ",\r\nand to permit")
+    texts = {
+        "# SPDX-License-Identifier: MIT": "mit",
+        "// SPDX-License-Identifier: Apache-2.0\n\npackage main": "apache-2.0",
+        "SPDX-License-Identifier: GPL-3.0-or-later": "gpl-3.0",
+        "SPDX-License-Identifier: LGPL-3.0-only": "lgpl-3.0",
+        "SPDX-License-Identifier: BSD-2-Clause": "bsd-2-clause",
+        "You can use this library under the GNU General Public License, version 3 or later.": "gpl-3.0",
+        "Everything here is licensed under the GPLv3.": "gpl-3.0",
+        mit: "mit",
+        BSD: "bsd-2-clause",
+        BSD + THIRD: "bsd-3-clause",
+        BSD.replace("\n", "\r\n"): "bsd-2-clause",
+        "The photographs are licensed under CC BY 3.0 by their authors.": "unknown",
+        "Made available under the Eclipse Public License 2.0, which accompanies this distribution.": "unknown",
+        "This is free and unencumbered software released into the public domain by its author.": "unknown",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {list(texts)[r.doc_id]: r.license for r in L.scan(docs, trained=trained).collect()}
+    assert {t: g for t, g in got.items() if g != texts[t]} == {}
+
+
+def test_a_very_long_line_and_a_very_long_text(spark, trained):
+    words = "the river turned and the houses stood by the water " * 20_000
+    docs = spark.createDataFrame([(1, words + "Released under the ISC License. " + words), (2, (words[:400] + "\n\n") * 2_000 + "Licensed under CC BY-SA 4.0.\n")], "doc_id long, text string")
+    assert {r.doc_id: r.license for r in L.scan(docs, trained=trained).collect()}[2] == "cc-by-sa-4.0"
