@@ -34,10 +34,13 @@ END_ID = 0
 BLOCK_BYTES = 8 << 20
 #: Pieces of one length that are ranked together.
 RANKED = 200_000
-#: Patterns that enter the least-squares fit at most, its rounds, and the prices of a sequence that are tried.
+#: Patterns that enter a least-squares fit at most, and the prices of a sequence that are tried.
 MOST_PATTERNS = 16_384
-ROUNDS = 200
 PRICES = (0.0, 0.02, 0.1, 0.4)
+#: Prices at which new patterns are sought, one fit each. Fits have as many updates as their size allows, within
+#: bounds: for new patterns, and for the repeats that are taken.
+COLUMN_PRICES = (0.4, 0.4, 0.4, 0.2, 0.2, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05)
+COLUMN_ROUNDS, LAST_ROUNDS = (6_000_000, 50, 200), (24_000_000, 200, 1000)
 
 
 def encode_units(strings: list[str], vocabulary: str) -> list[list[int]]:
@@ -134,7 +137,7 @@ def enumerate_patterns(lengths: np.ndarray, counts: np.ndarray, max_tokens: int,
     return list(found)[:most]
 
 
-def fit_repeats(patterns: list[tuple[int, ...]], counts: np.ndarray, price: float = 0.0, rounds: int = ROUNDS) -> np.ndarray:
+def fit_repeats(patterns: list[tuple[int, ...]], counts: np.ndarray, price: float = 0.0, rounds: tuple[int, int, int] = LAST_ROUNDS) -> np.ndarray:
     """Non-negative least squares of pattern repeats to the histogram, each bin's error in proportion to its count, with a price for every sequence that
     decides between fits that are alike. Multiplicative updates keep repeats non-negative."""
     rows = np.array([v for p in patterns for v in p], np.int64)
@@ -143,7 +146,8 @@ def fit_repeats(patterns: list[tuple[int, ...]], counts: np.ndarray, price: floa
     share = 1 / np.maximum(counts, 1)
     uses = np.bincount(rows, minlength=len(counts))
     x = np.bincount(columns, counts[rows] / uses[rows], len(patterns)) / sizes
-    for _ in range(rounds):
+    entries, fewest, most = rounds
+    for _ in range(min(max(entries // len(rows), fewest), most)):
         made = np.bincount(rows, x[columns], len(counts)) * share
         x *= sizes / np.maximum(np.bincount(columns, made[rows], len(patterns)) + price, 1e-12)
     return x
@@ -162,6 +166,44 @@ def fitted_groups(left: np.ndarray, patterns: list[tuple[int, ...]], repeats: np
     return groups + best_fit(left, max_tokens)
 
 
+def best_fillings(values: np.ndarray, lengths: np.ndarray, max_tokens: int) -> list[tuple[float, tuple[int, ...]]]:
+    """For each length the multiset with it that fits and is worth most, of any number of lengths, with its worth: a knapsack over all sizes. values are those of the lengths."""
+    best, last = np.zeros(max_tokens + 1), np.zeros(max_tokens + 1, np.int64)
+    for size in range(1, max_tokens + 1):
+        fits = lengths <= size
+        worth = np.where(fits, best[np.maximum(size - lengths, 0)] + values, 0.0)
+        k = int(worth.argmax())
+        best[size], last[size] = (worth[k], lengths[k]) if worth[k] > best[size - 1] else (best[size - 1], 0)
+    found = []
+    for v, value in zip(lengths.tolist(), values.tolist()):
+        parts, room = [v], max_tokens - v
+        worth = value + float(best[room])
+        while room > 0:
+            if last[room]:
+                parts.append(int(last[room]))
+                room -= int(last[room])
+            else:
+                room -= 1
+        found.append((worth, tuple(sorted(parts, reverse=True))))
+    return found
+
+
+def priced_patterns(left: np.ndarray, lengths: np.ndarray, patterns: list[tuple[int, ...]], max_tokens: int) -> list[tuple[int, ...]]:
+    """The patterns and those that the fit asks for: what a fit lacks of a length, in units of the price of a sequence, is what one more of it is worth, and every pattern that is
+    worth more than a sequence costs takes part in the next fit. Patterns that no fit uses make room."""
+    known = dict.fromkeys(patterns)
+    for price in COLUMN_PRICES:
+        held = list(known)
+        x = fit_repeats(held, left, price, COLUMN_ROUNDS)
+        made = np.bincount([v for p in held for v in p], np.repeat(x, [len(p) for p in held]), len(left))
+        values = np.maximum(1 - made[lengths] / left[lengths], 0) / price
+        new = [p for worth, p in best_fillings(values, lengths, max_tokens) if worth > 1 + 1e-3 and p not in known]
+        if len(known) + len(new) > MOST_PATTERNS:
+            known = dict.fromkeys([held[k] for k in np.argsort(-x, kind="stable")[: MOST_PATTERNS - len(new)]])
+        known |= dict.fromkeys(new)
+    return list(known)
+
+
 def plan(histogram: dict[int, int], max_tokens: int) -> list[tuple[int, int, int, int, int]]:
     """Slots (length, first rank, past the last rank, first sequence, offset) that place every piece of the histogram: of the fits by all prices the one
     with the fewest sequences, or best fit alone, should it need no more."""
@@ -172,10 +214,13 @@ def plan(histogram: dict[int, int], max_tokens: int) -> list[tuple[int, int, int
     left[max_tokens] = 0
     groups = best_fit(left, max_tokens)
     lengths = np.flatnonzero(left)[::-1]
-    if len(lengths):
-        patterns = enumerate_patterns(lengths, left[lengths], max_tokens)
-        tried = [fitted_groups(left, patterns, fit_repeats(patterns, left, price), max_tokens) for price in PRICES]
-        groups = min([*tried, groups], key=lambda found: sum(n for _, n in found))
+    least = -(-int((left * np.arange(max_tokens + 1)).sum()) // max_tokens)
+    if len(lengths) and sum(n for _, n in groups) > least:
+        patterns = priced_patterns(left, lengths, enumerate_patterns(lengths, left[lengths], max_tokens, MOST_PATTERNS // 2), max_tokens)
+        for price in PRICES:
+            repeats = fit_repeats(patterns, left, price)
+            for whole in (np.rint(repeats), np.floor(repeats + 1e-6)):
+                groups = min(fitted_groups(left, patterns, whole, max_tokens), groups, key=lambda found: sum(n for _, n in found))
     groups = [((max_tokens,), full)] * (full > 0) + groups
     slots, rank, sequence = [], np.zeros(max_tokens + 1, np.int64), 0
     for p, n in groups:

@@ -132,3 +132,30 @@ def test_plan_is_near_the_exact_least():
 def test_plan_needs_patterns_that_are_not_full():
     # 300 of 1400 alone, 500 of 1300 with 700, the others by threes
     assert sequences({700: 1000, 650: 1000, 690: 1000, 1400: 300, 1300: 500}, 2048) <= 1640
+
+
+@pytest.mark.parametrize(
+    ("histogram", "most"),
+    [
+        ({410: 1000, 409: 999, 411: 500}, 542),
+        ({300: 5000, 350: 4000, 1500: 900, 1700: 800}, 2917),
+        ({900: 500, 600: 700, 550: 800, 1150: 200}, 825),
+        ({1000: 1000, 520: 1000, 500: 1000}, 1005),
+    ],
+)
+def test_plan_finds_patterns_of_many_lengths(histogram, most):
+    assert sequences(histogram, 2048) <= most
+
+
+def test_knapsack_equals_trying_all():
+    from itertools import combinations_with_replacement
+
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        lengths = np.sort(rng.choice(np.arange(2, 12), 4, replace=False))[::-1]
+        values = rng.random(4)
+        worth = dict(zip(lengths.tolist(), values))
+        tried = [p for n in range(1, 11) for p in combinations_with_replacement(lengths.tolist(), n) if sum(p) <= 20]
+        for v, (got, parts) in zip(lengths.tolist(), P.best_fillings(values, lengths, 20)):
+            assert v in parts and sum(parts) <= 20 and abs(sum(worth[x] for x in parts) - got) < 1e-12
+            assert abs(got - max(sum(worth[x] for x in p) for p in tried if v in p)) < 1e-12
