@@ -1,3 +1,5 @@
+import math
+
 import duckdb
 
 
@@ -36,6 +38,21 @@ def test_large_and_zero_rates(spark):
     assert set(got) == {"a"} and abs(got["a"] - 1500) < 5 * 1500**0.5
 
 
+def test_distributions_equal_the_sums_of_all_probabilities(spark):
+    rates_ = [0.3, 7.0, 40.0, 900.0, 250_000.0]
+    docs = spark.createDataFrame([(str(i),) for i in range(len(rates_))], "source string")
+    got = {r.key: r for r in M.rates(docs, "source", {str(i): r for i, r in enumerate(rates_)}, sum(rates_) / len(rates_), 0.5).collect()}
+    for i, rate in enumerate(rates_):
+        r = got[str(i)]
+        assert abs(r.rate - rate) < 1e-6 and len(r.cdf) < 26 * rate**0.5 + 60
+        total, k = 0.0, r.first
+        for c in r.cdf:
+            total += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+            k += 1
+            assert abs(c - total) < 1e-9
+        assert abs(total - 1) < 1e-6
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(1, None, None, 2), (1, None, None, 2), (None, "", "t", 3), (4, "b", "u" * 100_000, 1)], "doc_id long, source string, text string, rate int")
     rows = M.mix_sources(docs, epochs=20.0).collect()
