@@ -13,6 +13,8 @@ and a part's fingerprint is the SimHash of its least few shingles. Equal part fi
 bits propose pairs, and the Jaccard similarity of the whole shingle sets decides. The least SKETCH hashes of two sets only
 discard pairs whose estimate is by SKETCH_SLACK below the wanted similarity. Parts that more than SMALL_PART documents share are
 first linked through a few members; the documents of those that are not in one component by then go to an exact prefix join.
+Texts and sketches move for the documents that take part in pairs only: these are marked in bitmaps, which are broadcast, and the
+others stay where they are.
 
 Defined cases: a null or empty text has fingerprint 0, as any text without words; a null id takes part but never names a
 component unless its whole component has none; repeated rows each get a row; extra columns are dropped by
@@ -46,6 +48,8 @@ SMALL_PART = 40
 RING = 512
 #: Members of a prefix shingle that are listed together.
 LISTED = 256
+#: Bits of the bitmaps that ids are marked in: so many for each row of ids, and at most 16 MB in all. Beyond that more rows move than need be.
+MARK_BITS, MOST_MARKS = 64, 1 << 27
 BLOCK_BYTES = 8 << 20
 
 
@@ -165,9 +169,26 @@ def estimate(x: np.ndarray, y: np.ndarray) -> float:
     return len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), union, assume_unique=True)) / max(len(union), 1)
 
 
+def marked(rows: DataFrame, column: str, ids: DataFrame, how: str = "left_semi", most: int = MOST_MARKS) -> DataFrame:
+    """The rows whose column may be among ids (of one column, a written table), with all that are; with left_anti the others, none of which is. No row moves."""
+    bits = min(most, 1 << (MARK_BITS * max(ids.count(), 512) - 1).bit_length())
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    mark, marks = (clear_name(rows, c) for c in ("_mark", "_marks"))
+    maps = ids.select(slot(F.col(ids.columns[0])).alias("s")).groupBy(F.bitmap_bucket_number("s").alias(mark)).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias(marks))
+    own, place = slot(F.col(column)), F.bitmap_bit_position(slot(F.col(column)))
+    byte = F.conv(F.hex(F.substring(F.col(marks), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return rows.join(F.broadcast(maps), (F.bitmap_bucket_number(own) == F.col(mark)) & (F.getbit(byte, (place % 8).cast("int")) == 1), how)
+
+
+def ends_of(pairs: DataFrame) -> DataFrame:
+    """id of both sides of each pair."""
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
 def verified_pairs(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs a, b whose whole shingle sets reach the similarity. sketches has id, size, shingles; rows has id, text."""
+    """The pairs a, b (a written table) whose whole shingle sets reach the similarity. sketches has id, size, shingles; rows has id, text."""
     kind = dict(pairs.dtypes)["a"]
+    sketches = marked(sketches, "id", ends_of(pairs))
     faced = pairs.join(sketches.toDF("a", "m", "left").hint("merge"), "a").join(sketches.toDF("b", "n", "right").hint("merge"), "b").where(F.least("m", "n") >= F.greatest("m", "n") * similarity - 1e-9)
 
     def screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,8 +215,7 @@ def verified_pairs(pairs: DataFrame, sketches: DataFrame, rows: DataFrame, words
     screened = write_table(faced.select("a", "b", "m", "n", "left", "right").mapInArrow(screen, f"a {kind}, b {kind}, whole boolean"), "screened")
     # larger sets are made again from the texts, for the documents of the remaining pairs only
     large = screened.where("NOT whole").select("a", "b")
-    wanted = large.select(F.col("a").alias("id")).unionByName(large.select(F.col("b").alias("id"))).distinct()
-    sets = write_table(rows.join(wanted, "id", "left_semi").mapInArrow(hashed, f"id {kind}, set binary"), "whole-sets")
+    sets = write_table(marked(rows, "id", ends_of(large)).mapInArrow(hashed, f"id {kind}, set binary"), "whole-sets")
     compared = large.join(sets.toDF("a", "left").hint("merge"), "a").join(sets.toDF("b", "right").hint("merge"), "b")
     decided = compared.select("a", "b", "left", "right").mapInArrow(decide, f"a {kind}, b {kind}")
     return write_table(screened.where("whole").select("a", "b").unionByName(decided).distinct(), "verified")
@@ -212,7 +232,8 @@ def prefix_pairs(rooted: DataFrame, rows: DataFrame, words: int, similarity: flo
                 sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in sets], pa.int32()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "size", "tokens"])
 
-    made = write_table(rows.join(rooted, "id", "left_semi").mapInArrow(hashed, f"id {kind}, size int, tokens array<long>"), "crowded-sets", "zstd")
+    crowd = marked(rows, "id", rooted.select("id")).join(rooted, "id", "left_semi")
+    made = write_table(crowd.mapInArrow(hashed, f"id {kind}, size int, tokens array<long>"), "crowded-sets", "zstd")
     tokens = made.dropDuplicates(["id"]).select("id", "size", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("id").orderBy("df", "token")
@@ -276,12 +297,12 @@ def near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str = "text
     bits = linked.join(first.select(F.col("p").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("p").alias("b"), F.col("first").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     pairs = often.unionByName(stars).unionByName(rings).unionByName(same).unionByName(bits).where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     sketches = made.select("id", "size", "shingles")
-    verified = verified_pairs(pairs, sketches, rows, words, similarity)
+    verified = verified_pairs(write_table(pairs, "pairs"), sketches, rows, words, similarity)
     # a copy may only be close to the document that the others were copied from: try the best linked one of a crowded part
     degree = verified.select("a").unionByName(verified.select(F.col("b").alias("a"))).groupBy("a").agg(F.count("*").alias("degree"))
     hubs = many.join(degree.withColumnRenamed("a", "id"), "id").groupBy("key").agg(F.max_by("id", F.struct("degree", "id")).alias("hub"))
     again = many.join(hubs, "key").where("id != hub").select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b")).distinct().join(verified, ["a", "b"], "left_anti")
-    more = verified_pairs(again, sketches, rows, words, similarity)
+    more = verified_pairs(write_table(again, "more-pairs"), sketches, rows, words, similarity)
     roots = components(verified.unionByName(more).select(F.col("a").cast("long"), F.col("b").cast("long")))
     # crowded parts whose members are not in one component: all pairs across components
     placed = many.select("key", "id").join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", F.col("id").cast("long")))
@@ -300,8 +321,9 @@ def drop_near_duplicates(docs: DataFrame, identity: str = "doc_id", text: str =
     """docs without the rows that are near copies of a row with a smaller identity; of repeated identities one row stays, rows with none stay."""
     found = write_table(near_duplicates(docs, identity, text, words, similarity), "components")
     gone, c = clear_name(docs, "_gone"), F.col(identity)
-    dropped = found.where("id != component").select(F.col("id").alias(gone)).distinct()
-    kept = docs.join(dropped, c == F.col(gone), "left_anti")
+    dropped = write_table(found.where("id != component").select(F.col("id").alias(gone)).distinct(), "dropped")
+    # most rows stay and are told by the marks
+    kept = marked(docs, identity, dropped, "left_anti").unionByName(marked(docs, identity, dropped).join(dropped, c == F.col(gone), "left_anti"))
     if found.where("id IS NOT NULL").groupBy("id").count().where("count > 1").isEmpty():
         return kept
     return kept.where(c.isNull()).unionByName(kept.where(c.isNotNull()).dropDuplicates([identity]))

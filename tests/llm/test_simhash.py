@@ -181,3 +181,35 @@ def test_pairs_that_share_crowded_parts_only_are_compared(spark):
     assert len(want) == len(docs) - 6
     kept = {r.doc_id for r in S.drop_near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert kept == want
+
+
+def test_marked_rows_are_all_that_are_wanted_and_few_others(spark):
+    rows = spark.range(-5000, 5000).selectExpr("IF(id = 77, NULL, id) AS id", "id AS _mark")
+    ids = spark.range(-5000, 5000, 100).toDF("k")
+    wanted, n = {r.k for r in ids.collect()}, 10_000
+    for most in (S.MOST_MARKS, 1 << 10):
+        held = [r.id for r in S.marked(rows, "id", ids, most=most).collect()]
+        others = [r.id for r in S.marked(rows, "id", ids, "left_anti", most=most).collect()]
+        assert wanted <= set(held) and not wanted & set(others) and len(held) + len(others) == n
+        assert len(held) < len(wanted) + n / 100 or most < S.MOST_MARKS
+    assert S.marked(rows, "id", ids.limit(0)).count() == 0 and S.marked(rows, "id", ids.limit(0), "left_anti").count() == n
+
+
+def shuffled_bytes(spark):
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_texts_and_sketches_of_documents_without_pairs_do_not_move(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.integers(1 << 40, size=600)) for _ in range(400)]
+    texts[399] = texts[0] + " end"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    before = shuffled_bytes(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        kept = {r.doc_id: r.text for r in S.drop_near_duplicates(docs).collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert kept == dict(enumerate(texts[:399])) and shuffled_bytes(spark) - before < sum(map(len, texts)) * 3 // 5
