@@ -17,10 +17,12 @@ from __future__ import annotations
 import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -32,6 +34,8 @@ MAX_TOKENS = 2048
 END_ID = 0
 #: Text bytes that a task encodes at a time.
 BLOCK_BYTES = 8 << 20
+#: Units (RE2) of a space before anything but spaces at both ends, and how many of them are encoded side by side.
+SPACED, JOINED = r"(?s)^ [^\s\pZ\x{85}\x0b\x1c-\x1f](?:.*[^\s\pZ\x{85}\x0b\x1c-\x1f])?$", 1 << 16
 #: Pieces of one length that are ranked together.
 RANKED = 200_000
 #: Patterns that enter a least-squares fit at most, and the prices of a sequence that are tried.
@@ -43,17 +47,45 @@ COLUMN_PRICES = (0.4, 0.4, 0.4, 0.2, 0.2, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05)
 COLUMN_ROUNDS, LAST_ROUNDS = (6_000_000, 50, 200), (24_000_000, 200, 1000)
 
 
-def encode_units(strings: list[str], vocabulary: str) -> list[list[int]]:
-    """Ids of units: by the vocabulary's ranks for usual characters, else from the tokenizer itself."""
+@lru_cache(1)
+def bytes_of_ids(vocabulary: str) -> np.ndarray:
+    """How many bytes each id stands for, in fast_encoder()."""
+    library = fast_encoder(vocabulary).__self__
+    out = np.zeros(library.n_vocab, np.int64)
+    for token in library.token_byte_values():
+        out[library.encode_single_token(token)] = len(token)
+    return out
+
+
+def encode_units(strings: list[str], vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of units in a row, where each unit's begin and how many it has: by the vocabulary's ranks for usual characters, else from the tokenizer itself.
+    Usual units of one space and no other at their ends are encoded side by side, as no token crosses from one to the next."""
     fast = fast_encoder(vocabulary)
-    found: list[list[int] | None] = [fast(u) if u.isascii() or PLAIN.fullmatch(u) else None for u in strings]
-    for i, u in enumerate(strings):
-        if u == SPECIAL:
-            found[i] = [tokenizer(vocabulary).token_to_id(SPECIAL)]
-    odd = [i for i, x in enumerate(found) if x is None]
-    for i, x in zip(odd, tokenizer(vocabulary).encode_batch([strings[i] for i in odd], add_special_tokens=False)):
-        found[i] = x.ids
-    return found
+    begin, many = np.zeros(len(strings), np.int64), np.zeros(len(strings), np.int64)
+    plain = np.fromiter((u.isascii() or PLAIN.fullmatch(u) is not None for u in strings), bool, len(strings))
+    spaced = plain & pc.match_substring_regex(pa.array(strings, pa.string()), SPACED).to_numpy(zero_copy_only=False)
+    out, held = [], 0
+    for some in np.split(np.flatnonzero(spaced), range(JOINED, int(spaced.sum()), JOINED)):
+        own = [strings[i] for i in some.tolist()]
+        ids = np.array(fast("".join(own)), np.int64)
+        ends = np.cumsum(np.asarray(pc.binary_length(pa.array(own, pa.string())), np.int64))
+        covered = np.cumsum(bytes_of_ids(vocabulary)[ids])
+        last = np.searchsorted(covered, ends)
+        if len(ids) and last[-1] < len(ids) and (covered[last] == ends).all():
+            many[some] = np.diff(last + 1, prepend=0)
+            begin[some] = held + last + 1 - many[some]
+            out.append(ids)
+            held += len(ids)
+        else:
+            spaced[some] = False
+    rest = np.flatnonzero(~spaced).tolist()
+    found: dict[int, list[int]] = {i: [tokenizer(vocabulary).token_to_id(SPECIAL)] if strings[i] == SPECIAL else fast(strings[i]) for i in rest if plain[i] or strings[i] == SPECIAL}
+    odd = [i for i in rest if i not in found]
+    found |= {i: x.ids for i, x in zip(odd, tokenizer(vocabulary).encode_batch([strings[i] for i in odd], add_special_tokens=False))}
+    many[rest] = [len(found[i]) for i in rest]
+    begin[rest] = held + np.cumsum(many[rest]) - many[rest]
+    out.append(np.fromiter(chain.from_iterable(found[i] for i in rest), np.int64, int(many[rest].sum())))
+    return np.concatenate(out).astype(np.uint32), begin, many
 
 
 def block_ids(texts: pa.Array, vocabulary: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -63,11 +95,9 @@ def block_ids(texts: pa.Array, vocabulary: str, end_id: int) -> tuple[np.ndarray
 
 def unit_ids(strings: list[str], numbers: np.ndarray, per: np.ndarray, vocabulary: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
     """The same from the block's distinct units, their numbers in a row and how many of these each text has."""
-    ids = encode_units(strings, vocabulary)
-    many = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(many.sum()))
+    flat, begin, many = encode_units(strings, vocabulary)
     wide = many[numbers]
-    at = np.repeat((np.cumsum(many) - many)[numbers] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
+    at = np.repeat(begin[numbers] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
     running = np.concatenate([[0], np.cumsum(wide)])
     ends = running[np.cumsum(per)]
     out = np.insert(flat[at], ends, np.uint32(end_id))

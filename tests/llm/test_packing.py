@@ -159,3 +159,22 @@ def test_knapsack_equals_trying_all():
         for v, (got, parts) in zip(lengths.tolist(), P.best_fillings(values, lengths, 20)):
             assert v in parts and sum(parts) <= 20 and abs(sum(worth[x] for x in parts) - got) < 1e-12
             assert abs(got - max(sum(worth[x] for x in p) for p in tried if v in p)) < 1e-12
+
+
+def test_units_side_by_side_have_the_ids_that_each_has_alone(monkeypatch):
+    path, calls = T.vocabulary_path(T.VOCABULARY), []
+    fast = T.fast_encoder(path)
+    strings = ["The", " the", " it's", " 'd", " 12a", " x\ny", " x\n", " \u00a0", " ", "  ", " \n", " a\x1c", " \x85b", " été", " 中文", " 🙂x", T.SPECIAL, " <|endof", "text|>", *(f" w{i}..." for i in range(300))]
+    want = [[T.tokenizer(path).token_to_id(T.SPECIAL)] if u == T.SPECIAL else T.tokenizer(path).encode(u, add_special_tokens=False).ids for u in strings]
+    for joined in (7, 1 << 16):
+        monkeypatch.setattr(P, "JOINED", joined)
+        flat, begin, many = P.encode_units(strings, path)
+        assert [flat[b : b + n].tolist() for b, n in zip(begin.tolist(), many.tolist())] == want
+    assert [len(x) for x in P.encode_units([], path)] == [0, 0, 0]
+    # most units do not cost a call each
+    counted = lambda u: calls.append(u) or fast(u)
+    counted.__self__ = fast.__self__
+    P.bytes_of_ids(path)
+    monkeypatch.setattr(P, "fast_encoder", lambda _: counted)
+    P.encode_units(strings, path)
+    assert len(calls) < 30
