@@ -160,6 +160,8 @@ DISTINCT = frozenset(
 )
 #: Word pairs of the clause that both BSD licences have after the one they begin with, and of the one that only the longer has.
 BINARY_CLAUSE, ENDORSE_CLAUSE = ("in binary", "binary form", "must reproduce"), ("neither the", "to endorse", "or promote", "promote products")
+#: Tasks that the classifier is fitted by: each sends the driver 4 MB of sums for every step, and its rows are bounded.
+FIT_TASKS = 2
 TEMPERATURES = (0.5, 0.7, 0.85, 1.0, 1.2, 1.5, 2.0, 3.0)
 
 
@@ -242,11 +244,16 @@ def softmax(raw: Column, temperature: float) -> Column:
     return F.transform(scaled, lambda x: x / total)
 
 
+def rows_to_fit(rows: DataFrame) -> DataFrame:
+    """The rows that are not kept back, in so few tasks that the sums of a step are not shuffled and the driver holds few of them."""
+    return rows.where(~F.col("kept_back")).coalesce(FIT_TASKS)
+
+
 def train(docs: DataFrame, text: str = "text") -> tuple[LogisticRegressionModel, float]:
     """The classifier, and the temperature that fits its probabilities to rows it was not trained on."""
     stated = write_table(training_rows(docs, text), "licence-paragraphs").repartition(4)
     rows = write_table(vectors(with_grams(stated)).select("features", "label", "kept_back"), "licence-training")
-    fit = rows.where(~F.col("kept_back"))
+    fit = rows_to_fit(rows)
     model = LogisticRegression(family="multinomial", maxIter=60, regParam=3e-5, featuresCol="features", labelCol="label").fit(fit)
     scored = model.transform(rows.where("kept_back")).select(vector_to_array("rawPrediction").alias("raw"), "label")
     losses = scored.agg(*[F.avg(-F.ln(F.greatest(F.element_at(softmax(F.col("raw"), t), F.col("label").cast("int") + 1), F.lit(1e-12)))).alias(str(i)) for i, t in enumerate(TEMPERATURES)]).first()

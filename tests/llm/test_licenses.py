@@ -143,3 +143,9 @@ def test_a_very_long_line_and_a_very_long_text(spark, trained):
     words = "the river turned and the houses stood by the water " * 20_000
     docs = spark.createDataFrame([(1, words + "Released under the ISC License. " + words), (2, (words[:400] + "\n\n") * 2_000 + "Licensed under CC BY-SA 4.0.\n")], "doc_id long, text string")
     assert {r.doc_id: r.license for r in L.scan(docs, trained=trained).collect()}[2] == "cc-by-sa-4.0"
+
+
+def test_the_driver_gets_few_sums_for_a_step_of_the_fit(spark):
+    rows = spark.range(0, 70, 1, 7).selectExpr("id", "id % 10 = 0 AS kept_back")
+    fit = L.rows_to_fit(rows)
+    assert fit.rdd.getNumPartitions() <= L.FIT_TASKS and fit.count() == 63
